@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, simhash, warc
+from . import licenses, media, mixing, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.texts_as_media(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -29,9 +33,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_secrets, op6_mixing, op7_warc)}
+    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_media, op6_mixing, op7_warc, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets.digests_sql(), "op6_mixing": mixing.mix_sql(), "op7_warc": warc.archive_sql()}
+    return {"op4_secrets": secrets.digests_sql(), "op6_mixing": mixing.mix_sql(), "op7_warc": warc.archive_sql(), "op10_licenses": licenses.labels_sql()}
