@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, secrets, simhash, warc
+from . import licenses, media, mixing, quality, secrets, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.kept_scores(_table(spark, sf_dir, "documents"))
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_media, op6_mixing, op7_warc, op10_licenses)}
+    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_media, op6_mixing, op7_warc, op8_quality, op9_substrings, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
