@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, quality, secrets, simhash, substrings, warc
+from . import licenses, media, mixing, quality, secrets, sentencepieces, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A public SentencePiece model; another path can be set in the environment.
+PIECES = os.environ.get("LECTURELAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.tokens(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,7 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_media, op6_mixing, op7_warc, op8_quality, op9_substrings, op10_licenses)}
+    return {f.__name__: f for f in (op1_sentencepieces, op2_simhash, op4_secrets, op5_media, op6_mixing, op7_warc, op8_quality, op9_substrings, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
