@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, quality, secrets, sentencepieces, simhash, substrings, warc
+from . import embeddings, licenses, media, mixing, quality, secrets, sentencepieces, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,7 +59,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepieces, op2_simhash, op4_secrets, op5_media, op6_mixing, op7_warc, op8_quality, op9_substrings, op10_licenses)}
+    return {f.__name__: f for f in (op1_sentencepieces, op2_simhash, op3_embeddings, op4_secrets, op5_media, op6_mixing, op7_warc, op8_quality, op9_substrings, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
