@@ -1,19 +1,52 @@
-"""A corpus pipeline of llm operators, from raw documents to token ids."""
+"""A corpus pipeline of llm operators, from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lecturelake.llm import simhash
+from lecturelake.llm import mixing, quality, secrets, sentencepieces, simhash
 from lecturelake.llm.common import stored
+from lecturelake.llm.queries import PIECES
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 0.8 or more of their five-word shingles, and what they reach by such links, one stays."""
     return simhash.drop_near_duplicates(docs, n=5, similarity=0.8)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; every document stays."""
+    return secrets.mask_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their target weights: documents are repeated or left out, whole."""
+    return mixing.sample(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return sentencepieces.tokens(docs, PIECES)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("simhash near-dedup", near_dedup),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix),
+    ("sentencepiece encoding", encode),
+]
 
+#: A trained scorer and a BPE encoding are beyond SQL; tests/llm compares the stages with brute force instead.
 ORACLE_SQL = None
 
 
