@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 UNIT = 64
@@ -185,31 +186,47 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % UNIT or UNIT * (not raw))
 
 
-@F.pandas_udf(T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
-def to_media(texts: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(T.BinaryType())
+def to_media(texts: pd.Series) -> pd.Series:
     """A text column as a media column."""
-    pairs = [padded(t) for t in texts]
-    return pd.DataFrame({"n_bytes": [n for n, _ in pairs], "media": [encode(p) for _, p in pairs]})
+    return pd.Series([encode(padded(t)[1]) for t in texts], dtype=object)
 
 
-_DIGESTS = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))])
+@F.pandas_udf(T.BinaryType())
+def from_media(media: pd.Series) -> pd.Series:
+    """The payload of a media column, verified."""
+    return pd.Series([payload_of(m)[0] for m in media], dtype=object)
 
 
-@F.pandas_udf(_DIGESTS)
-def media_digests(media: pd.Series) -> pd.DataFrame:
-    """What a media column holds, read back from its bytes."""
-    rows = []
-    for data in media:
-        payload, streams = payload_of(data)
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, streams)))
-    return pd.DataFrame(rows, columns=_DIGESTS.names)
+#: Rows that are in their media form at once in a task.
+ROWS = 256
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, int, bytes]]]:
+    """(doc_id, n_bytes, media) of every row."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            part = batch.slice(first, ROWS).to_pydict()
+            yield [(i, n, encode(payload)) for i, (n, payload) in zip(part["doc_id"], map(padded, part["text"]))]
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _stored(batches):
+        out = []
+        for doc_id, n, data in rows:
+            payload, streams = payload_of(data)
+            out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, streams)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SCHEMA.types)], schema=_SCHEMA)
+
+
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def texts_as_media(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes and what is read back of its text's media form.
 
     A null text counts as empty, whose payload is 64 zero bytes; null and repeated doc_ids are allowed and other
-    columns ignored. Each row is encoded and decoded in one task; nothing is shuffled.
+    columns ignored. Each row is encoded and decoded in one task, a few hundred rows at a time; nothing is shuffled.
     """
-    stored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), to_media("text").alias("m"))
-    return stored.select("doc_id", "m.n_bytes", media_digests("m.media").alias("d")).select("doc_id", "n_bytes", "d.*")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
