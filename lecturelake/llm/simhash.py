@@ -70,7 +70,8 @@ def close_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     that segment's variant with the differing (or any) bit blotted out. Each fingerprint makes 64 such keys; an
     equality join on the key finds the candidates and its condition verifies all 64 bits, so only true pairs leave
     the join. A fingerprint has at most 2,080 others within two bits: true pairs grow in proportion to fingerprints.
-    Equal segments share all 32 variants, so those pairs are taken from the first variant alone.
+    Each pair is taken once: equal segments share all 32 variants, of which the first alone counts, and a pair that both
+    segments find counts in the first.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with one wildcard cover 0 to 3 bits")
@@ -88,6 +89,7 @@ def close_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         & (F.col("a.fp") < F.col("b.fp"))
         & (F.bit_count(differ) <= max_bits)
         & ((here != 0) | (at % 32 == 0))
+        & ((at < 32) | (F.bit_count(differ.bitwiseAND(F.lit((1 << 32) - 1))) > 1))
     )
     return a.join(b, met).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
