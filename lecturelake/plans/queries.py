@@ -80,7 +80,7 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
-@query("fn_times", "SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M') AS local, epoch_us(ts)::BIGINT // 1000 + floor(value * 1000)::BIGINT AS absolute_ms, epoch_us(ts)::BIGINT / 1000000.0::DOUBLE - 1704067200 AS seconds FROM events")
+@query("fn_times", "SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M') AS local, epoch_us(ts)::BIGINT // 1000 + floor(value * 1000)::BIGINT AS absolute_ms, (epoch_us(ts)::BIGINT - 1704067200000000) / 1000000.0::DOUBLE AS seconds FROM events")
 def _(t: Inputs) -> DataFrame:
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     return e.select("event_id", fn.local_minute("ts", "Etc/GMT-2").alias("local"), F.unix_millis(fn.absolute_at("ts", "value")).alias("absolute_ms"), fn.seconds_between(F.lit("2024-01-01 00:00:00").cast("timestamp"), "ts").alias("seconds"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lecturelake import functions as fn, sources, streaming
-from lecturelake.operators import guards, history, jobs, planner, providers, rules, schedules, stitch, views
+from lecturelake.operators import guards, history, jobs, metrics, planner, providers, rules, schedules, stitch, views
 from lecturelake.storage import scratch
 
 
@@ -155,3 +155,14 @@ def test_patch_null_and_absent(spark):
     base = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, name string, n int")
     patch = spark.sql("select 'a' id, map('name', cast(null as string)) patch")
     assert [tuple(r) for r in jobs.apply_patch(base, patch).orderBy("id").collect()] == [("a", None, 1), ("b", "y", 2)]
+
+
+def test_word_distance_equals_a_table():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        assert metrics.word_distance(a, b) == table[-1][-1]
