@@ -167,7 +167,7 @@ def test_embeddings_equal_brute_force(spark):
     close = unit @ unit.T >= 0.93
     links = [(a, b) for a, b in zip(*np.nonzero(close)) if a != b and data[a][2] == data[b][2]]
     label = roots(len(data), links)
-    for shard in (4096, 60):
+    for shard in (4096, 110):
         got = {r.vec_id: r for r in embeddings.embedding_components(df, shard=shard).collect()}
         assert len(got) == len(data) + len(odd)
         for i in range(len(data)):
@@ -373,3 +373,24 @@ def test_pipeline(spark, docs):
         assert table.columns == columns and table.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, str(FOLDER)).count() > 0
+
+
+def test_base_phrases_equal_brute_force(odd, docs):
+    for df in (odd, docs):
+        want = []
+        for r in df.collect():
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))
+            found = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+            starts = [i for i, _ in found]
+            want.append(tuple(map(str, (r.doc_id, len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))))))
+        got = licenses.license_labels(df).collect()
+        assert sorted(tuple(map(str, (r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels))) for r in got) == sorted(want)
+        assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got)
+
+
+def test_license_text_with_changes(spark):
+    words_ = next(t for t, label in licenses.TEMPLATES.items() if label == "mit-text").split(" ")
+    changed = words_[:8] + ["really"] + words_[8:20] + words_[21:]
+    df = spark.createDataFrame([(1, "Intro. " + " ".join(changed) + " end"), (2, " ".join(words_[:10]))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_labels(df).collect()}
+    assert got == {1: "mit-text", 2: ""}
