@@ -674,6 +674,20 @@ def _(t: Inputs) -> DataFrame:
     return providers.map_chunks(chunks, {"fake": _fake}).select("job_id", "chunk_index", "provider", F.md5("text").alias("text"), "provider_model")
 
 
+@query("udf_worker_cache", "SELECT DISTINCT role AS model, role || '/cpu/int8' AS provider_model FROM conversations")
+def _(t: Inputs) -> DataFrame:
+    chunks = t.turns.select("job_id", "chunk_index", F.lit("fake").alias("provider_name"), F.col("text").alias("path"), F.col("speaker_label").alias("model_name"), F.lit("es").alias("language"), F.array().cast("array<string>").alias("vocabulary"), F.lit("").alias("prompt"))
+    out = providers.map_chunks(chunks, {"fake": _fake})
+    return out.select(F.split("provider_model", "/")[0].alias("model"), "provider_model").distinct()
+
+
+@query("udf_word_edit", "SELECT doc_id, 3 AS edits FROM documents")
+def _(t: Inputs) -> DataFrame:
+    """A text between words that it does not have: as many edits as words."""
+    other = F.concat(F.lit("\u0001a "), F.col("text"), F.lit(" \u0001b \u0001c"))
+    return t.documents.select("doc_id", metrics.word_edits(fn.words("text"), fn.words(other)).alias("edits"))
+
+
 # ---- streams ----
 
 
