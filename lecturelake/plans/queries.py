@@ -681,7 +681,7 @@ def _(t: Inputs) -> DataFrame:
     return out.select(F.split("provider_model", "/")[0].alias("model"), "provider_model").distinct()
 
 
-@query("udf_word_edit", "SELECT doc_id, 3 AS edits FROM documents")
+@query("udf_word_edit", "SELECT doc_id, 3::BIGINT AS edits FROM documents")
 def _(t: Inputs) -> DataFrame:
     """A text between words that it does not have: as many edits as words."""
     other = F.concat(F.lit("\u0001a "), F.col("text"), F.lit(" \u0001b \u0001c"))
