@@ -10,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import stored
+
 #: Least and greatest bytes of a chunk, and the bits of the hash that are zero at a cut (a cut every 32 bytes, about).
 LEAST, MOST, BITS = 16, 128, 5
 #: A repeat is a run of repeated chunks with so many words. A repeated passage loses up to a chunk or two at either
@@ -106,7 +108,8 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     every = chunks(docs)
     seen = every.groupBy("d1", "d2").agg(F.min("row").alias("least"), F.max("row").alias("most"), F.min("doc_id").alias("first_doc_id"))
-    shared = every.join(seen.where("least < most").select("d1", "d2", "first_doc_id"), ["d1", "d2"])
+    common = stored(seen.where("least < most").select("d1", "d2", "first_doc_id"))  # a plain table: Spark can split a skewed join with it
+    shared = every.join(common, ["d1", "d2"])
     shared = shared.groupBy("doc_id", "row", "start").agg(F.first("end").alias("end"), F.first("words").alias("words"), F.first("first_doc_id").alias("first_doc_id"))
     order = Window.partitionBy("doc_id", "row").orderBy("start")
     first = F.col("first_doc_id").eqNullSafe(F.col("doc_id"))
