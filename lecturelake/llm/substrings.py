@@ -16,7 +16,7 @@ from .common import stored
 LEAST, MOST, BITS = 16, 128, 5
 #: A repeat is a run of repeated chunks with so many words. A repeated passage loses up to a chunk or two at either
 #: end, where chunks hold other text too, so that passages of 50 words or more reach it.
-LEAST_WORDS = 12
+LEAST_WORDS = 16
 #: A random 32-bit number for each byte value, by rule; the hash of a place depends on the 32 bytes up to it.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "big") for b in range(256)], np.uint32)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
