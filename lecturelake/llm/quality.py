@@ -162,8 +162,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]:
         return LabelModel(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)), np.zeros(SLOTS + 1)
     patterns = np.array([[int(v) for v in r["pattern"]] for r in counted])
     model = fit_labels(patterns, np.array([r["count"] for r in counted], float))
-    ordered = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.xxhash64("text"))
-    chosen = docs.select("doc_id", "text", ordered.alias("h")).orderBy("h", "doc_id").limit(sample)
+    hashed = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.xxhash64("text")).alias("h")
+    # the lowest hashes alone are sorted; only texts below the greatest of them move
+    most = docs.select(hashed).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = docs.select(hashed, "text").where(F.col("h") <= most).dropDuplicates(["h"])
     rows = chosen.select(_features("text").alias("f")).select("f.*").orderBy("pattern", "slots", "values").collect()
     dense = np.zeros((len(rows), SLOTS), np.float32)
     for i, r in enumerate(rows):
