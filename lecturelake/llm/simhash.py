@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -17,6 +19,8 @@ SEED = 42
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: The wide fingerprint: words of 60 bits in three segments each, so that a segment's variants stay selective.
 WIDE_SEGMENT, WIDE_PER_WORD = 20, 3
+#: Words of the wide fingerprint that go with every key, to verify candidates in the join.
+CHECKED = 3
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -151,31 +155,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words:
     Near-duplicates share `similarity` or more of their n-word shingles (Jaccard, ASCII case ignored). `words` words
     of 60 bits are the fingerprint; at similarity 0.8 a 20-bit segment of two texts differs in at most one bit with
     probability 0.17, so one of 15 does with 0.94, at 0.9 with 0.999. Candidates that share a one-wildcard variant
-    must be near in the first word of their fingerprints too and are then verified on the shingles themselves; equal
-    texts are one node. Needs distinct doc_ids for exact results; rows with a null doc_id are left alone. Texts of
+    must be near in CHECKED words of their fingerprints too, which the join itself verifies, so that texts that share
+    a passage only never leave it; they are then verified on the shingles themselves. Equal texts are one node. Needs distinct doc_ids for exact results; rows with a null doc_id are left alone. Texts of
     fewer than n words are one shingle; texts without words are near-duplicates of each other.
     """
-    signature = F.pandas_udf(_signatures(n, words, wildcards), "near long, keys array<long>")
+    prints = [f"p{k}" for k in range(min(CHECKED, words))]
+    signature = F.pandas_udf(_signatures(n, words, wildcards), ", ".join(f"{p} long" for p in prints) + ", keys array<long>")
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shown = base.select("doc_id", F.md5("text").alias("digest"), signature("text").alias("s"))
-    shown = stored(shown.select("doc_id", "digest", "s.near", "s.keys"))
+    shown = stored(shown.select("doc_id", "digest", "s.*"))
     copies = shown.groupBy("digest").agg(F.min("doc_id").alias("least"))
     heads = shown.join(copies.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    keys = heads.select("doc_id", "near", F.explode("keys").alias("key"))
+    keys = heads.select("doc_id", *prints, F.explode("keys").alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
-    far = max_wide_bits(similarity, WIDE_SEGMENT * WIDE_PER_WORD)
+    far = max_wide_bits(similarity, WIDE_SEGMENT * WIDE_PER_WORD * len(prints))
+    differ = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in prints), F.lit(0))
     met = (
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.doc_id") < F.col("b.doc_id"))
-        & (F.bit_count(F.col("a.near").bitwiseXOR(F.col("b.near"))) <= far)
+        & (differ <= far)
     )
     found = a.join(b, met).select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst")).distinct()
     found = stored(found)
     ids = stored(found.select(F.col("src").alias("doc_id")).union(found.select("dst")).distinct())
-    texts = stored(base.join(ids, "doc_id", "left_semi"))
-    same = F.pandas_udf(_similar(n, similarity), "boolean")
-    left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst"))
-    links = found.join(left, "src").join(right, "dst").where(same("src_text", "dst_text")).select("src", "dst")
+    sets = stored(base.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(n), "doc_id long, shingles array<int>"))
+    left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("src", "dst"))
+    sized = found.join(left, "src").join(right, "dst")
+    sized = sized.select("src", "dst", F.size(F.array_intersect("src_set", "dst_set")).alias("both"), (F.size("src_set") + F.size("dst_set")).alias("all"))
+    links = sized.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("src", "dst")
     same_text = shown.join(copies, "digest").where("doc_id <> least").select(F.col("least").alias("src"), F.col("doc_id").alias("dst"))
     blank = shown.where(F.size("keys") == 0)
     same_blank = blank.crossJoin(F.broadcast(blank.agg(F.min("doc_id").alias("least")))).where("doc_id <> least")
@@ -186,22 +193,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words:
 def _signatures(n: int, words: int, wildcards: int):
     def run(texts: pd.Series) -> pd.DataFrame:
         out = [wide_signature(t, n, words, wildcards) for t in texts]
-        return pd.DataFrame({"near": [p[0] if p else 0 for p, _ in out], "keys": [k for _, k in out]})
+        prints = {f"p{k}": [p[k] if p else 0 for p, _ in out] for k in range(min(CHECKED, words))}
+        return pd.DataFrame(prints | {"keys": [k for _, k in out]})
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     return run
 
 
-def _similar(n: int, similarity: float):
-    def run(one: pd.Series, other: pd.Series) -> pd.Series:
-        def close(x: str, y: str) -> bool:
-            p, q = np.unique(shingle_hashes(x, n)), np.unique(shingle_hashes(y, n))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return both >= similarity * (len(p) + len(q) - both)
+def _shingle_sets(n: int, rows: int = 256):
+    """(doc_id, text) to (doc_id, shingles): the distinct shingle hashes, folded to 32 bits, a few rows at a time."""
 
-        return pd.Series([close(x, y) for x, y in zip(one, other)], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                sets = [np.unique(shingle_hashes(t.as_py(), n).astype(np.uint32).view(np.int32)) for t in part.column("text")]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "shingles"])
 
-    run.__annotations__ = {"one": pd.Series, "other": pd.Series, "return": pd.Series}
     return run
 
 
