@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 #: Characters indexed at once, bytes of text segmented at once, and segments that a worker remembers.
-BLOCK, GROUP_BYTES, REMEMBERED = 400_000, 6 << 20, 700_000
+BLOCK, GROUP_BYTES, REMEMBERED = 200_000, 3 << 20, 250_000
 
 
 def _merged(symbols: list[str], rank: dict[str, int]) -> Iterator[tuple[str, str]]:
