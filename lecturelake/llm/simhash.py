@@ -121,10 +121,11 @@ def simhash_components(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 def wide_signature(text: str | None, n: int, words: int, wildcards: int) -> tuple[list[int], list[int]]:
     """The wide fingerprint as words of 60 bits, and the keys of its one-wildcard segment variants.
 
+    Distinct shingles count once each, as they do in the similarity, so a line that is repeated often rules no bit.
     A segment's wildcards are those of its bits that are nearest to flipping: an edit of the text that changes one
     bit of the segment nearly always changes one of these. None of either for a text without words.
     """
-    hashes = shingle_hashes(text, n)
+    hashes = np.unique(shingle_hashes(text, n))
     if not len(hashes):
         return [], []
     used, prints, keys = WIDE_SEGMENT * WIDE_PER_WORD, [], []

@@ -155,6 +155,17 @@ def test_near_duplicates(spark, odd, empty):
     assert out.columns == odd.columns and out.where("doc_id is null").count() == 2
 
 
+def test_near_duplicates_count_shingles_once(spark):
+    """Pairs of equal shingles but for a line that one of them repeats 20 times more."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        text = [f"v{rng.randrange(10**6)}" for _ in range(214)]
+        rows += [(2 * i, " ".join(text), None, None, 0), (2 * i + 1, " ".join(text + text[40:55] * 20), None, None, 0)]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == {2 * i for i in range(20)}
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 16))
