@@ -721,9 +721,9 @@ def _(t: Inputs) -> DataFrame:
     return streaming.drained(streaming.stream_progress(done, "60 days"), "update", ["job_id"]).select("job_id", "completed_chunks")
 
 
-@query("str_stitch", f"{CHUNKS.replace('FROM documents', 'FROM documents WHERE n_chars < 3000')} SELECT job_id::VARCHAR AS job_id, chunk_index::BIGINT AS chunk_index, md5(clean_text) AS clean, removed_words FROM cl")
+@query("str_stitch", f"{CHUNKS} SELECT job_id::VARCHAR AS job_id, chunk_index::BIGINT AS chunk_index, md5(clean_text) AS clean, removed_words FROM cl")
 def _(t: Inputs) -> DataFrame:
-    docs = streaming.stream_table(t.spark, t.folder, "documents.parquet").where("n_chars < 3000").select(F.col("doc_id").cast("string").alias("job_id"), fn.words("text").alias("w"))
+    docs = streaming.stream_table(t.spark, t.folder, "documents.parquet").select(F.col("doc_id").cast("string").alias("job_id"), fn.words("text").alias("w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - 50) / 45)).cast("int")
     chunks = docs.select("job_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     chunks = chunks.select("job_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.slice("w", F.col("chunk_index") * 45 + 1, 50), " ").alias("text"))

@@ -14,9 +14,9 @@ from ..storage import scratch
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table as a stream of its files."""
+    """A Parquet table, one file or a folder of files, as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a stream takes one file by a pattern only
 
 
 def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -67,10 +67,12 @@ def stream_progress(done: DataFrame, delay: str = "1 day") -> DataFrame:
 _STITCHED = "job_id string, chunk_index long, clean_text string, removed_words long"
 
 
-def _cleaned(previous: str, current: str, most: int = 40, least: int = 3) -> tuple[str, int]:
-    """current without the words that repeat the end of previous, and their number."""
+def _cleaned(previous: str | None, current: str | None, most: int = 40, least: int = 3) -> tuple[str | None, int]:
+    """current without the words that repeat the end of previous, and their number; a null text stays null."""
+    if current is None:
+        return None, 0
     plain = lambda ws: ["".join(ch for ch in w.lower() if ch.isalpha() or ch.isnumeric() or ch == "_") for w in ws]
-    a, b = previous.split(), current.split()
+    a, b = (previous or "").split(), current.split()
     tail, head = plain(a[-most:]), plain(b[:most])
     size = next((k for k in range(min(len(tail), len(head)), least - 1, -1) if tail[-k:] == head[:k]), 0)
     return (" ".join(b[size:]) if size else current.strip()), size

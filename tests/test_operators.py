@@ -1,5 +1,6 @@
 """Literal cases, properties against plain Python, and rerun safety."""
 
+import hashlib
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lecturelake import functions as fn, sources, streaming
 from lecturelake.operators import guards, history, jobs, metrics, planner, providers, rules, schedules, stitch, views
+from lecturelake.plans import queries as plans
 from lecturelake.storage import scratch
 
 
@@ -55,6 +57,24 @@ def test_stream_stitch_rule_equals_batch_rule(spark):
         assert (r.clean_text, r.removed_words) == streaming._cleaned(texts.get((r.job_id, r.chunk_index - 1), ""), texts[r.job_id, r.chunk_index])
 
 
+def test_stream_stitch_takes_every_document(spark, tmp_path):
+    """The query against a plain fold: long texts with chunk after chunk, null texts and counts, a table of several files."""
+    rng = random.Random(3)
+    data = [(i, " ".join(f"w{rng.randrange(12 if i % 2 else 900)}" for _ in range(n)), n_chars) for i, (n, n_chars) in enumerate([(3, 9), (700, 3000), (4000, None), (1200, 99_999), (51, None)])]
+    data += [(5, None, None), (6, "", 0)]
+    spark.createDataFrame(data, "doc_id long, text string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text, _ in data:
+        w, before = (text or "").split(), []
+        for k in range(max(0, -(-(len(w) - 50) // 45)) + 1):
+            now = w[k * 45 : k * 45 + 50]
+            cut = next((m for m in range(min(40, len(before), len(now)), 2, -1) if before[-m:] == now[:m]), 0)
+            want.append((str(i), k, None if text is None else hashlib.md5(" ".join(now[cut:]).encode()).hexdigest(), cut))
+            before = now
+    got = [tuple(r) for r in plans.queries()["str_stitch"](spark, str(tmp_path)).select("job_id", "chunk_index", "clean", "removed_words").collect()]
+    assert sorted(got, key=lambda r: r[:2]) == want and len(want) > 100
+
+
 def test_highwater_equals_a_fold(spark):
     rng = random.Random(7)
     rows = [(j, 0, i, round(rng.choice([i * 0.04, rng.uniform(0, 3)]), 3)) for j in range(60) for i in range(25)]
