@@ -15,12 +15,12 @@ from .common import LOWER_BYTES, stored
 from .components import connected_components
 
 SEED = 42
-#: Fixed odd multipliers that turn one shingle hash into several independent ones.
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: The wide fingerprint: words of 60 bits in three segments each, so that a segment's variants stay selective.
-WIDE_SEGMENT, WIDE_PER_WORD = 20, 3
+#: Fixed odd multipliers, two a word, that turn one shingle hash into several independent ones.
+MIX = tuple(xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(64))
+#: The wide fingerprint: words of 64 bits, the first 54 in three segments, so that a segment's variants stay selective.
+WIDE_WORD, WIDE_SEGMENT, WIDE_PER_WORD = 64, 18, 3
 #: Words of the wide fingerprint that go with every key, to verify candidates in the join.
-CHECKED = 3
+CHECKED = 2
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -119,7 +119,7 @@ def simhash_components(docs: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def wide_signature(text: str | None, n: int, words: int, wildcards: int) -> tuple[list[int], list[int]]:
-    """The wide fingerprint as words of 60 bits, and the keys of its one-wildcard segment variants.
+    """The wide fingerprint as words of 64 bits, signed, and the keys of its one-wildcard segment variants.
 
     Distinct shingles count once each, as they do in the similarity, so a line that is repeated often rules no bit.
     A segment's wildcards are those of its bits that are nearest to flipping: an edit of the text that changes one
@@ -128,14 +128,14 @@ def wide_signature(text: str | None, n: int, words: int, wildcards: int) -> tupl
     hashes = np.unique(shingle_hashes(text, n))
     if not len(hashes):
         return [], []
-    used, prints, keys = WIDE_SEGMENT * WIDE_PER_WORD, [], []
+    prints, keys = [], []
     for k in range(words):
-        mixed = hashes * np.uint64(MIX[k])
+        mixed = hashes * np.uint64(MIX[2 * k])
         mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(MIX[-1 - k])
-        counts = bit_counts(mixed)[:used] * 2 - len(hashes)
+        mixed *= np.uint64(MIX[2 * k + 1])
+        counts = bit_counts(mixed) * 2 - len(hashes)
         ones = (counts > 0).astype(np.int64)
-        prints.append(int(ones @ (1 << np.arange(used, dtype=np.int64))))
+        prints.append(int(np.packbits(counts > 0).view(">i8")[0]))
         for s in range(WIDE_PER_WORD):
             span = slice(s * WIDE_SEGMENT, (s + 1) * WIDE_SEGMENT)
             value = int(ones[span] @ (1 << np.arange(WIDE_SEGMENT)))
@@ -145,20 +145,23 @@ def wide_signature(text: str | None, n: int, words: int, wildcards: int) -> tupl
 
 
 def max_wide_bits(similarity: float, bits: int) -> int:
-    """Bits of `bits` in which texts of that similarity differ with hardly an exception: the mean and three deviations."""
+    """Bits of `bits` in which texts of that similarity differ with no exception to speak of: the mean and five deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words: int = 5, wildcards: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words: int = 20, wildcards: int = 4) -> DataFrame:
     """(doc_id, component_id) of every document that has a near-duplicate.
 
     Near-duplicates share `similarity` or more of their n-word shingles (Jaccard, ASCII case ignored). `words` words
-    of 60 bits are the fingerprint; at similarity 0.8 a 20-bit segment of two texts differs in at most one bit with
-    probability 0.17, so one of 15 does with 0.94, at 0.9 with 0.999. Candidates that share a one-wildcard variant
-    must be near in CHECKED words of their fingerprints too, which the join itself verifies, so that texts that share
-    a passage only never leave it; they are then verified on the shingles themselves. Equal texts are one node. Needs distinct doc_ids for exact results; rows with a null doc_id are left alone. Texts of
-    fewer than n words are one shingle; texts without words are near-duplicates of each other.
+    of 64 bits are the fingerprint, three segments of 18 bits each. With the four wildcards nearest to flipping, of 18,
+    two texts at similarity 0.8 share a variant of a segment with probability 0.121 (0.217 with all 18, at 4.5 times the
+    keys), so of one in 60 segments with 0.9996. Candidates must be near in CHECKED words of their fingerprints too,
+    which the join itself verifies and one true pair in 750,000 fails, so that most texts that share a passage only
+    never leave it;
+    they are then verified on the shingles themselves. Equal texts are one node. Needs distinct doc_ids for exact
+    results; rows with a null doc_id are left alone. Texts of fewer than n words are one shingle; texts without words
+    are near-duplicates of each other.
     """
     prints = [f"p{k}" for k in range(min(CHECKED, words))]
     signature = F.pandas_udf(_signatures(n, words, wildcards), ", ".join(f"{p} long" for p in prints) + ", keys array<long>")
@@ -169,7 +172,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words:
     heads = shown.join(copies.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
     keys = heads.select("doc_id", *prints, F.explode("keys").alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
-    far = max_wide_bits(similarity, WIDE_SEGMENT * WIDE_PER_WORD * len(prints))
+    far = max_wide_bits(similarity, WIDE_WORD * len(prints))
     differ = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in prints), F.lit(0))
     met = (
         (F.col("a.key") == F.col("b.key"))
