@@ -186,3 +186,24 @@ def test_word_distance_equals_a_table():
             for j in range(1, len(b) + 1):
                 table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
         assert metrics.word_distance(a, b) == table[-1][-1]
+
+
+def test_word_error_rate_equals_brute_force(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for k, y in enumerate(b, 1):
+                last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(8)
+    data = [(f"s{i % 3}", " ".join(rng.choice("ab") if i % 2 else f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 90)))) for i in range(30)]
+    spark.createDataFrame(data, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for source, text in data:
+        w = text.split()
+        e, n = want.get(source, (0, 0))
+        want[source] = (e + distance(w, [x for i, x in enumerate(w, 1) if i % 10]), n + len(w))
+    got = {r.source: (r.edits, r.reference_words, r.wer) for r in plans.queries()["agg_wer"](spark, str(tmp_path)).collect()}
+    assert got == {s: (e, n, e / n) for s, (e, n) in want.items()} and min(e for e, _ in want.values()) > 0
