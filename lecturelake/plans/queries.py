@@ -99,16 +99,22 @@ def _(t: Inputs) -> DataFrame:
 # ---- sources and sinks ----
 
 
-@query("src_tables", "SELECT 'sites' AS name, count(*) AS n FROM sites UNION ALL SELECT 'classrooms', count(*) FROM classrooms UNION ALL SELECT 'cameras', count(*) FROM cameras UNION ALL SELECT 'schedules', count(*) FROM schedules UNION ALL SELECT 'recordings', count(*) FROM recordings")
+#: The ten tables, each with the role that stands in for it and the role's key.
+TEN = {n: (n, "id") for n in ("sites", "classrooms", "cameras", "professors", "courses", "schedules", "recordings")}
+TEN |= {"camera_assignments": ("assignments", "event_id"), "transcription_jobs": ("jobs", "job_id"), "transcript_segments": ("segments", "segment_id")}
+
+
+@query("src_tables", " UNION ALL ".join(f"SELECT '{name}' AS name, count({key}) AS n FROM {role}" for name, (role, key) in TEN.items()))
 def _(t: Inputs) -> DataFrame:
     from ..schemas import table_schema
 
     path = scratch(t.spark)
-    out = None
-    for name in ("sites", "classrooms", "cameras", "schedules", "recordings"):
-        df = getattr(t, name)
+    for name, (role, key) in TEN.items():
+        df = getattr(t, role).withColumnRenamed(key, "id")
         df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table_schema(name))).write.parquet(f"{path}/{name}")
-        n = t.spark.read.schema(table_schema(name)).parquet(f"{path}/{name}").where("id is not null").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    out = None
+    for name, df in sources.load_tables(t.spark, path).items():
+        n = df.agg(F.count("id").alias("n")).select(F.lit(name).alias("name"), "n")
         out = n if out is None else out.union(n)
     return out
 

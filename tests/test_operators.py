@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from lecturelake import functions as fn, sources, streaming
 from lecturelake.operators import guards, history, jobs, metrics, planner, providers, rules, schedules, stitch, views
 from lecturelake.plans import queries as plans
+from lecturelake.schemas import TABLES
 from lecturelake.storage import scratch
 
+from conftest import DATA
+
 
 def plan(spark, rows):
     df = spark.createDataFrame(rows, "job_id int, clip_seconds double, chunk_seconds int, overlap_seconds int")
@@ -207,3 +210,10 @@ def test_word_error_rate_equals_brute_force(spark, tmp_path):
         want[source] = (e + distance(w, [x for i, x in enumerate(w, 1) if i % 10]), n + len(w))
     got = {r.source: (r.edits, r.reference_words, r.wer) for r in plans.queries()["agg_wer"](spark, str(tmp_path)).collect()}
     assert got == {s: (e, n, e / n) for s, (e, n) in want.items()} and min(e for e, _ in want.values()) > 0
+
+
+def test_tables_are_read_by_load_tables(spark, monkeypatch):
+    loaded, load = [], sources.load_tables
+    monkeypatch.setattr(sources, "load_tables", lambda *a: loaded.append(load(*a)) or loaded[-1])
+    got = {r.name: r.n for r in plans.queries()["src_tables"](spark, str(DATA / "sf0.001")).collect()}
+    assert len(loaded) == 1 and set(got) == set(TABLES) and min(got.values()) > 0
