@@ -201,6 +201,6 @@ def keep_good(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> Data
     return scored(docs, sample).where(F.col("quality_score") >= least).select(*docs.columns)
 
 
-def kept_scores(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, quality_score) of the documents that the classifier keeps."""
-    return scored(docs.select("doc_id", "text")).where(F.col("quality_score") >= least).select("doc_id", "quality_score")
+def all_scores(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, quality_score, kept) of every row; kept where the score reaches `least`, as in keep_good."""
+    return scored(docs.select("doc_id", "text")).select("doc_id", "quality_score", (F.col("quality_score") >= least).alias("kept"))

@@ -47,7 +47,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.kept_scores(_table(spark, sf_dir, "documents"))
+    return quality.all_scores(_table(spark, sf_dir, "documents"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,13 @@ def test_quality_on_held_out_labels(spark, odd, empty):
     assert quality.scored(odd).count() == odd.count() and quality.keep_good(odd).columns == odd.columns and quality.scored(empty).count() == 0
 
 
+def test_quality_scores_every_document(spark, docs):
+    got = queries.op8_quality(spark, str(FOLDER)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect())
+    assert {r.kept for r in got} == {True, False} and all(r.kept == (r.quality_score >= 0.5) for r in got)
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(r.doc_id for r in quality.keep_good(docs).collect())
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.8
