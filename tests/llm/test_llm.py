@@ -404,6 +404,22 @@ def test_pipeline(spark, docs):
     assert corpus_pipeline.run(spark, str(FOLDER)).count() > 0
 
 
+def test_near_dedup_stage_equals_brute_force(spark, docs):
+    """The stage against Jaccard of all pairs, with pairs at 0.80 to 0.85 and lines repeated 20 times among them."""
+    rng, rows = random.Random(9), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for i in range(10**6, 10**6 + 40, 2):
+        text, d = [f"v{rng.randrange(10**6)}" for _ in range(214)], 17 + i // 2 % 7
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text[:-d] + [f"u{rng.randrange(10**6)}" for _ in range(d)] if i % 8 else text + text[40:55] * 20))]
+    sets = [set(hashes(t, 5)) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
+    label, least = roots(len(rows), links), {}
+    for (d, _), k in zip(rows, label):
+        least[k] = min(d, least.get(k, d))
+    table = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], DOCS)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, table, str(FOLDER)).collect())
+    assert got == sorted((d, t) for (d, t), k in zip(rows, label) if least[k] == d) and len(links) >= 20
+
+
 def test_base_phrases_equal_brute_force(odd, docs):
     for df in (odd, docs):
         want = []
