@@ -420,6 +420,18 @@ def test_near_dedup_stage_equals_brute_force(spark, docs):
     assert got == sorted((d, t) for (d, t), k in zip(rows, label) if least[k] == d) and len(links) >= 20
 
 
+def test_mixing_stage_repeats_whole_documents(spark, docs):
+    """The stage's rows against the SQL's budgets: a document comes as often as its words taken, rounded half up, say."""
+    c = duckdb.connect()
+    c.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = []
+    for d, size, taken in c.sql(f"SELECT doc_id, size, taken FROM ({mixing.mix_sql()})").fetchall():
+        want += [(d, texts[d] or "")] * (math.floor(taken / size + 0.5) if size else 0)
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.mix(spark, docs, str(FOLDER)).collect())
+    assert got == sorted(want) and len({d for d, _ in want}) < len(want)
+
+
 def test_base_phrases_equal_brute_force(odd, docs):
     for df in (odd, docs):
         want = []
