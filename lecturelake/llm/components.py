@@ -11,8 +11,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src, dst): component is the smallest node that can be reached.
 
     Alternates large-star and small-star steps, which halve distances, until the pairs no longer change. Every step
-    is a grouped minimum (combined before the shuffle) and a join, so no node's neighbours meet in one task; each
-    round is written to the shared folder. Pairs with a null and loops are left out; repeated pairs count once. An
+    is a grouped minimum (combined before the shuffle) and a join with its table, written to the shared folder so that
+    Spark can split the neighbours of a hub over tasks; each round is written too. Pairs with a null and loops are left out; repeated pairs count once. An
     empty input gives an empty result.
     """
     src, dst = F.col("src").cast("long"), F.col("dst").cast("long")
@@ -31,12 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the smallest node of its neighbourhood."""
     both = pairs.union(pairs.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of these."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")))
     moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", "m")).distinct()

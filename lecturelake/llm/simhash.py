@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import LOWER_BYTES, stored
 from .components import connected_components
@@ -19,8 +20,11 @@ SEED = 42
 MIX = tuple(xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(64))
 #: The wide fingerprint: words of 64 bits, the first 54 in three segments, so that a segment's variants stay selective.
 WIDE_WORD, WIDE_SEGMENT, WIDE_PER_WORD = 64, 18, 3
-#: Words of the wide fingerprint that go with every key, to verify candidates in the join.
-CHECKED = 2
+#: A one in each byte of a long.
+BYTE_ONES = np.uint64(0x0101010101010101)
+#: How the work on near-duplicates is dealt: groups of a hot key, candidates of a node in the first pass, nodes of a key whose
+#: pairs are all looked at, and holders of a shingle that counts as rare. None of them decides what is found.
+SALTS, NEAREST, CROWD, RARE = 64, 8, 100, 32
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -111,114 +115,298 @@ def simhash_components(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     roots = connected_components(close_pairs(fps, max_bits)).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    named = stored(rooted.join(ids, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ---- near-duplicates by similarity of word shingles ----
 
 
-def wide_signature(text: str | None, n: int, words: int, wildcards: int) -> tuple[list[int], list[int]]:
-    """The wide fingerprint as words of 64 bits, signed, and the keys of its one-wildcard segment variants.
+class _WordHashes(dict):
+    """XXH64 of words as they are asked for; it forgets all when it holds many."""
 
-    Distinct shingles count once each, as they do in the similarity, so a line that is repeated often rules no bit.
-    A segment's wildcards are those of its bits that are nearest to flipping: an edit of the text that changes one
-    bit of the segment nearly always changes one of these. None of either for a text without words.
-    """
-    hashes = np.unique(shingle_hashes(text, n))
-    if not len(hashes):
-        return [], []
-    prints, keys = [], []
-    for k in range(words):
-        mixed = hashes * np.uint64(MIX[2 * k])
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(MIX[2 * k + 1])
-        counts = bit_counts(mixed) * 2 - len(hashes)
-        ones = (counts > 0).astype(np.int64)
-        prints.append(int(np.packbits(counts > 0).view(">i8")[0]))
-        for s in range(WIDE_PER_WORD):
-            span = slice(s * WIDE_SEGMENT, (s + 1) * WIDE_SEGMENT)
-            value = int(ones[span] @ (1 << np.arange(WIDE_SEGMENT)))
-            for hole in np.argsort(np.abs(counts[span]), kind="stable")[:wildcards].tolist():
-                keys.append((((k * WIDE_PER_WORD + s) * 32 + hole) << 32) | (value & ~(1 << hole)))
-    return prints, keys
-
-
-def max_wide_bits(similarity: float, bits: int) -> int:
-    """Bits of `bits` in which texts of that similarity differ with no exception to speak of: the mean and five deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words: int = 20, wildcards: int = 4) -> DataFrame:
-    """(doc_id, component_id) of every document that has a near-duplicate.
+def shingle_set(text: str | None, n: int, known: dict[bytes, int]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of n-word shingles; fewer words make one shingle, none makes none."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = min(n, len(words))
+    total = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        total = total * np.uint64(MIX[0]) + each[k : k + len(total)]
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(MIX[1])
+    return np.unique(total)
 
-    Near-duplicates share `similarity` or more of their n-word shingles (Jaccard, ASCII case ignored). `words` words
-    of 64 bits are the fingerprint, three segments of 18 bits each. With the four wildcards nearest to flipping, of 18,
-    two texts at similarity 0.8 share a variant of a segment with probability 0.121 (0.217 with all 18, at 4.5 times the
-    keys), so of one in 60 segments with 0.9996. Candidates must be near in CHECKED words of their fingerprints too,
-    which the join itself verifies and one true pair in 750,000 fails, so that most texts that share a passage only
-    never leave it;
-    they are then verified on the shingles themselves. Equal texts are one node. Needs distinct doc_ids for exact
-    results; rows with a null doc_id are left alone. Texts of fewer than n words are one shingle; texts without words
-    are near-duplicates of each other.
+
+def wide_signatures(sets: list[np.ndarray], words: int, wildcards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Wide fingerprints of sets of shingle hashes, none of them empty: (words of 64 bits, wildcards of each segment).
+
+    Distinct shingles count once each, as they do in the similarity, so a line that is repeated often rules no bit.
+    A segment's wildcards are those of its bits that are nearest to flipping, five bits of a long for each: an edit of
+    the text that changes one bit of the segment nearly always changes one of these.
     """
-    prints = [f"p{k}" for k in range(min(CHECKED, words))]
-    signature = F.pandas_udf(_signatures(n, words, wildcards), ", ".join(f"{p} long" for p in prints) + ", keys array<long>")
-    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shown = base.select("doc_id", F.md5("text").alias("digest"), signature("text").alias("s"))
-    shown = stored(shown.select("doc_id", "digest", "s.*"))
-    copies = shown.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    heads = shown.join(copies.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    keys = heads.select("doc_id", *prints, F.explode("keys").alias("key"))
-    a, b = keys.alias("a"), keys.alias("b")
-    far = max_wide_bits(similarity, WIDE_WORD * len(prints))
-    differ = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in prints), F.lit(0))
-    met = (
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.doc_id") < F.col("b.doc_id"))
-        & (differ <= far)
-    )
-    found = a.join(b, met).select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst")).distinct()
-    found = stored(found)
-    ids = stored(found.select(F.col("src").alias("doc_id")).union(found.select("dst")).distinct())
-    sets = stored(base.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(n), "doc_id long, shingles array<int>"))
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("src", "dst"))
-    sized = found.join(left, "src").join(right, "dst")
-    sized = sized.select("src", "dst", F.size(F.array_intersect("src_set", "dst_set")).alias("both"), (F.size("src_set") + F.size("dst_set")).alias("all"))
-    links = sized.where(F.col("both") >= similarity * (F.col("all") - F.col("both"))).select("src", "dst")
-    same_text = shown.join(copies, "digest").where("doc_id <> least").select(F.col("least").alias("src"), F.col("doc_id").alias("dst"))
-    blank = shown.where(F.size("keys") == 0)
-    same_blank = blank.crossJoin(F.broadcast(blank.agg(F.min("doc_id").alias("least")))).where("doc_id <> least")
-    links = links.union(same_text).union(same_blank.select(F.col("least").alias("src"), F.col("doc_id").alias("dst")))
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-
-
-def _signatures(n: int, words: int, wildcards: int):
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = [wide_signature(t, n, words, wildcards) for t in texts]
-        prints = {f"p{k}": [p[k] if p else 0 for p, _ in out] for k in range(min(CHECKED, words))}
-        return pd.DataFrame(prints | {"keys": [k for _, k in out]})
-
-    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    balance = np.zeros((len(sets), words, 64), np.int64)
+    for first, last in _spans(sizes):
+        balance[first:last] = _bit_balance(sets[first:last], sizes[first:last], words)
+    prints = np.packbits(balance > 0, axis=2, bitorder="little").view("<i8")[..., 0]
+    spans = np.abs(balance[..., : WIDE_SEGMENT * WIDE_PER_WORD].reshape(len(sets), words * WIDE_PER_WORD, WIDE_SEGMENT))
+    nearest = np.partition(spans * 32 + np.arange(WIDE_SEGMENT), wildcards - 1, axis=2)[..., :wildcards] & 31
+    return prints, (nearest << (5 * np.arange(wildcards))).sum(2)
+
+
+def _spans(sizes: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with `most` shingles or so together; a longer document has a range of its own."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def _bit_balance(sets: list[np.ndarray], sizes: np.ndarray, words: int, most: int = 1 << 15) -> np.ndarray:
+    """For every set, word and bit: the hashes that have the bit less those that do not.
+
+    Eight bits at a time are summed in the bytes of a long, over runs of 255 hashes or fewer.
+    """
+    runs = [np.arange(0, size, 255) for size in sizes.tolist()]
+    of = np.repeat(np.arange(len(sets)), [len(r) for r in runs])
+    ones = np.zeros((len(sets), words, 64), np.int64)
+    hashes = np.concatenate(sets)
+    cuts = np.concatenate([r + start for r, start in zip(runs, np.cumsum(sizes) - sizes)])
+    step = max(1, most // 255)
+    for k in range(0, len(cuts), step):
+        here, end = cuts[k : k + step], cuts[k + step] if k + step < len(cuts) else len(hashes)
+        heads = np.flatnonzero(np.diff(of[k : k + step], prepend=-1))
+        for w in range(words):
+            mixed = hashes[here[0] : end] * np.uint64(MIX[2 * w])
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(MIX[2 * w + 1])
+            for bit in range(8):
+                sums = np.add.reduceat((mixed >> np.uint64(bit)) & BYTE_ONES, here - here[0])
+                ones[of[k : k + step][heads], w, bit::8] += np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), heads, axis=0, dtype=np.int64)
+    return 2 * ones - sizes[:, None, None]
+
+
+def _wide_rows(n: int, words: int, wildcards: int):
+    """(doc_id, text) to (doc_id, digest of the set of shingles, fingerprint words, wildcards), a few rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                sets = [shingle_set(t.as_py(), n, known) for t in part.column("text")]
+                some = [s for s in sets if len(s)]
+                prints, holes = wide_signatures(some, words, wildcards) if some else ([], [])
+                rows = iter(zip(prints, holes))
+                both = [next(rows) if len(s) else (None, None) for s in sets]
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                columns = [pa.array([b[k] for b in both], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), *columns], names=["doc_id", "digest", "prints", "holes"])
+
     return run
 
 
-def _shingle_sets(n: int, rows: int = 256):
-    """(doc_id, text) to (doc_id, shingles): the distinct shingle hashes, folded to 32 bits, a few rows at a time."""
+def _shingle_sets(n: int):
+    """(doc_id, text) to (node, part, shingles): the distinct shingle hashes; part tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
         for batch in batches:
-            for first in range(0, batch.num_rows, rows):
-                part = batch.slice(first, rows)
-                sets = [np.unique(shingle_hashes(t.as_py(), n).astype(np.uint32).view(np.int32)) for t in part.column("text")]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "shingles"])
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                sets = [shingle_set(t.as_py(), n, known).view(np.int64) for t in part.column("text")]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+                parts = pa.array([xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), parts, lists], names=["node", "part", "shingles"])
 
     return run
 
 
+def most_bits(similarity: float, bits: int, lost: float) -> int:
+    """Fewest bits d such that texts of that similarity differ in more than d of `bits` with probability `lost` or less."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    tail, d = 1.0, -1
+    while tail > lost:
+        d += 1
+        tail -= math.comb(bits, d) * p**d * (1 - p) ** (bits - d)
+    return d
+
+
+def _bits(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _segment_keys(classes: DataFrame, words: int, wildcards: int) -> DataFrame:
+    """(key, node, p): a key for each one-wildcard variant of each segment; p is the fingerprint's first word."""
+    i = F.col("i")
+    at = F.expr(f"cast(i div {wildcards} as int)")
+    hole = _segment(F.get("holes", at), i % wildcards, 5).cast("int")
+    value = _segment(F.get("prints", F.expr(f"cast(i div {wildcards * WIDE_PER_WORD} as int)")), at % WIDE_PER_WORD, WIDE_SEGMENT)
+    blotted = value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), hole)))
+    key = ((at * 32 + hole).cast("long") * (1 << WIDE_SEGMENT)).bitwiseOR(blotted)
+    every = F.sequence(F.lit(0), F.lit(words * WIDE_PER_WORD * wildcards - 1))
+    return classes.where("prints is not null").withColumn("i", F.explode(every)).select(key.alias("key"), "node", F.get("prints", F.lit(0)).alias("p"))
+
+
+def _shared_keys(classes: DataFrame, words: int, wildcards: int, near: int) -> DataFrame:
+    """(node, p, keys, reps) of every node that may share a key with a near one.
+
+    keys are the node's keys (words * 3 * wildcards at most) that three nodes have, or two near ones; reps are the
+    smallest nodes of these keys with their distance, of those that differ from it in `near` bits of p or fewer. A key
+    that one node in 1,000 has, as a sample of the nodes tells, is dealt over SALTS groups with a smallest node each, so that
+    no task gets all of a hot key; of these keys there are 1,000 times a node's keys at most, which bounds the
+    broadcast. The sample only decides how rows are dealt.
+    """
+    keys = _segment_keys(classes, words, wildcards)
+    sample = _segment_keys(classes.where("pmod(xxhash64(node, 7), 64) = 0"), words, wildcards)
+    least = max(16, sample.select("node").distinct().count() // 1000)
+    hot = stored(sample.groupBy("key").count().where(F.col("count") > least).select("key", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.expr(f"cast(pmod(xxhash64(node, 8), {SALTS}) as int)")).otherwise(0)
+    dealt = keys.join(F.broadcast(hot), "key", "left").select("key", "node", "p", F.coalesce("hot", F.lit(False)).alias("hot"), salt.alias("salt"))
+    bucket = Window.partitionBy("key", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = dealt.select("*", F.first("node").over(bucket).alias("rep"), F.first("p").over(bucket).alias("rep_p"), F.last("p").over(bucket).alias("last_p"), F.count("*").over(bucket).alias("n"))
+    met = met.where((F.col("n") > 2) | F.col("hot") | ((F.col("n") == 2) & (_bits("rep_p", "last_p") <= near)))
+    rep = F.when((F.col("node") != F.col("rep")) & (_bits("p", "rep_p") <= near), F.struct(_bits("p", "rep_p").alias("d"), "rep"))
+    return met.groupBy("node", "p").agg(F.collect_set("key").alias("keys"), F.collect_list(rep).alias("reps"))
+
+
+def _closest(shared: DataFrame) -> DataFrame:
+    """Pairs (src, dst): to each node the NEAREST of its reps, those that share most keys and then those with most equal bits."""
+    each = shared.select(F.col("node").alias("dst"), F.explode("reps").alias("r"))
+    each = each.groupBy("dst", "r.rep").agg((-F.count("*")).alias("c"), F.min("r.d").alias("d"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("c", "d", "rep"))), 1, NEAREST)
+    return each.groupBy("dst").agg(best.alias("best")).select(F.explode("best.rep").alias("src"), "dst")
+
+
+class _Verifier:
+    """Decides candidate pairs (src, dst) of nodes: on all bits of their fingerprints, then on their shingles."""
+
+    def __init__(self, base: DataFrame, classes: DataFrame, n: int, similarity: float, words: int):
+        self.base, self.n, self.similarity = base, n, similarity
+        self.prints = classes.select("node", "prints")
+        self.far = most_bits(similarity, WIDE_WORD * words, 1e-6)
+        self.words = words
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """(src, dst, bits) of the pairs near in all words."""
+        left, right = (self.prints.select(F.col("node").alias(k), F.col("prints").alias(f"{k}_prints")) for k in ("src", "dst"))
+        bits = sum((F.bit_count(F.get("src_prints", F.lit(k)).bitwiseXOR(F.get("dst_prints", F.lit(k)))) for k in range(self.words)), F.lit(0))
+        return pairs.join(left, "src").join(right, "dst").select("src", "dst", bits.alias("bits")).where(F.col("bits") <= self.far)
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, part, shingles) of these distinct nodes."""
+        texts = self.base.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        return stored(texts.mapInArrow(_shingle_sets(self.n), "node long, part long, shingles array<long>"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that share enough of their shingles."""
+        sets = self.sets(stored(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()))
+        left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("src", "dst"))
+        both, all_ = F.size(F.array_intersect("src_set", "dst_set")), F.size("src_set") + F.size("dst_set")
+        sized = pairs.join(left, "src").join(right, "dst").select("src", "dst", both.alias("both"), all_.alias("all"))
+        return sized.where(F.col("both") >= self.similarity * (F.col("all") - F.col("both")) - 1e-9).select("src", "dst").distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows whose keys hold nodes of several components, with n, the nodes of their key."""
+    of_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    return rows.join(stored(of_key.where("a <> b").select("key", "n")), "key")
+
+
+def _possible(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows without nodes that match none of their key's, where `common` and `size` are known of all of these."""
+    of_key = stored(rows.groupBy("key").agg(F.min("size").alias("least"), (F.count("*") == F.count("size")).alias("known")))
+    whole = F.col("size") + F.greatest("least", "common") - F.col("common")
+    return rows.join(of_key, "key").where(~F.col("known") | (F.col("common") >= similarity * whole - 1e-9)).drop("n", "least", "known")
+
+
+def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near: int) -> DataFrame:
+    """Pairs (src, dst) of nodes that share a key, are not joined yet and may be near-duplicates.
+
+    Keys of a single component need no more work: copies of a text, however many, leave here. Nodes of keys with more
+    than CROWD nodes are looked at more closely, so that texts which only resemble a large group do not meet
+    all of it: shingles that RARE of these nodes or fewer have are `rare`; a pair that shares a rare one is found by
+    it, and any other pair shares at most the `common` shingles of either side, which bounds its similarity.
+    """
+    comp = comps.select("node", F.col("component").alias("comp"))
+    named = shared.join(comp, "node", "left").select("node", "p", F.coalesce("comp", "node").alias("comp"), F.explode("keys").alias("key"))
+    rows = stored(_mixed(stored(named)))
+    pool = stored(rows.where(F.col("n") > CROWD).select("node", "comp").distinct())
+    sets = verifier.sets(pool)
+    spread = sets.select("node", "part", F.explode("shingles").alias("shingle"))
+    rare = stored(spread.groupBy("shingle").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE))
+    held = stored(spread.join(rare, "shingle").join(pool, "node"))
+    own = held.groupBy("node", "part").agg(F.count("*").alias("rare"))
+    common = F.size("shingles") - F.coalesce("rare", F.lit(0))
+    sizes = sets.join(own, ["node", "part"], "left").groupBy("node").agg(F.max(common).alias("common"), F.min(F.size("shingles")).alias("size"))
+    rows = rows.join(stored(sizes), "node", "left")
+    for _ in range(2):
+        rows = stored(_mixed(stored(_possible(rows, verifier.similarity))))
+    a, b = rows.alias("a"), rows.alias("b")
+    common = F.least("a.common", "b.common")
+    possible = common >= verifier.similarity * F.greatest(F.col("a.size") + F.col("b.size") - common, common) - 1e-9
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & (_bits("a.p", "b.p") <= near)
+    by_key = a.join(b, met & F.coalesce(possible, F.lit(True)))  # least and greatest leave nulls out: a pair of unknown size is possible
+    many = held.where("holders > 1")
+    c, d = many.alias("a"), many.alias("b")
+    by_rare = c.join(d, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")))
+    return by_key.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).union(by_rare.select("a.node", "b.node")).distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words: int = 20, wildcards: int = 4) -> DataFrame:
+    """(doc_id, component_id) of every row of docs (doc_id, text): the smallest doc_id that links can reach, itself included.
+
+    Near-duplicates share `similarity` or more of their n-word shingles (Jaccard, ASCII case ignored). `words` words
+    of 64 bits are the fingerprint, three segments of 18 bits each. With the four wildcards nearest to flipping, of 18,
+    two texts at similarity 0.8 share a variant of a segment with probability 0.121 (0.217 with all 18, at 4.5 times the
+    keys), so of one in 60 segments with 0.9996. Candidates must also be near in the fingerprint's first word, which
+    one true pair in 10,000 at the similarity asked is not, and in all its words (one in a million); they are then
+    verified on all their shingles.
+
+    Texts of equal sets of shingles are one node, so copies cost one node however many. Links are found in two
+    passes, neither of which makes a row for each pair of a group. First every node is compared with one of the
+    smallest nodes of its keys, the nearest, and what is linked becomes a component. Then only keys that hold several components
+    are looked at, and only pairs across them: every pair that shares a key is decided or joined by a chain of
+    verified links.
+
+    Texts of fewer than n words are one shingle; null texts are empty; texts without words are near-duplicates of each
+    other. Rows with a null doc_id are left alone. Rows that repeat a doc_id are one document with several texts.
+    Columns other than doc_id and text are ignored. An empty table gives an empty result.
+    """
+    near = most_bits(similarity, WIDE_WORD, 1e-4)
+    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shown = stored(base.mapInArrow(_wide_rows(n, words, wildcards), "doc_id long, digest binary, prints array<long>, holes array<long>"))
+    classes = shown.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints"), F.first("holes").alias("holes"))
+    classes = stored(classes)
+    shared = stored(_shared_keys(classes, words, wildcards, near))
+    verifier = _Verifier(base, classes, n, similarity, words)
+
+    first = verifier.near(_closest(shared)).groupBy("dst").agg(F.min(F.struct("bits", "src"))["src"].alias("src"))
+    links = stored(verifier.links(stored(first)))
+    across = _pairs_across(shared, stored(connected_components(links)), verifier, near)
+    links = links.union(stored(verifier.links(stored(verifier.near(across).select("src", "dst")))))
+
+    members = stored(shown.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").select("doc_id", "node"))
+    texts = members.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("last")).where("src <> last")
+    same_doc = members.join(stored(texts.select("doc_id", "src")), "doc_id").where("src <> node").select("src", F.col("node").alias("dst"))
+    comps = stored(connected_components(links.union(same_doc)))
+    return members.join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+
+
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the near-duplicates of a document with a smaller doc_id; one document of each group stays.
 
