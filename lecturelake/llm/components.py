@@ -40,3 +40,18 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")))
     moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", "m")).distinct()
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, component) for every node of parents (node, component), which names one smaller node for each.
+
+    component becomes the end of the chain of parents; nodes that have none are left out. Chains halve in each round,
+    whose rows are written to the shared folder and joined with themselves. An empty input gives an empty result.
+    """
+    rows = stored(parents)
+    while True:
+        up = rows.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        moved = stored(rows.join(up, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")))
+        rows = moved.drop("moved")
+        if not moved.where("moved").head(1):
+            return rows

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import LOWER_BYTES, stored
-from .components import connected_components
+from .components import connected_components, forest_roots
 
 SEED = 42
 #: Fixed odd multipliers, two a word, that turn one shingle hash into several independent ones.
@@ -353,9 +353,8 @@ def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near
     own = held.groupBy("node", "part").agg(F.count("*").alias("rare"))
     common = F.size("shingles") - F.coalesce("rare", F.lit(0))
     sizes = sets.join(own, ["node", "part"], "left").groupBy("node").agg(F.max(common).alias("common"), F.min(F.size("shingles")).alias("size"))
-    rows = rows.join(stored(sizes), "node", "left")
-    for _ in range(2):
-        rows = stored(_mixed(stored(_possible(rows, verifier.similarity))))
+    rows = stored(_possible(stored(rows.join(stored(sizes), "node", "left")), verifier.similarity))
+    rows = stored(_mixed(rows))
     a, b = rows.alias("a"), rows.alias("b")
     common = F.least("a.common", "b.common")
     possible = common >= verifier.similarity * F.greatest(F.col("a.size") + F.col("b.size") - common, common) - 1e-9
@@ -396,9 +395,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words:
     verifier = _Verifier(base, classes, n, similarity, words)
 
     first = verifier.near(_closest(shared)).groupBy("dst").agg(F.min(F.struct("bits", "src"))["src"].alias("src"))
-    links = stored(verifier.links(stored(first)))
-    across = _pairs_across(shared, stored(connected_components(links)), verifier, near)
-    links = links.union(stored(verifier.links(stored(verifier.near(across).select("src", "dst")))))
+    trees = forest_roots(verifier.links(stored(first)).select(F.col("dst").alias("node"), F.col("src").alias("component")))
+    across = _pairs_across(shared, trees, verifier, near)
+    links = trees.select(F.col("component").alias("src"), F.col("node").alias("dst")).union(verifier.links(stored(verifier.near(across).select("src", "dst"))))
 
     members = stored(shown.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").select("doc_id", "node"))
     texts = members.groupBy("doc_id").agg(F.min("node").alias("src"), F.max("node").alias("last")).where("src <> last")
