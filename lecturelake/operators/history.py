@@ -21,11 +21,20 @@ def current_classrooms(history: DataFrame) -> DataFrame:
 
 
 def asof_classroom(recordings: DataFrame, history: DataFrame) -> DataFrame:
-    """Adds asof_classroom: where the recording's camera was at its start. Always joined by camera, never by time alone."""
-    h = history.select(F.col("camera_id").alias("_camera"), F.col("classroom_id").alias("asof_classroom"), F.col("started_at").alias("_from"), F.col("ended_at").alias("_until"))
-    at = F.col("recording_started_at")
-    met = (F.col("camera_id") == F.col("_camera")) & (F.col("_from") <= at) & (F.col("_until").isNull() | (at < F.col("_until")))
-    return recordings.join(h, met, "left").select(*recordings.columns, "asof_classroom")
+    """Adds asof_classroom: where the recording's camera was at its start, null if nowhere.
+
+    Recordings and intervals of a camera are put in order of time together, and each recording takes the last interval
+    begun: work is in proportion to both, where a join on the camera would pair each of its recordings with all of its
+    intervals. Intervals must not overlap, as those of assignment_history by event time; of several that
+    start at once the last to end counts. Recordings without a camera or a start stay, with null."""
+    rec = recordings.select(F.struct(*recordings.columns).alias("rec"), F.col("camera_id").alias("camera"), F.col("recording_started_at").alias("at"))
+    span = F.when(F.col("ended_at").isNull() | (F.col("ended_at") > F.col("started_at")), F.struct("classroom_id", "ended_at"))
+    until = F.coalesce("ended_at", F.lit("9999-12-31").cast("timestamp"))
+    begun = history.select(F.col("camera_id").alias("camera"), F.col("started_at").alias("at"), span.alias("span"), until.alias("until")).where("span is not null and camera is not null")
+    order = Window.partitionBy("camera").orderBy("at", F.col("rec").isNotNull(), "until").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rec.unionByName(begun, allowMissingColumns=True).withColumn("open", F.last("span", ignorenulls=True).over(order)).where("rec is not null")
+    held = (F.col("open.ended_at").isNull() | (F.col("at") < F.col("open.ended_at"))) & F.col("at").isNotNull()
+    return rows.select("rec.*", F.when(held, F.col("open.classroom_id")).alias("asof_classroom"))
 
 
 def assignment_drift(cameras: DataFrame, history: DataFrame) -> DataFrame:

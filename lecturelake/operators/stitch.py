@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import normalize_text, normalize_word, strip, words
 
@@ -29,11 +29,11 @@ def dedup_overlap(chunks: DataFrame, max_words: int = MAX_WORDS, min_words: int
     return rows.withColumn("clean_text", clean).select(*chunks.columns, "clean_text", "removed_words")
 
 
-def merge_transcript(parts: DataFrame, text: str = "clean_text") -> DataFrame:
-    """One text per job: its chunks' parts that are not blank, in order, with a blank line between."""
+def merge_transcript(parts: DataFrame, text: str = "clean_text", *also: Column) -> DataFrame:
+    """One text per job: its chunks' parts that are not blank, in order, with a blank line between; further aggregates in `also`."""
     part = strip(text)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part != "", F.struct(F.col("chunk_index"), part.alias("t"))))), lambda x: x["t"]), "\n\n")
-    return parts.groupBy("job_id").agg(strip(joined).alias("transcript_text"))
+    return parts.groupBy("job_id").agg(strip(joined).alias("transcript_text"), *also)
 
 
 def chunk_text(segments: DataFrame) -> DataFrame:

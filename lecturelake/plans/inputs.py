@@ -42,8 +42,9 @@ class Inputs:
         """Documents as overlapping chunks: windows of 50 words, every 45 words."""
         rows = self.documents.select(F.col("doc_id").alias("job_id"), words("text").alias("w"))
         last = F.greatest(F.lit(0), F.ceil((F.size("w") - 50) / 45)).cast("int")
-        rows = rows.select("job_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-        return rows.select("job_id", "chunk_index", F.array_join(F.slice("w", F.col("chunk_index") * 45 + 1, 50), " ").alias("text"))
+        # slices are made before the explode, so that no chunk carries its document's words
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * 45 + 1, 50), " "))
+        return rows.select("job_id", F.posexplode(pieces).alias("chunk_index", "text"))
 
 
 def with_roles(sql: str) -> str:

@@ -181,12 +181,10 @@ def _(t: Inputs) -> DataFrame:
     return sources.classify_response(t.events.select("event_id", headers.alias("headers"), code.alias("status_code"), body.alias("body"))).select("event_id", "request_id", "outcome", "message")
 
 
-@query("snk_export_txt", "SELECT job_id::BIGINT AS job_id, CASE WHEN coalesce(reviewed_text, '') <> '' THEN reviewed_text ELSE transcript_text END AS text FROM jobs WHERE status = 'APPROVED' AND (coalesce(reviewed_text, '') <> '' OR transcript_text <> '')")
+@query("snk_export_txt", "SELECT job_id::BIGINT AS job_id, coalesce(CASE WHEN coalesce(reviewed_text, '') <> '' THEN reviewed_text ELSE transcript_text END, '') AS text FROM jobs")
 def _(t: Inputs) -> DataFrame:
     path = scratch(t.spark)
-    done = t.jobs.where((F.col("status") == "APPROVED") & (F.coalesce(fn.final_text(), F.lit("")) != ""))
-    # a folder per job is right for a day's exports; the whole history goes by a bucket of jobs instead
-    done.select((F.col("job_id").cast("long") % 16).alias("bucket"), F.concat_ws("\t", "job_id", F.coalesce(fn.final_text(), F.lit(""))).alias("text")).write.partitionBy("bucket").text(path)
+    sources.export_txt(t.jobs, path, buckets=16)
     line = F.split("value", "\t", 2)
     return t.spark.read.text(path).select(line[0].cast("long").alias("job_id"), line[1].alias("text"))
 
@@ -398,20 +396,16 @@ def _(t: Inputs) -> DataFrame:
     return guards.enrich_jobs(requests, t.recordings, t.schedules).select("job_id", "professor_id", "course_id", "reject_reason")
 
 
-_OFFSETS = "greatest(0, CAST(day AS TIMESTAMP)::TIMESTAMP - recording_started_at + to_seconds(start_time))"
-_CLIP = "greatest(0.0, start_time - date_diff('second', day::TIMESTAMP, date_trunc('second', recording_started_at)))"
-
-
 def _interval_sql(days: str, where: str) -> str:
     at = "date_diff('microsecond', recording_started_at, day::TIMESTAMP + to_seconds({0}))"
-    second = f"trunc({at} / 1000000.0)"
+    second = f"({at} / 1000000.0)"
     return f""", r AS (SELECT *, {days} AS day FROM recordings), x AS (SELECT r.id AS recording_id, s.id AS schedule_id, day, greatest(0.0, {second.format('start_time')})::DOUBLE AS a, least(duration_seconds, {second.format('end_time')})::DOUBLE AS b FROM r JOIN schedules s ON s.classroom_id = r.classroom_id WHERE s.active {where})
- SELECT recording_id, schedule_id, strftime(day, '%Y-%m-%d') AS day, a AS offset_start_seconds, round(b, 3) AS offset_end_seconds FROM x WHERE b > a"""
+ SELECT recording_id, schedule_id, strftime(day, '%Y-%m-%d') AS day, a AS offset_start_seconds, b AS offset_end_seconds FROM x WHERE b > a"""
 
 
 def _proposed(t: Inputs, mode: str) -> DataFrame:
     out = schedules.propose_intervals(t.recordings, t.schedules, "UTC", mode)
-    return out.select("recording_id", "schedule_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "offset_start_seconds", F.round("offset_end_seconds", 3).alias("offset_end_seconds"))
+    return out.select("recording_id", "schedule_id", F.col("day").cast("string").alias("day"), "offset_start_seconds", "offset_end_seconds")
 
 
 @query("jon_schedule_interval", _interval_sql("recording_started_at::DATE", ""))
@@ -496,8 +490,8 @@ _MERGED = f"{CHUNKS}, mt AS (SELECT job_id, count(*) AS chunks, sum(removed_word
 def stitched(t: Inputs) -> DataFrame:
     """Documents cut into overlapping chunks, stitched again: one text each, with counts of chunks and removed words."""
     clean = stitch.dedup_overlap(t.chunks())
-    counts = clean.groupBy("job_id").agg(F.count("*").alias("chunks"), F.sum("removed_words").alias("removed_words"))
-    return stitch.merge_transcript(clean).join(counts, "job_id").select("job_id", "chunks", "removed_words", F.md5("transcript_text").alias("text"))
+    counts = F.count("*").alias("chunks"), F.sum("removed_words").alias("removed_words")
+    return stitch.merge_transcript(clean, "clean_text", *counts).select("job_id", "chunks", "removed_words", F.md5("transcript_text").alias("text"))
 
 
 @query("agg_rtf", "SELECT job_id, CASE WHEN clip_seconds > 9000 THEN NULL WHEN clip_seconds > 0 THEN processing_seconds / clip_seconds END AS rtf FROM jobs")

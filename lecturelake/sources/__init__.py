@@ -100,9 +100,20 @@ def parse_gpu_csv(lines: DataFrame, column: str = "line") -> DataFrame:
 # ---- sinks ----
 
 
-def export_txt(jobs: DataFrame, path: str) -> None:
-    """One text file set per job with its final text."""
-    jobs.select("job_id", F.coalesce(final_text(), F.lit("")).alias("text")).write.mode("overwrite").partitionBy("job_id").text(path)
+def export_txt(jobs: DataFrame, path: str, buckets: int | None = None) -> None:
+    """One text for each job, its final text, empty if it has none.
+
+    Each job has a folder of its own, with its text as it is. For a whole history that is too many files: with
+    `buckets`, jobs go to that many folders by a hash of job_id, a line each: job_id, a tab, and the text with its
+    backslashes and line ends escaped (\\\\, \\n, \\r)."""
+    text = F.coalesce(final_text(), F.lit("")).alias("text")
+    if buckets is None:
+        jobs.select("job_id", text).write.mode("overwrite").partitionBy("job_id").text(path)
+        return
+    for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    line = F.concat_ws("\t", "job_id", text).alias("text")
+    jobs.select(F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"), line).write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 def export_documents(jobs: DataFrame, segments: DataFrame) -> DataFrame:

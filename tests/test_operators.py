@@ -142,6 +142,35 @@ def test_calendar_takes_weekday_and_validity(spark):
     assert [(r.schedule_id, r.offset_start_seconds, r.offset_end_seconds) for r in got] == [("a", 32400.0, 36000.0)]
 
 
+def test_intervals_keep_fractions_and_meet_once(spark):
+    rec = spark.sql("""select * from values ('r', 'c', timestamp'2024-01-01 08:00:00.4', 3600D), ('long', 'c', timestamp'2024-01-01 00:30:00', 200000D),
+        ('open', 'c', timestamp'2024-01-01 09:30:00', null), ('none', 'c', null, 60D) r(id, classroom_id, recording_started_at, duration_seconds)""")
+    slots = spark.sql("""select id, 'c' classroom_id, 0 day_of_week, a start_time, b end_time, date(null) valid_from, date(null) valid_until, true active
+        from values ('s', 28860, 29000), ('early', 0, 43200), ('night', 82800, 93600), ('back', 7200, 3600) t(id, a, b)""")
+    got = {(r.recording_id, r.schedule_id): (r.offset_start_seconds, r.offset_end_seconds) for r in schedules.propose_intervals(rec, slots, "UTC", "same_day").collect()}
+    assert got == {
+        ("r", "s"): (59.6, 199.6), ("r", "early"): (0.0, 3600.0), ("long", "s"): (27060.0, 27200.0), ("long", "early"): (0.0, 41400.0),
+        ("long", "night"): (81000.0, 91800.0), ("open", "early"): (0.0, 9000.0), ("open", "night"): (48600.0, 59400.0),
+    }
+    assert schedules.propose_intervals(rec, slots, "UTC", "same_day").count() == len(got)
+
+
+def test_export_txt_keeps_every_job(spark, tmp_path):
+    rows = [("a", "", "one\ntwo\\n\tthree"), ("b", "seen", "x"), ("c", None, None)]
+    jobs = spark.createDataFrame(rows, "job_id string, reviewed_text string, transcript_text string")
+    sources.export_txt(jobs, str(tmp_path / "jobs"))
+    assert (tmp_path / "jobs" / "job_id=c").exists()
+    sources.export_txt(jobs, str(tmp_path / "all"), buckets=2)
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "all")).collect())
+    assert lines == ["a\tone\\ntwo\\\\n\tthree", "b\tseen", "c\t"]
+
+
+def test_asof_takes_the_last_interval_begun(spark):
+    rec = spark.sql("select * from values (1, 'k', timestamp'2024-01-02'), (2, 'k', timestamp'2024-01-05'), (3, 'k', timestamp'2023-01-01'), (4, null, timestamp'2024-01-02'), (5, 'k', null), (6, 'k', timestamp'2024-01-03') r(id, camera_id, recording_started_at)")
+    his = spark.sql("select * from values ('k', 'A', timestamp'2024-01-02', timestamp'2024-01-03'), ('k', 'B', timestamp'2024-01-04', null), ('k', 'Z', timestamp'2024-01-05', timestamp'2024-01-05') h(camera_id, classroom_id, started_at, ended_at)")
+    assert {r.id: r.asof_classroom for r in history.asof_classroom(rec, his).collect()} == {1: "A", 2: "B", 3: None, 4: None, 5: None, 6: None}
+
+
 def test_rules_and_guards(spark):
     df = spark.createDataFrame([("x", "ab", None), ("xy", "abc", "z" * 241), (None, "abc", None)], "code string, name string, address string")
     assert [r.errors for r in rules.validate(df, "site").collect()] == [["code.length"], ["address.length"], ["code.required"]]
