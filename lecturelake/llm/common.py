@@ -27,10 +27,13 @@ def word_count(c: Column) -> Column:
 def scratch(spark: SparkSession) -> str:
     """A new folder name in the folder that spark.checkpoint.dir names, which the whole cluster shares.
 
-    Where the setting is missing (a test on one machine), a temporary folder is set for the session.
+    Where the setting is missing and the master is this machine alone, as in tests, a temporary folder is set for the
+    session. On a cluster executors could not share it, so there the setting must be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lecturelake-{uuid.uuid4().hex}"

@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from .common import stored
 
 UNIT = 64
 RATE = 8000
@@ -186,47 +187,49 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % UNIT or UNIT * (not raw))
 
 
-@F.pandas_udf(T.BinaryType())
-def to_media(texts: pd.Series) -> pd.Series:
-    """A text column as a media column."""
-    return pd.Series([encode(padded(t)[1]) for t in texts], dtype=object)
-
-
-@F.pandas_udf(T.BinaryType())
-def from_media(media: pd.Series) -> pd.Series:
-    """The payload of a media column, verified."""
-    return pd.Series([payload_of(m)[0] for m in media], dtype=object)
-
-
 #: Rows that are in their media form at once in a task.
 ROWS = 256
 
 
-def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, int, bytes]]]:
-    """(doc_id, n_bytes, media) of every row."""
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, ROWS):
-            part = batch.slice(first, ROWS).to_pydict()
-            yield [(i, n, encode(payload)) for i, (n, payload) in zip(part["doc_id"], map(padded, part["text"]))]
+            part = batch.slice(first, ROWS)
+            sized = [padded(t.as_py()) for t in part.column("text")]
+            media = pa.array([encode(payload) for _, payload in sized], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for n, _ in sized], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
+
+
+def to_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): every row's whole text as a media column, and its bytes before padding."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _stored(batches):
-        out = []
-        for doc_id, n, data in rows:
-            payload, streams = payload_of(data)
-            out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, streams)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SCHEMA.types)], schema=_SCHEMA)
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            part, out = batch.slice(first, ROWS), []
+            for doc_id, n, media in zip(*(part.column(k) for k in range(3))):
+                data = media.as_py()
+                payload, streams = payload_of(data)
+                out.append((doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, streams)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SCHEMA.types)], schema=_SCHEMA)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
+def read_media(media: DataFrame) -> DataFrame:
+    """What is read back of a media column (doc_id, n_bytes, media): its payload, verified, and features."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
 def texts_as_media(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes and what is read back of its text's media form.
 
-    A null text counts as empty, whose payload is 64 zero bytes; null and repeated doc_ids are allowed and other
-    columns ignored. Each row is encoded and decoded in one task, a few hundred rows at a time; nothing is shuffled.
+    The media column is written as a table in the shared folder, and what is returned is read from there. A null text
+    counts as empty, whose payload is 64 zero bytes; null and repeated doc_ids are allowed and other columns ignored.
+    Each row is encoded, and later decoded, in one task, a few hundred rows at a time; nothing is shuffled.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return read_media(stored(to_media(docs)))

@@ -180,6 +180,11 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     A null text counts as empty; a text without words scores 0. Every row stays, with all its columns (one called
     quality_score is replaced). Nothing is shuffled but vote counts and the bounded sample.
     """
+    return docs.withColumn("quality_score", _scorer(docs, sample)("text"))
+
+
+def _scorer(docs: DataFrame, sample: int):
+    """The fitted scorer as a function of a text column."""
     _, weights = fit(docs, sample)
 
     def score(texts: pd.Series) -> pd.Series:
@@ -193,14 +198,20 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return pd.Series(out, dtype="float64")
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return docs.withColumn("quality_score", F.pandas_udf(score, T.DoubleType())("text"))
+    return F.pandas_udf(score, T.DoubleType())
 
 
 def keep_good(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose score reaches `least`; columns stay."""
-    return scored(docs, sample).where(F.col("quality_score") >= least).select(*docs.columns)
+    """The rows of docs whose score reaches `least`; all columns stay, whatever their names.
+
+    A null or empty text scores 0 and goes; repeated rows stay or go together. An empty table gives an empty result.
+    """
+    return docs.where(_scorer(docs, sample)(F.col("text")) >= least)
 
 
 def all_scores(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, quality_score, kept) of every row; kept where the score reaches `least`, as in keep_good."""
+    """(doc_id, quality_score, kept) of every row; kept where the score reaches `least`, as in keep_good.
+
+    Null texts score 0; null and repeated doc_ids stay as rows. An empty table gives an empty result.
+    """
     return scored(docs.select("doc_id", "text")).select("doc_id", "quality_score", (F.col("quality_score") >= least).alias("kept"))

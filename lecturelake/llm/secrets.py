@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 
 @dataclass(frozen=True)
@@ -102,36 +102,37 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
+def _key() -> Column:
+    """Names a row: doc_id, or a hash of the text where that is null, so that rows without an id do not meet."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index (trigram, key): every trigram of some rule's query and the documents that hold it.
 
-    key is doc_id, 0 for null. Trigrams that no rule asks for are never looked up, so they get no postings.
+    Trigrams that no rule asks for are never looked up, so they get no postings.
     """
     grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for option in clause for g in option})
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), ascii_lower(F.col("text")).alias("low"))
+    text = docs.select(_key().alias("key"), ascii_lower(F.col("text")).alias("low"))
     held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))
-    return text.select("key", F.explode(held).alias("trigram"))
+    return text.select(F.explode(held).alias("trigram"), "key")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, kinds): the rules that a document can match, from the intersection of its trigrams' postings.
+    """(key, kinds): the rules that a document can match, from the postings of its trigrams.
 
-    Several documents of one key share their postings; that can only add candidates.
+    The rules' queries, a fixed table of (trigram, rule, clause, option), meet the postings by trigram. An
+    option holds for the keys that all its trigrams' postings have in common, a clause for the keys of any of its
+    options, and a rule for those of all its clauses. Several documents of one key share their postings; that can only
+    add candidates.
     """
-    held = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))
-
-    def met(rule: Rule) -> Column:
-        has = lambda option: F.size(F.array_except(F.array(*map(F.lit, sorted(option))), F.col("held"))) == 0
-        ands = F.lit(True)
-        for clause in trigram_query(rule.pattern):
-            ors = F.lit(False)
-            for option in clause:
-                ors = ors | has(option)
-            ands = ands & ors
-        return ands
-
-    kinds = F.array_compact(F.array(*(F.when(met(r), F.lit(r.kind)) for r in rules if trigram_query(r.pattern))))
-    return held.select("key", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    asked = [(g, r.kind, c, o, len(option), len(query)) for r in rules for query in [trigram_query(r.pattern)] for c, clause in enumerate(query) for o, option in enumerate(clause) for g in sorted(option)]
+    names = ("trigram", "kind", "clause", "option", "grams", "clauses")
+    rows = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, row))) for row in asked))
+    table = index.sparkSession.range(1).select(F.inline(rows))
+    met = index.join(F.broadcast(table), "trigram").groupBy("key", "kind", "clauses", "clause", "option", "grams").agg(F.count_distinct("trigram").alias("n"))
+    held = met.where("n = grams").groupBy("key", "kind", "clauses").agg(F.count_distinct("clause").alias("n")).where("n = clauses")
+    return held.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def _spans(rule: Rule, order: int) -> Column:
@@ -156,13 +157,20 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     start and end are code points, end exclusive. A rule with a trigram query is tried on its candidates only, one
     without (hex) on every text. A null text counts as empty. Every row stays, repeated and null doc_ids included;
-    other columns stay, whatever their names (one called secret_spans is replaced).
+    other columns stay, whatever their names (one called secret_spans is replaced). An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c != "secret_spans"]
-    wrapped = docs.select(F.col("doc_id"), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    found = candidates(postings(wrapped, rules), rules)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    rows = wrapped.select("row", F.coalesce("text", F.lit("")).alias("text"), key.alias("key")).join(found, "key", "left")
+    return _spans_of(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", "text"), rules).select("row.*", "secret_spans")
+
+
+def _spans_of(wrapped: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(row, text, secret_spans) of rows (row, doc_id, text).
+
+    The candidates are written before they meet the texts: Spark then knows their size, and moves no text where they
+    are few.
+    """
+    found = stored(candidates(postings(wrapped, rules), rules))
+    rows = wrapped.select("row", F.coalesce("text", F.lit("")).alias("text"), _key().alias("key")).join(found, "key", "left")
     tried = {r.kind: F.array_contains("kinds", r.kind) if trigram_query(r.pattern) else F.lit(True) for r in rules}
     rows = rows.select("row", "text", *(F.when(tried[r.kind], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).alias(f"found_{r.kind}") for r in rules))
     some = {r.kind: F.size(f"found_{r.kind}") > 0 for r in rules}
@@ -172,7 +180,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         *((F.when(some[r.kind], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))) if r.group else F.col(f"found_{r.kind}")).alias(f"sized_{r.kind}") for r in rules),
     )
     spans = F.array_sort(F.concat(*(_spans(r, i) for i, r in enumerate(rules))))
-    return rows.select("row", spans.alias("secret_spans")).select("row.*", "secret_spans")
+    return rows.select("row", "text", spans.alias("secret_spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -180,7 +188,11 @@ def span_text(spans: Column) -> Column:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, matches of each base kind, base_sha256, and all spans as text."""
+    """One row per row of docs: doc_id, matches of each base kind, base_sha256, and all spans as text.
+
+    A null text counts as empty: no spans and the digest of the empty string. Null and repeated doc_ids stay as rows;
+    other columns are ignored. An empty table gives an empty result.
+    """
     rows = secret_spans(docs.select("doc_id", "text"))
     kinds = [r.kind for r in BASE]
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
@@ -189,18 +201,23 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
-    """docs with every secret in text replaced by `mask` (spans that overlap are replaced together) and n_chars brought up to date."""
-    rows = secret_spans(docs)
+    """docs with every secret in text replaced by `mask` (spans that overlap are replaced together) and n_chars brought up to date.
+
+    Every row stays, repeated ones too, with all its columns, whatever their names; rows without a secret stay as they
+    are, a null text null. An empty table gives an empty result.
+    """
+    rows = _spans_of(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
     )
     ended = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     text = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, ended)
-    rows = rows.withColumn("text", F.when(F.size("secret_spans") > 0, text).otherwise(F.col("text")))
+    rows = rows.select("row", F.when(F.size("secret_spans") > 0, text).alias("masked"))
+    new = {"text": F.coalesce("masked", "row.text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("masked").cast("long"), F.col("row.n_chars"))
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digests_sql() -> str:

@@ -224,6 +224,8 @@ def test_trigram_queries():
 def test_masking(odd, empty):
     out = secrets.mask_secrets(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and secrets.mask_secrets(empty).count() == 0
+    clash = [c for c in odd.columns if c not in ("text", "n_chars")]
+    assert sorted(map(str, out.select(clash).collect())) == sorted(map(str, odd.select(clash).collect()))
     texts = {r.doc_id: r for r in out.collect()}
     assert texts[9].text == '[SECRET]" and token: abc then secret=tiny' and texts[9].n_chars == len(texts[9].text)
     assert texts[10].text == "[SECRET] akia" and texts[11].text == "[SECRET]" and texts[12].text == TEXTS[12]
@@ -261,6 +263,40 @@ def test_ogg(odd, empty):
     assert media.texts_as_media(odd).count() == odd.count()
 
 
+def slow_ogg(data):
+    """A plain reader of pages: the sample stream's bytes, its pages and packets and its last granule position."""
+    at, payload, pages, packets, granule, open_ = 0, bytearray(), 0, 0, 0, bytearray()
+    while at < len(data):
+        assert data[at : at + 4] == b"OggS"
+        position, serial, count = int.from_bytes(data[at + 6 : at + 14], "little"), int.from_bytes(data[at + 14 : at + 18], "little"), data[at + 26]
+        lacing, body = data[at + 27 : at + 27 + count], at + 27 + count
+        for size in lacing:
+            if serial == media.SAMPLES:
+                open_ += data[body : body + size]
+                if size < 255:
+                    payload += open_ if packets else b""  # the first packet is the header
+                    packets, open_ = packets + 1, bytearray()
+            body += size
+        if serial == media.SAMPLES:
+            pages, granule = pages + 1, position
+        at = body
+    return bytes(payload), pages, packets, granule
+
+
+def test_media_column_equals_a_plain_reader(docs):
+    kept = {r.doc_id: r for r in media.to_media(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in media.texts_as_media(docs).collect():
+        payload, pages, packets, granule = slow_ogg(kept[r.doc_id].media)
+        assert payload.rstrip(b"\0") == texts[r.doc_id].encode().rstrip(b"\0") and len(payload) == r.payload_bytes == granule
+        assert (r.media_bytes, r.media_sha256) == (len(kept[r.doc_id].media), hashlib.sha256(kept[r.doc_id].media).hexdigest())
+        total, bins = sum(payload), [sum(16 * k <= b < 16 * k + 16 for b in payload) for k in range(16)]
+        above = [b * len(payload) > total for b in payload]
+        crossings = sum(a != b for a, b in zip(above, above[1:]))
+        want = f"pages={pages};packets={packets};seconds={granule / media.RATE:.6f};min={min(payload)};max={max(payload)};sum={total};squares={sum(b * b for b in payload)};crossings={crossings};bins={','.join(map(str, bins))}"
+        assert r.feature == want
+
+
 def test_mixing_budgets(docs, odd, empty):
     got = mixing.mix(docs).collect()
     source = {r.doc_id: r.source for r in docs.collect()}
@@ -310,6 +346,7 @@ def test_quality_on_held_out_labels(spark, odd, empty):
     good = [x.kept for x in r if x.quality == 1]
     bad = [x.kept for x in r if x.quality == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
+    assert {r.quality_score for r in quality.keep_good(odd, 0.0).collect()} == {"clash"} and quality.keep_good(odd, 0.0).count() == odd.count()
     assert quality.scored(odd).count() == odd.count() and quality.keep_good(odd).columns == odd.columns and quality.scored(empty).count() == 0
 
 
