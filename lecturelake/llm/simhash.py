@@ -24,7 +24,7 @@ WIDE_WORD, WIDE_SEGMENT, WIDE_PER_WORD = 64, 18, 3
 BYTE_ONES = np.uint64(0x0101010101010101)
 #: How the work on near-duplicates is dealt: groups of a hot key, candidates of a node in the first pass, nodes of a key whose
 #: pairs are all looked at, and holders of a shingle that counts as rare. None of them decides what is found.
-SALTS, NEAREST, CROWD, RARE = 64, 8, 100, 32
+SALTS, NEAREST, CROWD, RARE = 64, 8, 32, 32
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
