@@ -172,12 +172,15 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("prj_http_class", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'r' || event_id WHEN event_id % 3 = 1 THEN 'cf' || event_id ELSE 'sin-id' END AS request_id,
- CASE event_id % 5 WHEN 0 THEN 'capacity' WHEN 1 THEN 'rate limit' WHEN 2 THEN 'error' WHEN 3 THEN 'not json' ELSE 'ok' END AS outcome, CASE event_id % 5 WHEN 1 THEN 'no indicado' WHEN 2 THEN 'm' || event_id END AS message FROM events""")
+ CASE event_id % 5 WHEN 0 THEN 'capacity' WHEN 1 THEN 'rate limit' WHEN 2 THEN 'error' WHEN 3 THEN 'not json' ELSE 'ok' END AS outcome, CASE event_id % 5 WHEN 1 THEN 'no indicado'
+ WHEN 2 THEN CASE event_id % 4 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'c' || event_id WHEN 2 THEN '{"kind":' || event_id || '}' ELSE 'd' || event_id END END AS message FROM events""")
 def _(t: Inputs) -> DataFrame:
     i = F.col("event_id")
     headers = F.when(i % 3 == 0, F.create_map(F.lit("x-request-id"), F.concat(F.lit("r"), i))).when(i % 3 == 1, F.create_map(F.lit("x-request-id"), F.lit(""), F.lit("cf-ray"), F.concat(F.lit("cf"), i))).otherwise(F.create_map(F.lit("a"), F.lit("b")))
     code = F.element_at(F.array(*map(F.lit, (503, 429, 400, 200, 200))), (i % 5 + 1).cast("int"))
-    body = F.when(i % 5 == 2, F.format_string('{"error": {"message": "m%d"}}', i)).when(i % 5 == 3, "oops").otherwise(F.col("props"))
+    forms = ['{"error": {"message": "m%d"}}', '{"error": {"message": "", "code": "c%d"}, "message": "x"}', '{"error": {"kind": %d}, "message": "x"}', '{"error": "x", "detail": "d%d"}']
+    failed = F.element_at(F.array(*(F.format_string(f, i) for f in forms)), (i % 4 + 1).cast("int"))
+    body = F.when(i % 5 == 2, failed).when(i % 5 == 3, "oops").otherwise(F.col("props"))
     return sources.classify_response(t.events.select("event_id", headers.alias("headers"), code.alias("status_code"), body.alias("body"))).select("event_id", "request_id", "outcome", "message")
 
 

@@ -77,12 +77,17 @@ def parse_asr_response(df: DataFrame, column: str = "asr_json", diarize: bool =
 
 
 def classify_response(df: DataFrame) -> DataFrame:
-    """Adds outcome and message to logged responses (status_code, headers map, body)."""
+    """Adds outcome and message to logged responses (status_code, headers map, body).
+
+    The message of a failure is that of the body's error object, else its code, else the object itself; without such an
+    object it is the body's message or detail, else the whole body."""
     request = first_header("headers", ("x-request-id", "cf-ray"), "sin-id")
     code, body = F.col("status_code"), F.coalesce("body", F.lit(""))
     get = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))
     json = F.try_parse_json(body).isNotNull()
-    detail = F.when(json, F.coalesce(get("$.error.message"), get("$.error.code"), get("$.message"), get("$.detail"), body)).otherwise(F.coalesce(F.nullif(F.trim(body), F.lit("")), F.concat(F.lit("HTTP "), code)))
+    error = F.when(get("$.error").startswith("{"), get("$.error"))
+    of_error = F.when(error.isNotNull(), F.coalesce(get("$.error.message"), get("$.error.code"), error))
+    detail = F.when(json, F.coalesce(of_error, get("$.message"), get("$.detail"), body)).otherwise(F.coalesce(F.nullif(F.trim(body), F.lit("")), F.concat(F.lit("HTTP "), code)))
     outcome = F.when(code == 503, "capacity").when(code == 429, "rate limit").when(code >= 400, "error").when(~json, "not json").otherwise("ok")
     message = F.when(code == 429, first_header("headers", ("x-ratelimit-reset",), "no indicado")).when((code >= 400) & (code != 503), detail)
     return df.withColumns({"request_id": request, "outcome": outcome, "message": message})
