@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.stitch import MAX_WORDS, MIN_WORDS
 from ..schemas import TERMINAL
 from ..storage import scratch
 
@@ -67,7 +68,7 @@ def stream_progress(done: DataFrame, delay: str = "1 day") -> DataFrame:
 _STITCHED = "job_id string, chunk_index long, clean_text string, removed_words long"
 
 
-def _cleaned(previous: str | None, current: str | None, most: int = 40, least: int = 3) -> tuple[str | None, int]:
+def _cleaned(previous: str | None, current: str | None, most: int = MAX_WORDS, least: int = MIN_WORDS) -> tuple[str | None, int]:
     """current without the words that repeat the end of previous, and their number; a null text stays null."""
     if current is None:
         return None, 0
@@ -87,14 +88,14 @@ def _stitch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     while str(expected) in held:
         text = held.pop(str(expected))
         out.append((key[0], expected, *_cleaned(previous, text)))
-        expected, previous = expected + 1, text
+        expected, previous = expected + 1, " ".join((text or "").split()[-MAX_WORDS:])
     state.update((expected, previous, json.dumps(held)))
     yield pd.DataFrame(out, columns=["job_id", "chunk_index", "clean_text", "removed_words"])
 
 
 def stream_stitch(chunks: DataFrame) -> DataFrame:
-    """dedup_overlap over a stream of (job_id, chunk_index from 0, text): a job's state is the next index, the previous
-    raw text and the chunks that came too early, which wait until those before them are there."""
+    """dedup_overlap over a stream of (job_id, chunk_index from 0, text): a job's state is the next index, the last
+    words of the previous raw text and the chunks that came too early, which wait until those before them are there."""
     return chunks.groupBy("job_id").applyInPandasWithState(_stitch, _STITCHED, "expected long, previous string, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -104,13 +105,14 @@ def _uncancelled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     cancels = rows.loc[rows["kind"] == "cancel", "seq"]
     if len(cancels):
         stopped = int(cancels.min()) if stopped is None else min(stopped, int(cancels.min()))
-    state.update((stopped,))
+    if stopped is not None:
+        state.update((stopped,))
     keep = rows[(rows["kind"] == "chunk") & ((rows["seq"] < stopped) if stopped is not None else True)]
     yield keep[["job_id", "seq"]].astype({"job_id": "int64", "seq": "int64"})
 
 
 def drop_cancelled(events: DataFrame) -> DataFrame:
-    """Of (job_id long, seq long, kind chunk or cancel) the chunks before their job's first cancel."""
+    """Of (job_id long, seq long, kind chunk or cancel) the chunks before their job's first cancel; only cancelled jobs have state."""
     return events.groupBy("job_id").applyInPandasWithState(_uncancelled, "job_id long, seq long", "stopped long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -135,12 +137,17 @@ def _refused(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             active = True
         elif kind in TERMINAL:
             active = False
-    state.update((active,))
+    if active:
+        state.update((True,))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["interval", "seq", "refused"])
 
 
 def stream_reject_duplicates(events: DataFrame) -> DataFrame:
-    """Of (interval string, seq long, kind request or a job state) each request, refused while its interval is active."""
+    """Of (interval string, seq long, kind request or a job state) each request, refused while its interval is active.
+
+    Only active intervals have state."""
     return events.groupBy("interval").applyInPandasWithState(_refused, "interval string, seq long, refused boolean", "active boolean", "append", GroupStateTimeout.NoTimeout)
 
 

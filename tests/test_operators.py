@@ -246,3 +246,25 @@ def test_tables_are_read_by_load_tables(spark, monkeypatch):
     monkeypatch.setattr(sources, "load_tables", lambda *a: loaded.append(load(*a)) or loaded[-1])
     got = {r.name: r.n for r in plans.queries()["src_tables"](spark, str(DATA / "sf0.001")).collect()}
     assert len(loaded) == 1 and set(got) == set(TABLES) and min(got.values()) > 0
+
+
+def _in_batches(spark, folder, schema, *batches):
+    """A stream with a micro-batch for each list of rows."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/part={k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
+def test_stitching_over_batches_out_of_order(spark, tmp_path):
+    texts = ["a b c d e", "c d e f g h", None, "x y", "x y z"]
+    rows = [("j", i, t) for i, t in enumerate(texts)]
+    stream = _in_batches(spark, tmp_path, "job_id string, chunk_index long, text string", [rows[1], rows[4]], [rows[0], rows[3]], [rows[2], rows[1]])
+    got = sorted(streaming.drained(streaming.stream_stitch(stream)).collect())
+    assert [(r.chunk_index, r.clean_text, r.removed_words) for r in got] == [(0, "a b c d e", 0), (1, "f g h", 3), (2, None, 0), (3, "x y", 0), (4, "x y z", 0)]
+
+
+def test_state_over_batches_is_kept_where_needed(spark, tmp_path):
+    events = _in_batches(spark, tmp_path / "d", "interval string, seq long, kind string", [("i", 1, "request")], [("i", 2, "request"), ("i", 3, "APPROVED")], [("i", 4, "request")])
+    assert {r.seq: r.refused for r in streaming.drained(streaming.stream_reject_duplicates(events)).collect()} == {1: False, 2: True, 4: False}
+    cancels = _in_batches(spark, tmp_path / "c", "job_id long, seq long, kind string", [(1, 1, "chunk"), (2, 1, "cancel")], [(1, 3, "cancel"), (1, 2, "chunk"), (2, 2, "chunk")], [(1, 4, "chunk"), (3, 9, "chunk")])
+    assert sorted(tuple(r) for r in streaming.drained(streaming.drop_cancelled(cancels)).collect()) == [(1, 1), (1, 2), (3, 9)]
