@@ -328,38 +328,59 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _possible(rows: DataFrame, similarity: float) -> DataFrame:
-    """The rows without nodes that match none of their key's, where `common` and `size` are known of all of these."""
-    of_key = stored(rows.groupBy("key").agg(F.min("size").alias("least"), (F.count("*") == F.count("size")).alias("known")))
+    """The rows without nodes that match none of their key's, where all of these have sizes known from one centre."""
+    of_key = stored(rows.groupBy("key").agg(F.min("size").alias("least"), ((F.count("*") == F.count("size")) & (F.min("centre") == F.max("centre"))).alias("known")))
     whole = F.col("size") + F.greatest("least", "common") - F.col("common")
     return rows.join(of_key, "key").where(~F.col("known") | (F.col("common") >= similarity * whole - 1e-9)).drop("n", "least", "known")
 
 
+def _with_centres(crowd: DataFrame) -> DataFrame:
+    """(node, comp, centre) of every node of these keys: centre names the component with the most nodes in its keys.
+
+    A component is the smallest of its nodes, so its name is also a node whose shingles can be looked up.
+    """
+    nodes = stored(crowd.select("node", "comp").distinct())
+    held = stored(nodes.groupBy("comp").agg(F.count("*").alias("members")))
+    first = F.max(F.struct("members", (-F.col("comp")).alias("c")))
+    of_key = crowd.select("key", "comp").distinct().join(held, "comp").groupBy("key").agg(first.alias("best"))
+    of_node = crowd.join(stored(of_key), "key").groupBy("node").agg(F.max("best").alias("best"))
+    return nodes.join(stored(of_node), "node").select("node", "comp", (-F.col("best.c")).alias("centre"))
+
+
 def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near: int) -> DataFrame:
     """Pairs (src, dst) of nodes that share a key, are not joined yet and may be near-duplicates.
 
     Keys of a single component need no more work: copies of a text, however many, leave here. Nodes of keys with more
     than CROWD nodes are looked at more closely, so that texts which only resemble a large group do not meet
     all of it: shingles that RARE of these nodes or fewer have are `rare`; a pair that shares a rare one is found by
-    it, and any other pair shares at most the `common` shingles of either side, which bounds its similarity.
+    it, and any other pair shares at most the `common` shingles of either side, which bounds its similarity. Shingles
+    of a node's centre, a member of the largest component that it meets, are `common` without being counted, so a
+    copy spreads only the shingles in which it departs from its group. Pairs of different centres are all possible.
     """
     comp = comps.select("node", F.col("component").alias("comp"))
     named = shared.join(comp, "node", "left").select("node", "p", F.coalesce("comp", "node").alias("comp"), F.explode("keys").alias("key"))
     rows = stored(_mixed(stored(named)))
-    pool = stored(rows.where(F.col("n") > CROWD).select("node", "comp").distinct())
-    sets = verifier.sets(pool)
-    spread = sets.select("node", "part", F.explode("shingles").alias("shingle"))
+    crowd = rows.where(F.col("n") > CROWD)
+    pool = stored(_with_centres(crowd))
+    centre = F.col("centre")
+    sets = verifier.sets(stored(pool.select("node").union(pool.select("centre")).distinct()))
+    centres = stored(sets.groupBy(F.col("node").alias("centre")).agg(F.min_by("shingles", "part").alias("centre_set")))
+    sets = sets.join(stored(pool.select("node", "centre")), "node")
+    own_words = sets.join(centres, "centre").select("node", "part", F.array_except("shingles", "centre_set").alias("own"))
+    spread = own_words.select("node", "part", F.explode("own").alias("shingle"))
     rare = stored(spread.groupBy("shingle").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE))
-    held = stored(spread.join(rare, "shingle").join(pool, "node"))
+    held = stored(spread.join(rare, "shingle").join(pool.select("node", "comp"), "node"))
     own = held.groupBy("node", "part").agg(F.count("*").alias("rare"))
     common = F.size("shingles") - F.coalesce("rare", F.lit(0))
-    sizes = sets.join(own, ["node", "part"], "left").groupBy("node").agg(F.max(common).alias("common"), F.min(F.size("shingles")).alias("size"))
+    sizes = sets.join(own, ["node", "part"], "left").groupBy("node").agg(F.max(common).alias("common"), F.min(F.size("shingles")).alias("size"), F.min(centre).alias("centre"))
     rows = stored(_possible(stored(rows.join(stored(sizes), "node", "left")), verifier.similarity))
     rows = stored(_mixed(rows))
     a, b = rows.alias("a"), rows.alias("b")
     common = F.least("a.common", "b.common")
     possible = common >= verifier.similarity * F.greatest(F.col("a.size") + F.col("b.size") - common, common) - 1e-9
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & (_bits("a.p", "b.p") <= near)
-    by_key = a.join(b, met & F.coalesce(possible, F.lit(True)))  # least and greatest leave nulls out: a pair of unknown size is possible
+    possible = F.coalesce((F.col("a.centre") != F.col("b.centre")) | possible, F.lit(True))  # pairs of unknown size are possible
+    by_key = a.join(b, met & possible)
     many = held.where("holders > 1")
     c, d = many.alias("a"), many.alias("b")
     by_rare = c.join(d, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")))
