@@ -177,6 +177,38 @@ def test_near_duplicates_finds_lone_pairs(spark):
     assert kept == {2 * i for i in range(200)}
 
 
+@pytest.mark.parametrize("crowd, rare", [(simhash.CROWD, simhash.RARE), (3, 2)])
+def test_near_duplicates_in_crowded_keys(spark, monkeypatch, crowd, rare):
+    """Two groups of near copies, texts that only resemble a group, copies of these, and one doc_id with texts of both."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "RARE", rare)
+    rng = random.Random(11)
+
+    def edited(text, times):
+        out = list(text)
+        for k in rng.sample(range(len(out)), times):
+            out[k] = f"u{rng.randrange(10**6)}"
+        return out
+
+    texts = []
+    for size in (90, 50):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(214)]
+        texts += [edited(base, 1 + i % 4) for i in range(size)]
+        outer = [edited(base, 7 + i % 12) for i in range(25)]
+        texts += outer + [edited(t, 2) for t in outer[::2]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(5000, " ".join(texts[0])), (5000, "another text of its own with words enough for shingles")]
+    sets = [set(hashes(t, 5)) for _, t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
+    label, least = roots(len(rows), near + [(len(rows) - 1, len(rows) - 2)]), {}
+    for (d, _), k in zip(rows, label):
+        least[k] = min(d, least.get(k, d))
+    expected = sorted((d, least[k]) for (d, _), k in zip(rows, label))
+    got = sorted(tuple(r) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == expected and 10 < len(set(least.values())) < 80
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 16))
