@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def assignment_history(events: DataFrame, mode: str = "event_time") -> DataFrame:
@@ -16,6 +16,27 @@ def assignment_history(events: DataFrame, mode: str = "event_time") -> DataFrame
     return rows.withColumn("active", F.col("ended_at").isNull())
 
 
+def opening_events(cameras: DataFrame, event_id: Column) -> DataFrame:
+    """The assignment events that cameras (id, classroom_id, created_at) made with a classroom open themselves."""
+    placed = cameras.where(F.coalesce("classroom_id", F.lit("")) != "")
+    return placed.select(event_id.alias("event_id"), F.col("id").alias("camera_id"), "classroom_id", F.col("created_at").alias("started_at"))
+
+
+def close_assignments(history: DataFrame, closes: DataFrame) -> DataFrame:
+    """history with explicit closes (event_id, closed_at): an assignment ends at its first close, or before it if another
+    one took its place, and is active no more. Unknown ids change nothing."""
+    ends = closes.groupBy("event_id").agg(F.min("closed_at").alias("_closed"))
+    rows = history.join(ends, "event_id", "left")
+    return rows.withColumns({"ended_at": F.least("ended_at", "_closed"), "active": F.col("active") & F.col("_closed").isNull()}).select(*history.columns)
+
+
+def clear_classrooms(cameras: DataFrame, closed: DataFrame) -> DataFrame:
+    """cameras (id, classroom_id) without their classroom, where a closed assignment (camera_id, classroom_id) names it."""
+    gone = closed.select(F.col("camera_id").alias("id"), "classroom_id").distinct().withColumn("_gone", F.lit(True))
+    rows = cameras.join(gone, ["id", "classroom_id"], "left")
+    return rows.withColumn("classroom_id", F.when(F.col("_gone").isNull(), F.col("classroom_id"))).select(*cameras.columns)
+
+
 def current_classrooms(history: DataFrame) -> DataFrame:
     return history.where("active").select("camera_id", "classroom_id")
 

@@ -78,11 +78,15 @@ def last_runtime(chunks: DataFrame) -> DataFrame:
 
 
 def metrics_doc(jobs: DataFrame, recordings: DataFrame, batch_size: int = 2, beam_size: int = 3) -> DataFrame:
-    """(job_id, metrics): what preparation said, overlaid by what the run says; batch and beam for the local provider only."""
+    """(job_id, metrics): what preparation said, overlaid by what the run says; batch and beam for the local provider only.
+
+    Preparation speaks through the stored metrics where jobs hold them (null if it said nothing), else through columns of
+    its own; the run's fields replace stored ones, by null too."""
+    said = [F.col(f"metrics.{c}" if "metrics" in jobs.columns else c).alias(c) for c in ("chunk_strategy", "prepared_audio_mb", "selected_interval_seconds")]
     recs = recordings.select(F.col("id").alias("recording_id"), F.col("duration_seconds").alias("recording_duration_seconds"))
     local = F.col("provider_name") == "local"
     doc = F.struct(
-        "chunk_strategy", "prepared_audio_mb", "selected_interval_seconds", F.col("provider_name").alias("provider"), "provider_model", "language_probability",
+        *said, F.col("provider_name").alias("provider"), "provider_model", "language_probability",
         F.col("clip_seconds").alias("clip_duration_seconds"), "recording_duration_seconds", F.col("total_chunks").alias("chunks"), F.when(local, F.lit(batch_size)).alias("batch_size"), F.when(local, F.lit(beam_size)).alias("beam_size"),
     )
     return jobs.join(recs, "recording_id", "left").select("job_id", doc.alias("metrics"))

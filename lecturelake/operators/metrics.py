@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import seconds_between, words
-from ..schemas import ACTIVE
+from ..schemas import ACTIVE, TERMINAL
 
 
 def benchmark(jobs: DataFrame) -> DataFrame:
@@ -26,6 +26,13 @@ def wait_stats(jobs: DataFrame) -> DataFrame:
     )
 
 
+def rtf_distribution(jobs: DataFrame, step: float = 0.1) -> DataFrame:
+    """Per day and provider, the jobs in each bin of real-time factors (bin k holds k * step up to the next), with the
+    least and greatest factor. Jobs without a clip are left out. Counts of bins, unlike percentiles, combine before the shuffle."""
+    rows = jobs.select(F.to_date("created_at").alias("day"), "provider_name", F.when(F.col("clip_seconds") > 0, F.col("processing_seconds") / F.col("clip_seconds")).alias("rtf")).where("rtf is not null")
+    return rows.groupBy("day", "provider_name", F.floor(F.col("rtf") / step).alias("bin")).agg(F.count("*").alias("jobs"), F.min("rtf").alias("least"), F.max("rtf").alias("greatest"))
+
+
 def failure_stats(jobs: DataFrame) -> DataFrame:
     """Failed jobs per day and provider, with the smallest error text of the day."""
     failed = jobs.where(F.col("status") == "ERROR")
@@ -43,6 +50,12 @@ def retention_candidates(recordings: DataFrame, jobs: DataFrame, days: int, now:
     return recordings.where(F.col("created_at") < now - F.make_dt_interval(F.lit(days))).join(busy, "id", "left_anti").select(*recordings.columns)
 
 
+def stale_work_dirs(jobs: DataFrame, days: int, now: Column) -> DataFrame:
+    """Jobs that ended more than `days` ago and still name a work directory."""
+    ended = F.col("status").isin(*TERMINAL) & (F.col("completed_at") < now - F.make_dt_interval(F.lit(days)))
+    return jobs.where(ended & (F.coalesce("work_dir", F.lit("")) != ""))
+
+
 def storage_usage(recordings: DataFrame) -> DataFrame:
     """Bytes and hours by site, classroom and camera, with subtotals (null stands for all)."""
     sums = (F.sum("file_size_bytes").alias("bytes"), (F.sum("duration_seconds") / 3600).alias("hours"), F.count("*").alias("recordings"))

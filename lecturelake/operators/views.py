@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import DASH
+from ..storage import scratch
 
 #: Sort orders of the lists; the id makes each total.
 ORDERS = {
@@ -12,9 +13,13 @@ ORDERS = {
 }
 
 
+def ordering(table: str, key: str = "id") -> list[Column]:
+    return [F.col(c.lstrip("-")).desc() if c[0] == "-" else F.col(c) for c in ORDERS[table]] + [F.col(key)]
+
+
 def listed(df: DataFrame, table: str, key: str = "id") -> DataFrame:
     """df in the table's order."""
-    return df.orderBy(*(F.col(c.lstrip("-")).desc() if c[0] == "-" else F.col(c) for c in ORDERS[table]), key)
+    return df.orderBy(*ordering(table, key))
 
 
 def most_recent(df: DataFrame, n: int = 100, key: str = "id", most: int = 500) -> DataFrame:
@@ -54,9 +59,23 @@ def location_tree(sites: DataFrame, classrooms: DataFrame, cameras: DataFrame) -
     return s.join(r, "site_id").join(c, "classroom_id")
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with rank, each row's place from 1 in this order, which must be total.
+
+    Rows are dealt by ranges of the order and written with their range; ranges are counted, and rows take places within
+    their own, so no task sees all of them. What meets in one task is a count for each range."""
+    path = scratch(df.sparkSession)
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_place", place).join(counts, "_range").select(*df.columns, (F.col("_before") + F.col("_place")).alias("rank"))
+
+
 def catalog_snapshot(tables: dict[str, DataFrame]) -> DataFrame:
-    """(entity, id, document): every row of the dimension tables as JSON, tagged with its table."""
-    parts = [df.select(F.lit(name).alias("entity"), "id", F.to_json(F.struct(*df.columns)).alias("document")) for name, df in tables.items()]
+    """(entity, id, rank, document): every row of the lists as JSON, tagged with its table and its place in the table's order."""
+    parts = [ranked(df, *ordering(name)).select(F.lit(name).alias("entity"), "id", "rank", F.to_json(F.struct(*df.columns)).alias("document")) for name, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

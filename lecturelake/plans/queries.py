@@ -265,6 +265,20 @@ def _(t: Inputs) -> DataFrame:
     return one(t.professors, "professor").union(one(t.cameras, "camera")).union(one(t.classrooms, "classroom")).union(one(t.schedules, "schedule"))
 
 
+@query("prj_validate_more", """SELECT 'site' AS entity, id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'code.length' ELSE '' END AS errors FROM sites UNION ALL SELECT 'course', id, CASE WHEN CAST(id AS BIGINT) % 3 < 2 THEN 'name.length' ELSE '' END FROM courses
+ UNION ALL SELECT 'assignment', event_id::VARCHAR, concat_ws(',', CASE WHEN classroom_id IS NULL THEN 'classroom_id.required' END, CASE WHEN event_id % 3 = 2 THEN 'notes.length' END) FROM assignments
+ UNION ALL SELECT 'job', event_id::VARCHAR, concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'overlap_seconds.range' END, CASE WHEN event_id % 11 = 10 THEN 'priority.range' END, CASE WHEN @length <= 0 THEN 'class_ended_at.order' END, CASE WHEN event_id % 13 = 0 THEN 'overlap_seconds.order' END) FROM events
+ UNION ALL SELECT 'review', job_id, CASE WHEN reviewed_text IS NULL THEN 'reviewed_text.required' WHEN reviewed_text = '' THEN 'reviewed_text.length' ELSE '' END FROM jobs""".replace("@length", "CASE WHEN event_id % 11 = 0 THEN 0 ELSE floor(value * 700)::INT END"))
+def _(t: Inputs) -> DataFrame:
+    one = lambda df, e: rules.validate(df, e).select(F.lit(e).alias("entity"), F.col("id").cast("string").alias("id"), F.array_join("errors", ",").alias("errors"))
+    site = t.sites.withColumn("code", F.left("code", F.col("id").cast("int") % 2 + 1))
+    course = t.courses.withColumn("name", F.left("name", F.col("id").cast("int") % 3))
+    assignment = t.assignments.select(F.col("event_id").alias("id"), "camera_id", "classroom_id", F.repeat(F.lit("x"), (F.col("event_id") % 3 + 299).cast("int")).alias("notes"))
+    job = _requests(t).withColumns({"id": F.col("request_id"), "priority": F.col("request_id") % 11})
+    review = t.jobs.select(F.col("job_id").alias("id"), "reviewed_text")
+    return one(site, "site").union(one(course, "course")).union(one(assignment, "assignment")).union(one(job, "job")).union(one(review, "review"))
+
+
 @query("prj_active_only", "SELECT id, code FROM cameras WHERE active")
 def _(t: Inputs) -> DataFrame:
     return state.active(t.cameras).select("id", "code")
@@ -332,6 +346,13 @@ def _(t: Inputs) -> DataFrame:
     return guards.guard_schedule(t.schedules).select("id", "reject_reason")
 
 
+@query("prj_schedule_patch", "SELECT id, CASE WHEN end_time <= CASE WHEN CAST(id AS BIGINT) % 8 = 0 THEN 50000 ELSE start_time END THEN 'time' END AS reject_reason FROM schedules WHERE CAST(id AS BIGINT) % 4 = 0")
+def _(t: Inputs) -> DataFrame:
+    i = F.col("id").cast("long")
+    patch = t.schedules.where(i % 4 == 0).select("id", F.when(i % 8 == 0, 50000).alias("start_time"), F.lit(None).cast("int").alias("end_time"))
+    return guards.patched_schedule_guard(t.schedules, patch).select("id", "reject_reason")
+
+
 _STRATEGY = "SELECT job_id, CASE WHEN provider_name <> 'together' THEN 'local_chunks' WHEN clip_seconds <= 13500 AND audio_bytes / 1048576.0 <= 450 THEN 'together_single_request' ELSE 'together_adaptive_chunks' END AS chunk_strategy, CASE WHEN provider_name = 'together' THEN 3600 ELSE chunk_seconds END AS c, CASE WHEN provider_name = 'together' THEN 2 ELSE overlap_seconds END AS o, clip_seconds AS d FROM jobs"
 
 
@@ -509,6 +530,14 @@ def _(t: Inputs) -> DataFrame:
     return docs.select("job_id", "metrics.chunk_strategy", "metrics.prepared_audio_mb", "metrics.provider", "metrics.recording_duration_seconds", "metrics.batch_size")
 
 
+@query("agg_metrics_overlay", """SELECT job_id, CASE WHEN priority > 3 THEN 'prepared' END AS chunk_strategy, CASE WHEN priority > 3 THEN audio_bytes::DOUBLE END AS prepared_audio_mb, CASE WHEN priority > 3 THEN 7.0::DOUBLE END AS selected_interval_seconds, provider_name AS provider, 'm' AS provider_model,
+ CASE WHEN priority > 5 THEN 0.5::DOUBLE END AS language_probability, clip_seconds AS clip_duration_seconds, r.duration_seconds AS recording_duration_seconds, total_chunks AS chunks, CASE WHEN provider_name = 'local' THEN 2 END AS batch_size, CASE WHEN provider_name = 'local' THEN 3 END AS beam_size FROM jobs j LEFT JOIN recordings r ON r.id = j.recording_id""")
+def _(t: Inputs) -> DataFrame:
+    said = F.struct(F.lit("prepared").alias("chunk_strategy"), F.col("audio_bytes").cast("double").alias("prepared_audio_mb"), F.lit(7.0).alias("selected_interval_seconds"), F.lit("stale").alias("provider"), F.lit(9).alias("batch_size"))
+    jobs = t.jobs.withColumns({"metrics": F.when(F.col("priority") > 3, said), "provider_model": F.lit("m"), "language_probability": F.when(F.col("priority") > 5, 0.5)})
+    return state.metrics_doc(jobs, t.recordings).select("job_id", "metrics.*")
+
+
 @query("agg_chunk_text", f"SELECT job_id, chunk_index, {norm('t')} AS text FROM (SELECT job_id, chunk_index, string_agg(text, ' ' ORDER BY position, text) AS t FROM segments GROUP BY ALL)")
 def _(t: Inputs) -> DataFrame:
     return stitch.chunk_text(t.segments)
@@ -543,6 +572,12 @@ def _(t: Inputs) -> DataFrame:
     return metrics.wer(rows, "text", "heard", ["source"]).select("source", "edits", "reference_words", "wer")
 
 
+@query("agg_rtf_distribution", """, r AS (SELECT *, processing_seconds / (clip_seconds * (priority + 1) / 10) AS r FROM jobs) SELECT strftime(created_at, '%Y-%m-%d') AS day, provider_name, floor(r / 0.1::DOUBLE)::BIGINT AS bin, count(*) AS jobs, round(min(r), 6) AS least, round(max(r), 6) AS greatest FROM r GROUP BY ALL""")
+def _(t: Inputs) -> DataFrame:
+    out = metrics.rtf_distribution(t.jobs.withColumn("clip_seconds", F.col("clip_seconds") * (F.col("priority") + 1) / 10))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "provider_name", "bin", "jobs", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
+
+
 @query("agg_failures", "SELECT strftime(created_at, '%Y-%m-%d') AS day, provider_name, count(*) AS failures, min(error_message) AS first_error FROM jobs WHERE status = 'ERROR' GROUP BY ALL")
 def _(t: Inputs) -> DataFrame:
     return metrics.failure_stats(t.jobs).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
@@ -558,6 +593,12 @@ def _(t: Inputs) -> DataFrame:
     return metrics.retention_candidates(t.recordings, t.jobs, 20, F.lit("2024-01-31").cast("timestamp")).select("id")
 
 
+@query("agg_stale_work_dirs", "SELECT job_id FROM jobs WHERE status IN ('READY_FOR_REVIEW', 'APPROVED', 'CANCELLED', 'ERROR') AND priority > 2 AND created_at < TIMESTAMP '1997-01-01' - INTERVAL 30 DAY")
+def _(t: Inputs) -> DataFrame:
+    jobs = t.jobs.withColumns({"completed_at": F.col("created_at"), "work_dir": F.when(F.col("priority") > 2, F.concat(F.lit("/work/"), "job_id")).when(F.col("priority") > 1, "")})
+    return metrics.stale_work_dirs(jobs, 30, F.lit("1997-01-01").cast("timestamp")).select("job_id")
+
+
 @query("agg_storage_usage", "SELECT site_id, classroom_id, camera_id, sum(file_size_bytes)::BIGINT AS bytes, round(sum(duration_seconds) / 3600, 4) AS hours, count(*) AS recordings FROM recordings GROUP BY ROLLUP (site_id, classroom_id, camera_id)")
 def _(t: Inputs) -> DataFrame:
     return metrics.storage_usage(t.recordings).withColumn("hours", F.round("hours", 4))
@@ -578,6 +619,27 @@ def _(t: Inputs) -> DataFrame:
     return history.assignment_history(t.assignments).select("event_id", "camera_id", "classroom_id", F.unix_micros("started_at").cast("string").alias("started"), F.unix_micros("ended_at").cast("string").alias("ended"), "active")
 
 
+@query("win_assignment_close", f"""{_HISTORY}, cl AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN started_at + INTERVAL 1 HOUR END AS closed_at FROM hi WHERE classroom_id IS NOT NULL)
+ SELECT event_id, epoch_us(CASE WHEN closed_at < coalesce(ended_at, closed_at + INTERVAL 1 HOUR) THEN closed_at ELSE ended_at END)::VARCHAR AS ended, ended_at IS NULL AND closed_at IS NULL AS active FROM cl""")
+def _(t: Inputs) -> DataFrame:
+    closes = t.assignments.where("event_id % 7 = 0").select("event_id", F.timestamp_add("HOUR", F.lit(1), F.col("started_at")).alias("closed_at"))
+    out = history.close_assignments(history.assignment_history(t.assignments), closes)
+    return out.select("event_id", F.unix_micros("ended_at").cast("string").alias("ended"), "active")
+
+
+@query("win_assignment_clear", ", cl AS (SELECT DISTINCT camera_id, classroom_id FROM assignments WHERE event_id % 7 = 0) SELECT c.id, CASE WHEN cl.camera_id IS NULL THEN c.classroom_id END AS classroom_id FROM cameras c LEFT JOIN cl ON cl.camera_id = c.id AND cl.classroom_id = c.classroom_id")
+def _(t: Inputs) -> DataFrame:
+    return history.clear_classrooms(t.cameras.select("id", "classroom_id"), t.assignments.where("event_id % 7 = 0"))
+
+
+@query("win_assignment_opened", """, al AS (SELECT event_id, camera_id, classroom_id, started_at FROM assignments UNION ALL SELECT -CAST(id AS BIGINT), id, classroom_id, TIMESTAMP '2024-01-10' FROM cameras WHERE classroom_id IS NOT NULL),
+ hi AS (SELECT *, lead(started_at) OVER (PARTITION BY camera_id ORDER BY started_at, event_id) AS ended_at FROM al) SELECT event_id, camera_id, classroom_id, epoch_us(ended_at)::VARCHAR AS ended FROM hi WHERE classroom_id IS NOT NULL""")
+def _(t: Inputs) -> DataFrame:
+    cameras = t.cameras.withColumn("created_at", F.lit("2024-01-10").cast("timestamp"))
+    events = t.assignments.select("event_id", "camera_id", "classroom_id", "started_at").unionByName(history.opening_events(cameras, -F.col("id").cast("long")))
+    return history.assignment_history(events).select("event_id", "camera_id", "classroom_id", F.unix_micros("ended_at").cast("string").alias("ended"))
+
+
 @query("win_latest_per_key", "SELECT DISTINCT ON (user_id) user_id, event_id, event_type FROM events ORDER BY user_id, ts DESC, event_id DESC")
 def _(t: Inputs) -> DataFrame:
     return state.latest(t.events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
@@ -649,10 +711,19 @@ def _(t: Inputs) -> DataFrame:
     return views.segments_in_order(t.segments).select("job_id", "segment_id", "start_seconds")
 
 
-@query("set_catalog_snapshot", " UNION ALL ".join(f"SELECT '{e}' AS entity, id, {c} AS label FROM {e}" for e, c in (("sites", "name"), ("classrooms", "name"), ("cameras", "name"), ("professors", "full_name"), ("courses", "name"))))
+#: The seven lists: table -> (role, key, what names a row, SQL order).
+LISTS = {
+    "sites": ("sites", "id", "name", "name"), "classrooms": ("classrooms", "id", "name", "code"), "cameras": ("cameras", "id", "name", "code"),
+    "camera_assignments": ("assignments", "event_id", "camera_id", "started_at DESC"), "professors": ("professors", "id", "full_name", "full_name"),
+    "courses": ("courses", "id", "name", "name"), "schedules": ("schedules", "id", "professor_id", "day_of_week, start_time"),
+}
+
+
+@query("set_catalog_snapshot", " UNION ALL ".join(f"SELECT '{e}' AS entity, {key}::VARCHAR AS id, {label} AS label, row_number() OVER (ORDER BY {order}, {key}::VARCHAR) AS rank FROM {role}" for e, (role, key, label, order) in LISTS.items()))
 def _(t: Inputs) -> DataFrame:
-    docs = views.catalog_snapshot({n: getattr(t, n) for n in ("sites", "classrooms", "cameras", "professors", "courses")})
-    return docs.select("entity", "id", F.coalesce(F.get_json_object("document", "$.name"), F.get_json_object("document", "$.full_name")).alias("label"))
+    docs = views.catalog_snapshot({e: getattr(t, role).withColumn("id", F.col(key).cast("string")) for e, (role, key, _, _) in LISTS.items()})
+    label = F.coalesce(*(F.get_json_object("document", f"$.{c}") for c in ("name", "full_name", "camera_id", "professor_id")))
+    return docs.select("entity", "id", label.alias("label"), "rank")
 
 
 @query("set_provider_union", "SELECT job_id, CASE WHEN chunk_index % 2 = 0 THEN 'local' ELSE 'together' END AS provider, CASE WHEN chunk_index % 2 = 0 THEN 0.9 END::DOUBLE AS language_probability, CASE WHEN chunk_index % 2 <> 0 THEN speaker_label END AS speaker_label FROM turns")

@@ -268,3 +268,33 @@ def test_state_over_batches_is_kept_where_needed(spark, tmp_path):
     assert {r.seq: r.refused for r in streaming.drained(streaming.stream_reject_duplicates(events)).collect()} == {1: False, 2: True, 4: False}
     cancels = _in_batches(spark, tmp_path / "c", "job_id long, seq long, kind string", [(1, 1, "chunk"), (2, 1, "cancel")], [(1, 3, "cancel"), (1, 2, "chunk"), (2, 2, "chunk")], [(1, 4, "chunk"), (3, 9, "chunk")])
     assert sorted(tuple(r) for r in streaming.drained(streaming.drop_cancelled(cancels)).collect()) == [(1, 1), (1, 2), (3, 9)]
+
+
+def test_closes_end_an_assignment_once(spark):
+    events = spark.createDataFrame([(1, "a", "r", "2024-01-01 08:00:00"), (2, "a", "s", "2024-01-01 10:00:00"), (3, "b", "r", "2024-01-01 08:00:00")], "event_id int, camera_id string, classroom_id string, started_at string")
+    past = history.assignment_history(events.withColumn("started_at", F.col("started_at").cast("timestamp")))
+    closes = spark.createDataFrame([(1, "2024-01-01 11:00:00"), (2, "2024-01-01 12:00:00"), (2, "2024-01-01 11:30:00"), (9, "2024-01-01 09:00:00"), (None, "2024-01-01 09:00:00")], "event_id int, closed_at string")
+    got = history.close_assignments(past, closes.withColumn("closed_at", F.col("closed_at").cast("timestamp")))
+    rows = {r.event_id: (r.ended, r.active) for r in got.select("event_id", F.date_format("ended_at", "HH:mm").alias("ended"), "active").collect()}
+    assert rows == {1: ("10:00", False), 2: ("11:30", False), 3: (None, True)}
+    cameras = spark.createDataFrame([("a", "s", 1), ("b", "r", 2), ("c", None, 3), ("d", "", 4)], "id string, classroom_id string, extra int")
+    cleared = history.clear_classrooms(cameras, got.where("event_id in (1, 2)"))
+    assert {r.id: (r.classroom_id, r.extra) for r in cleared.collect()} == {"a": (None, 1), "b": ("r", 2), "c": (None, 3), "d": ("", 4)}
+    made = cameras.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    assert {r.camera_id for r in history.opening_events(made, F.col("extra")).collect()} == {"a", "b"}
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 7).cast("string").alias("name"))
+    want = {r: i + 1 for i, r in enumerate(sorted(range(5000), key=lambda i: (str(i % 7), i)))}
+    assert {r.id: r.rank for r in views.ranked(df, F.col("name"), F.col("id")).collect()} == want
+    assert views.ranked(df.where("id < 0"), F.col("name"), F.col("id")).count() == 0
+
+
+def test_bins_and_work_dirs_take_nulls(spark):
+    rows = [("p", 10.0, 20.0), ("p", 11.0, 20.0), ("p", 1.0, 0.0), ("p", None, 5.0), (None, 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "provider_name string, processing_seconds double, clip_seconds double").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    assert {(r.provider_name, r.bin): r.jobs for r in metrics.rtf_distribution(df, 0.25).collect()} == {("p", 2): 2, (None, 1): 1}
+    now = F.lit("2024-02-01").cast("timestamp")
+    held = spark.createDataFrame([(1, "ERROR", "/w", "2024-01-01"), (2, "ERROR", None, "2024-01-01"), (3, "ERROR", "/w", "2024-01-31"), (4, "PENDING", "/w", "2024-01-01"), (5, "APPROVED", "/w", None)], "id int, status string, work_dir string, completed_at string")
+    assert [r.id for r in metrics.stale_work_dirs(held.withColumn("completed_at", F.col("completed_at").cast("timestamp")), 7, now).collect()] == [1]
