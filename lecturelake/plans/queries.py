@@ -803,6 +803,18 @@ def _(t: Inputs) -> DataFrame:
     return streaming.drained(streaming.stream_stitch(chunks)).select("job_id", "chunk_index", F.md5("clean_text").alias("clean"), "removed_words")
 
 
+@query("str_highwater", """, sg AS (SELECT conv_id::VARCHAR AS job_id, turn, unnest(range(0, 3)) AS k, turn * 6 + k * 5 - (conv_id + turn) % 3 + 0.0::DOUBLE AS e FROM conversations),
+ f AS (SELECT job_id, list_reduce(list_prepend({'last': -1.0::DOUBLE, 'ids': []::VARCHAR[]}, list({'last': e, 'ids': [turn || '-' || k]} ORDER BY turn, k)), lambda a, x: CASE WHEN x.last > a.last + 0.05 THEN {'last': x.last, 'ids': a.ids || x.ids} ELSE a END) AS r FROM sg GROUP BY job_id)
+ SELECT job_id, unnest(r.ids) AS segment_id FROM f""")
+def _(t: Inputs) -> DataFrame:
+    """Each turn is a chunk of three segments, some of which end before the last one of the turn before."""
+    turns, parts = streaming.stream_table(t.spark, t.folder, "conversations.parquet"), range(3)
+    ids = F.array(*(F.concat_ws("-", "turn", F.lit(k)) for k in parts))
+    ends = F.array(*((F.col("turn") * 6 + k * 5 - (F.col("conv_id") + F.col("turn")) % 3).cast("double") for k in parts))
+    chunks = turns.select(F.col("conv_id").cast("string").alias("job_id"), F.col("turn").cast("long").alias("chunk_index"), ids.alias("segment_ids"), ends.alias("ends"))
+    return streaming.drained(streaming.stream_highwater(chunks))
+
+
 @query("str_cancel", ", c AS (SELECT user_id, min(event_id) AS stop FROM events WHERE event_type = 'error' AND event_id % 5 = 0 GROUP BY 1) SELECT e.user_id AS job_id, event_id AS seq FROM events e LEFT JOIN c USING (user_id) WHERE NOT (event_type = 'error' AND event_id % 5 = 0) AND (stop IS NULL OR event_id < stop)")
 def _(t: Inputs) -> DataFrame:
     stop = (F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)

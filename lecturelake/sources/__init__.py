@@ -32,7 +32,8 @@ def landed_files(listing: DataFrame, declared: DataFrame, max_gb: int = MAX_GB)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under path; their content is never read, as its column is pruned."""
+    """Files under path; their content is never read, as its column is pruned. Spark passes over files of no bytes, so an
+    empty file is not listed: compare declared files with the listing to find it."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 

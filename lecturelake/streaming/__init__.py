@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.stitch import MAX_WORDS, MIN_WORDS
+from ..operators.stitch import EPSILON, MAX_WORDS, MIN_WORDS
 from ..schemas import TERMINAL
 from ..storage import scratch
 
@@ -99,6 +99,30 @@ def stream_stitch(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("job_id").applyInPandasWithState(_stitch, _STITCHED, "expected long, previous string, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _above(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    expected, last, waiting = state.get if state.exists else (0, -1.0, "{}")
+    held, out = json.loads(waiting), []
+    for batch in batches:
+        for i, ids, ends in zip(batch["chunk_index"], batch["segment_ids"], batch["ends"]):
+            if i >= expected:
+                held[str(i)] = [] if ids is None else [[s, float("nan") if e is None else float(e)] for s, e in zip(ids, ends)]
+    while str(expected) in held:
+        for segment, end in held.pop(str(expected)):
+            if end > last + EPSILON:
+                out.append((key[0], segment))
+                last = end
+        expected += 1
+    state.update((expected, last, json.dumps(held)))
+    yield pd.DataFrame(out, columns=["job_id", "segment_id"])
+
+
+def stream_highwater(chunks: DataFrame) -> DataFrame:
+    """highwater over a stream of (job_id, chunk_index from 0, segment_ids, ends): the segments (job_id, segment_id) that end
+    after the last one kept. A job's state is the next index, the last kept end and the chunks that came too early; a
+    chunk that comes again changes nothing, one without segments counts as come, a segment without an end is left out."""
+    return chunks.groupBy("job_id").applyInPandasWithState(_above, "job_id string, segment_id string", "expected long, last double, waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
 def _uncancelled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (stopped,) = state.get if state.exists else (None,)
     rows = pd.concat(list(batches)).sort_values(["seq"])

@@ -298,3 +298,28 @@ def test_bins_and_work_dirs_take_nulls(spark):
     now = F.lit("2024-02-01").cast("timestamp")
     held = spark.createDataFrame([(1, "ERROR", "/w", "2024-01-01"), (2, "ERROR", None, "2024-01-01"), (3, "ERROR", "/w", "2024-01-31"), (4, "PENDING", "/w", "2024-01-01"), (5, "APPROVED", "/w", None)], "id int, status string, work_dir string, completed_at string")
     assert [r.id for r in metrics.stale_work_dirs(held.withColumn("completed_at", F.col("completed_at").cast("timestamp")), 7, now).collect()] == [1]
+
+
+def test_highwater_over_batches_out_of_order(spark, tmp_path):
+    a, b, c, d = ("j", 0, ["a", "b"], [5.0, 5.04]), ("j", 1, ["c", "d"], [4.0, 7.0]), ("j", 2, None, None), ("j", 3, ["e", "f"], [None, 8.0])
+    stream = _in_batches(spark, tmp_path, "job_id string, chunk_index long, segment_ids array<string>, ends array<double>", [b, d], [a, c], [b, a])
+    assert sorted(r.segment_id for r in streaming.drained(streaming.stream_highwater(stream)).collect()) == ["a", "d", "f"]
+
+
+def test_late_rows_are_left_out_of_windows(spark, tmp_path):
+    at = lambda h: f"2024-01-01 {h:02d}:30:00"
+    batches = [(at(1), "x", 1.0), (at(2), "x", 1.0)], [(at(9), "x", 1.0)], [(at(9), "x", 1.0)], [(at(1), "x", 5.0), (at(9), "x", 1.0)]
+    stream = _in_batches(spark, tmp_path, "ts string, event_type string, value double", *batches).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = streaming.drained(streaming.stream_ops_metrics(stream, "2 hours"), "update", ["window_start", "event_type"])
+    assert {r.window_start.hour: r.n for r in got.collect()} == {1: 1, 2: 1, 9: 3}
+
+
+def test_files_are_listed_and_references_checked(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mp4").write_bytes(b"1234")
+    (tmp_path / "b.mp4").write_bytes(b"1")
+    (tmp_path / "empty.mp4").write_bytes(b"")
+    assert sorted((r.path.rpartition("/")[2], r.length) for r in sources.list_files(spark, f"file://{tmp_path}").collect()) == [("a.mp4", 4), ("b.mp4", 1)]
+    child, parent = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "n int, key string"), spark.createDataFrame([("a",), ("a",)], "id string")
+    assert [r.n for r in guards.fk_valid(child, parent, "key").collect()] == [1]
+    assert [r.n for r in guards.fk_violations(child, parent, "key").collect()] == [2]
