@@ -290,10 +290,10 @@ def _(t: Inputs) -> DataFrame:
     return state.deactivate(t.professors, gone).select("id", "active")
 
 
-@query("prj_status_in", f"SELECT 'active' AS name, job_id FROM jobs WHERE status IN {ACTIVE} UNION ALL SELECT 'queueable', job_id FROM jobs WHERE status IN {QUEUEABLE} UNION ALL SELECT 'reviewable', job_id FROM jobs WHERE status IN ('READY_FOR_REVIEW', 'APPROVED')")
+@query("prj_status_in", f"SELECT 'active' AS name, job_id FROM jobs WHERE status IN {ACTIVE} UNION ALL SELECT 'queueable', job_id FROM jobs WHERE status IN {QUEUEABLE} UNION ALL SELECT 'reviewable', job_id FROM jobs WHERE status IN ('READY_FOR_REVIEW', 'APPROVED') UNION ALL SELECT 'cancellable', job_id FROM jobs WHERE status IN {ACTIVE} UNION ALL SELECT 'terminal', job_id FROM jobs WHERE status IN ('READY_FOR_REVIEW', 'APPROVED', 'CANCELLED', 'ERROR')")
 def _(t: Inputs) -> DataFrame:
     one = lambda name: state.status_in(t.jobs, name).select(F.lit(name).alias("name"), "job_id")
-    return one("active").union(one("queueable")).union(one("reviewable"))
+    return one("active").union(one("queueable")).union(one("reviewable")).union(one("cancellable")).union(one("terminal"))
 
 
 @query("prj_public_views", "SELECT job_id, schedule_id, requested_by, status, priority, provider_name, model_name, error_message FROM jobs")
