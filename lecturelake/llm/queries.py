@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, embeddings, licenses, media, mixing, quality, secrets, sentencepieces, simhash, substrings, tries, warc
+from . import audit, embeddings, licenses, media, mixing, quality, secrets, sentencepieces, simhash, substrings, suffixes, tries, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,13 @@ def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepieces, op2_simhash, op3_embeddings, op4_secrets, op5_media, op6_mixing, op7_warc, op8_quality, op9_substrings, op10_licenses, op11_tries, op12_audit)}
+    return {f.__name__: f for f in (op1_sentencepieces, op2_simhash, op3_embeddings, op4_secrets, op5_media, op6_mixing, op7_warc, op8_quality, op9_substrings, op10_licenses, op11_tries, op12_audit, op13_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets.digests_sql(), "op6_mixing": mixing.mix_sql(), "op7_warc": warc.archive_sql(), "op10_licenses": licenses.labels_sql(), "op11_tries": tries.trie_sql(), "op12_audit": audit.audit_sql()}
+    return {"op4_secrets": secrets.digests_sql(), "op6_mixing": mixing.mix_sql(), "op7_warc": warc.archive_sql(), "op10_licenses": licenses.labels_sql(), "op11_tries": tries.trie_sql(), "op12_audit": audit.audit_sql(), "op13_suffixes": suffixes.removal_sql()}
