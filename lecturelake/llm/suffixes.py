@@ -156,13 +156,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_SHARED, np.concatenate(out_t), np.concatenate(out_h))
 
 
-_PIECES = "h long, s1 long, s2 long, doc_id long, tid long, start int, n int, at int, piece binary"
+_PIECES = "h long, s long, doc_id long, most long, tid long, start int, n int, at int, piece binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of LENGTH bytes of texts (doc_id, tid, raw, hs) that have an anchor in hs, as runs of neighbours with
-    one anchor. piece has the run's bytes, for the smallest doc_id of a block that holds them; `at` is the anchor in it."""
-    digest = xxhash.xxh3_128_digest
+    one anchor; s is a digest of a run's bytes, `at` the anchor's place in them. The smallest doc_id of a block that holds
+    a run has the bytes themselves, as piece, and the block's largest such doc_id, as most."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for rows, raws in _blocks(batch, 2):
@@ -182,19 +183,22 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places, near = places[wanted[near]], near[wanted[near]]
             if not len(places):
                 continue
-            new = np.concatenate([[True], (near[1:] != near[:-1]) | (places[1:] != places[:-1] + 1)])
-            begins = np.flatnonzero(new)
+            begins = np.flatnonzero(np.concatenate([[True], (near[1:] != near[:-1]) | (places[1:] != places[:-1] + 1)]))
             start, n = places[begins], np.diff(np.concatenate([begins, [len(places)]]))
             anchor = near[begins]
             slices = [t.raw[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist())]
             doc = text[anchor]
-            pairs = np.frombuffer(b"".join(map(digest, slices)), ">i8").reshape(-1, 2).astype(np.int64)
+            h, s = hashes[anchor].view(np.int64), np.array([digest(x) for x in slices], _U).view(np.int64)
             doc_ids = ids[rows][doc]
-            order = np.lexsort((doc_ids, pairs[:, 1], pairs[:, 0]))
-            same = np.zeros(len(order), bool)
-            same[order[1:]] = (pairs[order[1:]] == pairs[order[:-1]]).all(1)
-            held = pa.array([None if x else s for s, x in zip(slices, same.tolist())], pa.binary())
-            yield _batch(_PIECES, hashes[anchor].view(np.int64), pairs[:, 0], pairs[:, 1], doc_ids, tids[rows][doc], (start - t.starts[doc]).astype(np.int32), n.astype(np.int32), (t.anchors[anchor] - start).astype(np.int32), held)
+            order = np.lexsort((doc_ids, s, h))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (s[order][1:] != s[order][:-1])])
+            first = np.flatnonzero(new)
+            most = doc_ids.copy()
+            most[order[first]] = np.maximum.reduceat(doc_ids[order], first)
+            same = np.ones(len(order), bool)
+            same[order[first]] = False
+            held = pa.array([None if x else y for y, x in zip(slices, same.tolist())], pa.binary())
+            yield _batch(_PIECES, h, s, doc_ids, most, tids[rows][doc], (start - t.starts[doc]).astype(np.int32), n.astype(np.int32), (t.anchors[anchor] - start).astype(np.int32), held)
 
 
 def refined(bucket: np.ndarray, room: np.ndarray, depth: int, offset: int) -> np.ndarray:
@@ -241,66 +245,87 @@ def suffix_buckets(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarra
     return bucket, ends - sizes
 
 
-_ROWS = "key long, s1 long, s2 long, doc_id long, piece binary, lo int, hi int, core int, core_end int"
-_RUNS = "s1 long, s2 long, doc_id long, a int, b int"
+#: Rows of buckets: shape holds, a byte each, the first and last start of the strings and where the core begins and ends.
+_ROWS = "key long, h long, s long, doc_id long, most long, shape long, piece binary"
+_RUNS = "h long, s long, doc_id long, a int, b int"
 
 
-def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s1, s2, doc_id, a, b): the strings from a to b of a piece that a smaller doc_id has too; rows come sorted by (key, doc_id).
+def _shape(lo: Column, hi: Column, core: Column, core_end: Column) -> Column:
+    return sum((F.shiftleft(c.cast("long"), 8 * k) for k, c in enumerate((hi, core, core_end), 1)), lo.cast("long"))
+
+
+def _runs(h, s, doc_id, a=None, b=None) -> pa.RecordBatch:
+    nothing = pa.nulls(len(h), pa.int32())
+    return _batch(_RUNS, h, s, doc_id, *(nothing if x is None else x.astype(np.int32) for x in (a, b)))
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted columns change."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])) if len(columns[0]) else np.zeros(0, np.int64)
 
-    Whole keys are taken together, up to BLOCK bytes. Where the core is the whole string, a key's rows hold the same one:
-    the first row has the smallest doc_id, so these are decided one by one."""
+
+def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, s, doc_id, a, b): the strings from a to b of a piece, which doc_id has first, that a smaller doc_id has too; a null
+    if a larger doc_id has the whole piece. Rows come sorted by (key, doc_id); whole keys are decided together, some BLOCK
+    bytes of them. Where the core is the whole string, a key's rows hold the same one, and its first row the smallest
+    doc_id: these are decided as they come."""
     held, size, last, least = [], 0, None, 0
     for batch in batches:
-        out = []
-        for row in zip(*(batch.column(k).to_pylist() for k in range(9))):
-            key, s1, s2, doc_id, piece, lo, hi, core, end = row
-            if key != last:
-                if size >= BLOCK:
-                    yield _decided(held)
-                    held, size = [], 0
-                last, least = key, doc_id
-            if end - core >= LENGTH:
-                if doc_id > least:
-                    out.append((s1, s2, doc_id, lo, hi))
-            else:
-                held.append(row)
-                size += len(piece)
-        if out:
-            yield _batch(_RUNS, *(pa.array(c, pa.int32() if k > 2 else pa.int64()) for k, c in enumerate(zip(*out))))
+        key, h, s, doc, shape = (batch.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
+        final = (shape >> 24) - (shape >> 16 & 255) >= LENGTH
+        if final.any():
+            own, of = key[final], doc[final]
+            first = _edges(own)
+            low = np.repeat(of[first], np.diff(np.concatenate([first, [len(own)]])))
+            if own[0] == last:
+                low[: first[1] if len(first) > 1 else len(low)] = least
+            last, least = int(own[-1]), int(low[-1])
+            hit = of > low
+            yield _runs(h[final][hit], s[final][hit], of[hit], shape[final][hit] & 255, shape[final][hit] >> 8 & 255)
+            batch = batch.filter(pa.array(~final))
+            key = key[~final]
+        if not len(key):
+            continue
+        border = int(_edges(key)[-1])
+        if held and (border or key[0] != held[-1].column(0)[-1].as_py()) and size + batch.nbytes >= BLOCK:
+            yield from _decided([*held, batch.slice(0, border)])
+            held, size, batch = [], 0, batch.slice(border)
+        held.append(batch)
+        size += batch.nbytes
     if held:
-        yield _decided(held)
-
-
-def _decided(rows: list[tuple]) -> pa.RecordBatch:
-    """_RUNS of whole keys. A piece that several blocks have counts with its smallest doc_id, its first row."""
-    once, kept, of_key = set(), [], {}
-    for r in rows:
-        if (name := (r[0], r[1], r[2], r[5])) not in once:
-            once.add(name)
-            kept.append(r)
-            of_key[r[0]] = of_key.get(r[0], 0) + 1
-    kept = [r for r in kept if of_key[r[0]] > 1]
-    if not kept:
-        return _batch(_RUNS, *(np.zeros(0, np.int32 if k > 2 else np.int64) for k in range(5)))
-    bucket, begins = suffix_buckets([r[4] for r in kept])
-    lo, hi = (np.array([r[k] for r in kept], np.int64) for k in (5, 6))
-    doc = np.array([r[3] for r in kept], np.int64)
+        yield from _decided(held)
+
+
+def _decided(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_RUNS of whole keys, the same piece of several blocks taken once, with its smallest doc_id."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    key, h, s, doc, most, shape = (rows.column(k).to_numpy() for k in range(6))
+    order = np.lexsort((doc, s, key))
+    first = _edges(key[order], s[order])
+    if not len(first):
+        return
+    once = order[first]
+    more = np.maximum.reduceat(most[order], first) > doc[once]
+    yield _runs(h[once][more], s[once][more], doc[once][more])
+    of_key = _edges(key[once])
+    count = np.diff(np.concatenate([of_key, [len(once)]]))
+    kept = once[np.repeat(count > 1, count)]
+    if not len(kept):
+        return
+    doc, lo, hi = doc[kept], shape[kept] & 255, shape[kept] >> 8 & 255
+    bucket, begins = suffix_buckets(rows.column(6).take(pa.array(kept)).to_pylist())
     count = hi - lo + 1
     row = np.repeat(np.arange(len(kept)), count)
     rel = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + lo[row]
     b = bucket[begins[row] + rel]
     order = np.argsort(b, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], b[order][1:] != b[order][:-1]]))
+    first = _edges(b[order])
     least = np.empty(len(b), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[row][order], edges), np.diff(np.concatenate([edges, [len(b)]])))
+    least[order] = np.repeat(np.minimum.reduceat(doc[row][order], first), np.diff(np.concatenate([first, [len(b)]])))
     hit = np.flatnonzero(least < doc[row])
-    new = np.concatenate([[True], (row[hit][1:] != row[hit][:-1]) | (rel[hit][1:] != rel[hit][:-1] + 1)]) if len(hit) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    final = np.concatenate([first[1:], [len(hit)]]) - 1 if len(hit) else first
-    who = row[hit][first]
-    pairs = np.array([(r[1], r[2]) for r in kept], np.int64)
-    return _batch(_RUNS, pairs[who, 0], pairs[who, 1], doc[who], rel[hit][first].astype(np.int32), rel[hit][final].astype(np.int32))
+    begin = _edges(row[hit], rel[hit] - np.arange(len(hit)))
+    who = kept[row[hit][begin]]
+    yield _runs(h[who], s[who], doc[row[hit][begin]], rel[hit][begin], rel[hit][np.concatenate([begin[1:], [len(hit)]]) - 1] if len(hit) else rel[hit])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,34 +333,38 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more to the left share these bytes, the others as much to the right, so that no row makes more than two."""
     for batch in batches:
         out = []
-        for key, s1, s2, doc_id, piece, lo, hi, core, end in zip(*(batch.column(k).to_pylist() for k in range(9))):
+        for key, h, s, doc_id, most, shape, piece in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            lo, hi, core, end = (shape >> 8 * k & 255 for k in range(4))
             missing = LENGTH - (end - core)
             half = (missing + 1) // 2
             for side, a, b, c, e in (("<", lo, min(hi, core - half), core - half, end), (">", max(lo, core - half + 1), hi, core, end + missing - half + 1)):
                 if a <= b:
                     finer = xxhash.xxh64_intdigest(b"%d%s" % (key, side.encode()) + piece[c:e]) - (1 << 63)
-                    out.append((finer, s1, s2, doc_id, piece, a, b, c, e))
-        kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int32()] * 4
-        yield _batch(_ROWS, *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 9, kinds)))
+                    out.append((finer, h, s, doc_id, most, a | b << 8 | c << 16 | e << 24, piece))
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        yield _batch(_ROWS, *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)))
 
 
 def earlier_runs(pieces: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """_earlier over all buckets of pieces. Buckets of more than most_rows rows are refined until none is left: each
     refinement halves what is missing between core and string, after six a bucket holds one string only, which needs no sort."""
-    core_end = (F.col("at") + ANCHOR).cast("int")
-    rows = pieces.where("piece is not null").select(F.col("h").alias("key"), "s1", "s2", "doc_id", "piece", F.lit(0).alias("lo"), (F.col("n") - 1).cast("int").alias("hi"), F.col("at").alias("core"), core_end.alias("core_end"))
-    done = []
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    shape = _shape(F.lit(0), F.col("n") - 1, F.col("at"), F.col("at") + ANCHOR).alias("shape")
+    rows = pieces.where("piece is not null").select(F.col("h").alias("key"), "h", "s", "doc_id", "most", shape, "piece")
+    core = F.shiftright("shape", 24) - F.shiftright("shape", 16).bitwiseAND(F.lit(255))
+    parts, known = [], []
     for _ in range(LENGTH.bit_length()):
-        large = stored(rows.where(F.col("core_end") - F.col("core") < LENGTH).groupBy("key").count().where(F.col("count") > most_rows).select("key"))
+        large = stored(rows.where(core < LENGTH).groupBy("key").count().where(F.col("count") > most_rows).select("key"))
         if not large.head(1):
             break
-        done.append(rows.join(large, "key", "left_anti"))
-        rows = stored(rows.join(large, "key", "left_semi").select(*(c.split()[0] for c in _ROWS.split(", "))).mapInArrow(_split, _ROWS))
-    out = None
-    for part in [*done, rows]:
-        runs = part.repartition("key").sortWithinPartitions("key", "doc_id").select(*(c.split()[0] for c in _ROWS.split(", "))).mapInArrow(_earlier, _RUNS)
-        out = runs if out is None else out.union(runs)
-    return out
+        parts.append(rows.join(large, "key", "left_anti"))
+        hot = stored(rows.join(large, "key", "left_semi").select(*names))
+        known.append(hot.groupBy("h", "s").agg(F.min("doc_id").alias("doc_id"), F.max("most").alias("most")).where("most > doc_id").select("h", "s", "doc_id", *(F.lit(None).cast("int").alias(c) for c in "ab")))
+        rows = stored(hot.mapInArrow(_split, _ROWS))
+    out = [*known, *(part.select(*names).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_earlier, _RUNS) for part in (*parts, rows))]
+    for more in out[1:]:
+        out[0] = out[0].union(more)
+    return out[0]
 
 
 def _raw(docs: DataFrame) -> DataFrame:
@@ -347,7 +376,7 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, most_rows: int = MOST_ROW
     """(doc_id, tid, spans) of texts of which a smaller doc_id has some LENGTH bytes; spans, of bytes, may overlap.
 
     firsts (tid, doc_id) names for each text the smallest doc_id that has it; other documents with the same text are left
-    out. Texts are told apart by 64-bit digests, pieces by 128 bits.
+    out. Texts are told apart by 64-bit digests, pieces by 128 bits, half of them their anchor's.
     """
     raw = _raw(docs)
     anchors = raw.select("tid", "raw").mapInArrow(_anchors, _ANCHORS)
@@ -355,10 +384,8 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, most_rows: int = MOST_ROW
     texts = dealt.mapInArrow(_shared, _SHARED).groupBy("tid").agg(F.collect_list("h").alias("hs"))
     pieces = raw.join(texts.join(firsts, "tid"), ["doc_id", "tid"]).select("doc_id", "tid", "raw", "hs").mapInArrow(_pieces, _PIECES)
     pieces = stored(pieces)
-    several = pieces.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most")).where("first < most")
-    known = several.select("s1", "s2", "first", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    known = stored(known.union(earlier_runs(pieces, most_rows)))
-    met = pieces.select("s1", "s2", "doc_id", "tid", "start", "n").join(known, ["s1", "s2"])
+    known = stored(earlier_runs(pieces, most_rows).withColumnRenamed("doc_id", "first"))
+    met = pieces.select("h", "s", "doc_id", "tid", "start", "n").join(known, ["h", "s"])
     whole = F.col("a").isNull()
     met = met.where((whole & (F.col("doc_id") > F.col("first"))) | (~whole & (F.col("doc_id") == F.col("first"))))
     begin, end = F.col("start") + F.coalesce("a", F.lit(0)), F.col("start") + F.coalesce("b", F.col("n") - 1) + LENGTH
