@@ -203,11 +203,17 @@ def _(t: Inputs) -> DataFrame:
     return d.select("job_id", "status", "text", F.size("segments").cast("long").alias("n"), F.when(F.size("segments") > 0, F.array_join(one, "|")).alias("segs"))
 
 
-@query("snk_replace_segments", ", n AS (SELECT job_id, segment_id || '-new' AS segment_id FROM segments WHERE CAST(job_id AS BIGINT) % 10 = 0 AND chunk_index = 1) SELECT job_id, segment_id FROM segments WHERE job_id NOT IN (SELECT job_id FROM n) UNION ALL SELECT * FROM n")
+@query("snk_replace_segments", """, n AS (SELECT job_id, segment_id || '-new' AS segment_id FROM segments WHERE CAST(job_id AS BIGINT) % 10 = 0 AND chunk_index = 1)
+ SELECT job_id, segment_id FROM segments WHERE job_id NOT IN (SELECT job_id FROM n) AND CAST(job_id AS BIGINT) % 25 <> 1 UNION ALL SELECT * FROM n""")
 def _(t: Inputs) -> DataFrame:
-    old = t.segments.select("job_id", "segment_id")
-    new = t.segments.where("cast(job_id as bigint) % 10 = 0 and chunk_index = 1").select("job_id", F.concat("segment_id", F.lit("-new")).alias("segment_id"))
-    return sources.replace_segments(sources.replace_segments(old, new), new)
+    """A stored table: a first attempt of every job, a second one of some, twice, and one that has found nothing."""
+    path, number = scratch(t.spark), F.col("job_id").cast("long")
+    first = t.segments.select("job_id", F.lit(1).cast("long").alias("attempt"), "segment_id")
+    again = t.segments.where((number % 10 == 0) & (F.col("chunk_index") == 1)).select("job_id", F.lit(2).cast("long").alias("attempt"), F.concat("segment_id", F.lit("-new")).alias("segment_id"))
+    begun = t.segments.where(number % 25 == 1).select("job_id", F.lit(2).cast("long").alias("attempt"), F.lit(None).cast("string").alias("segment_id")).distinct()
+    for rows in (first, again, again, begun):
+        sources.store_segments(rows, path, 8)
+    return sources.stored_segments(t.spark, path).select("job_id", "segment_id")
 
 
 _LOCATION = "CASE WHEN NOT coalesce(r.active AND r.site_id = x.site_id, false) THEN 'classroom' WHEN NOT coalesce(c.active AND c.classroom_id = x.classroom_id, false) THEN 'camera' END"
@@ -768,16 +774,29 @@ def _events(t: Inputs) -> DataFrame:
     return streaming.stream_table(t.spark, t.folder, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("str_arrivals", f"SELECT x.id, coalesce({_LOCATION}, CASE WHEN x.duration_seconds <= 0 THEN 'duration' WHEN NOT x.has_audio THEN 'audio' END) AS reject_reason {_PLACES}")
+@query("str_arrivals", f""", p AS (SELECT page_id, strlen(coalesce(html, '')) + 1 AS n FROM pages), x AS (SELECT page_id::VARCHAR AS id, n, CASE WHEN page_id % 17 = 0 THEN '0' ELSE n_regionkey::VARCHAR END AS site_id, n_nationkey::VARCHAR AS classroom_id, (page_id % 100 + 1)::VARCHAR AS camera_id,
+ CASE WHEN page_id % 13 = 0 THEN 0 ELSE n END AS duration_seconds, page_id % 11 <> 0 AS has_audio, CASE WHEN page_id % 7 = 0 THEN 20000 WHEN page_id % 5 = 0 THEN n + 1 ELSE n END AS declared FROM p JOIN nation ON n_nationkey = page_id % 25)
+ SELECT x.id, CASE WHEN n > 16384 OR declared > 16384 THEN 'size' WHEN declared <> n THEN 'incomplete' ELSE coalesce({_LOCATION}, CASE WHEN x.duration_seconds <= 0 THEN 'duration' WHEN NOT x.has_audio THEN 'audio' END) END AS reject_reason {_PLACES.replace("recordings x", "x")}""")
 def _(t: Inputs) -> DataFrame:
-    e = _events(t).join(F.broadcast(t.nation.select(F.col("n_nationkey").cast("long").alias("room"), "n_regionkey")), F.col("user_id") % 25 == F.col("room"))
-    arrivals = e.select(
-        F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 17 == 0, "0").otherwise(F.col("n_regionkey").cast("string")).alias("site_id"), F.col("room").cast("string").alias("classroom_id"),
-        (F.col("user_id") % 100 + 1).cast("string").alias("camera_id"), (F.col("value") * 1000).alias("duration_seconds"), (F.col("event_type") != "error").alias("has_audio"),
+    """Pages land as files; by declared and real size they are admitted, then probed and placed. Taken files are archived."""
+    path, i = scratch(t.spark), F.col("page_id")
+    pages = t.pages.select(i, F.coalesce("html", F.lit("")).alias("html")).join(F.broadcast(t.nation.select("n_nationkey", "n_regionkey")), i % 25 == F.col("n_nationkey"))
+    pages.select("page_id", "html").write.partitionBy("page_id").text(f"{path}/landing")
+    size = (F.octet_length("html") + 1).cast("long")  # the sink ends a file with a line end
+    known = pages.select(
+        i.cast("string").alias("id"), F.when(i % 17 == 0, "0").otherwise(F.col("n_regionkey").cast("string")).alias("site_id"), F.col("n_nationkey").cast("string").alias("classroom_id"), (i % 100 + 1).cast("string").alias("camera_id"),
+        F.when(i % 13 == 0, 0).otherwise(size).cast("double").alias("duration_seconds"), (i % 11 != 0).alias("has_audio"), F.when(i % 7 == 0, 20_000).when(i % 5 == 0, size + 1).otherwise(size).cast("long").alias("declared_bytes"),
     )
-    path, rooms, cameras = scratch(t.spark), t.classrooms, t.cameras
-    gate = lambda df: guards.ingest_recordings(df.drop("duration_seconds", "has_audio"), df.select("id", "duration_seconds", "has_audio"), rooms, cameras)
-    streaming.stream_ingest(arrivals, gate, path)
+    rooms, cameras, most = t.classrooms, t.cameras, 16_384 / (1 << 30)
+
+    def gate(files: DataFrame) -> DataFrame:
+        named = files.withColumn("id", F.regexp_extract("path", "page_id=(-?[0-9]+)", 1))
+        declared = known.select("id", "site_id", "classroom_id", "camera_id", "declared_bytes").join(named.select("id", "path"), "id")
+        probes = known.select("id", "duration_seconds", "has_audio")
+        return streaming.gate_landed(files, declared, lambda fit: guards.ingest_recordings(fit, probes, rooms, cameras), most)
+
+    for _ in range(2):  # a second run finds nothing new
+        streaming.stream_ingest(streaming.stream_landing(t.spark, f"{path}/landing", f"{path}/archive", 1_000), gate, path)
     accepted = t.spark.read.parquet(f"{path}/accepted").select("id", F.lit(None).cast("string").alias("reject_reason"))
     return accepted.union(t.spark.read.parquet(f"{path}/rejected").select("id", "reject_reason"))
 
@@ -798,8 +817,8 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     docs = streaming.stream_table(t.spark, t.folder, "documents.parquet").select(F.col("doc_id").cast("string").alias("job_id"), fn.words("text").alias("w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - 50) / 45)).cast("int")
-    chunks = docs.select("job_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    chunks = chunks.select("job_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.slice("w", F.col("chunk_index") * 45 + 1, 50), " ").alias("text"))
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * 45 + 1, 50), " "))
+    chunks = docs.select("job_id", (last + 1).alias("total_chunks"), F.posexplode(pieces).alias("chunk_index", "text"))
     return streaming.drained(streaming.stream_stitch(chunks)).select("job_id", "chunk_index", F.md5("clean_text").alias("clean"), "removed_words")
 
 
@@ -815,19 +834,45 @@ def _(t: Inputs) -> DataFrame:
     return streaming.drained(streaming.stream_highwater(chunks))
 
 
-@query("str_cancel", ", c AS (SELECT user_id, min(event_id) AS stop FROM events WHERE event_type = 'error' AND event_id % 5 = 0 GROUP BY 1) SELECT e.user_id AS job_id, event_id AS seq FROM events e LEFT JOIN c USING (user_id) WHERE NOT (event_type = 'error' AND event_id % 5 = 0) AND (stop IS NULL OR event_id < stop)")
+def _in_files(df: DataFrame, order: str, path: str, files: int) -> None:
+    """df's rows by ranges of order, a file after the other; a stream that takes one file a batch sees them in this order."""
+    edges = df.agg(F.percentile_approx(order, [k / files for k in range(1, files)])).first()[0]
+    part = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    for k in range(files):
+        df.where(part == k).coalesce(1).write.parquet(f"{path}/part={k}")
+
+
+def _file_stream(t: Inputs, path: str, schema: str) -> DataFrame:
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+
+
+@query("str_cancel", """, c AS (SELECT user_id, ts FROM events WHERE event_type = 'error' AND event_id % 5 = 0)
+ SELECT e.user_id AS job_id, event_id AS seq FROM events e WHERE NOT (event_type = 'error' AND event_id % 5 = 0) AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = e.user_id AND c.ts <= e.ts AND c.ts >= e.ts - INTERVAL 3 DAY)""")
 def _(t: Inputs) -> DataFrame:
-    stop = (F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)
-    events = _events(t).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(stop, "cancel").otherwise("chunk").alias("kind"))
-    return streaming.drained(streaming.drop_cancelled(events))
+    """Two streams of four files each, a file a batch; two rows of no job, a month later, move the watermark past the rest."""
+    stop, path = (F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), scratch(t.spark)
+    rows = t.events.select(F.col("user_id").cast("long").alias("job_id"), F.col("event_id").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), stop.alias("stop"))
+    streams = []
+    for name, own in (("chunks", rows.where(~F.col("stop"))), ("cancels", rows.where("stop"))):
+        own = own.drop("stop")
+        _in_files(own, "ts", f"{path}/{name}", 4)
+        for k in (4, 5):
+            last = rows.agg(F.timestamp_add("DAY", F.lit(30 + k), F.max("ts")).alias("ts"))
+            last.select(F.lit(-1).cast("long").alias("job_id"), F.lit(-1).cast("long").alias("seq"), "ts").coalesce(1).write.parquet(f"{path}/{name}/part={k}")
+        streams.append(_file_stream(t, f"{path}/{name}", "job_id long, seq long, ts timestamp"))
+    return streaming.drained(streaming.drop_cancelled(*streams, within="3 days", delay="2 days")).where("job_id >= 0").select("job_id", "seq")
 
 
-@query("str_exactly_once", "SELECT job_id, segment_id FROM segments")
+@query("str_exactly_once", ", a AS (SELECT * FROM segments WHERE CAST(job_id AS BIGINT) % 3 <> 0) SELECT job_id, segment_id FROM a UNION ALL SELECT job_id, segment_id || '-2' FROM segments WHERE CAST(job_id AS BIGINT) % 3 = 0")
 def _(t: Inputs) -> DataFrame:
-    lines = streaming.stream_table(t.spark, t.folder, "lineitem.parquet")
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.floor(F.col("l_extendedprice") * 100))
-    path = scratch(t.spark)
-    streaming.replace_stream(lines.select(F.col("l_orderkey").cast("string").alias("job_id"), key.alias("segment_id")), path)
+    """Four files, a batch each, that cut jobs anywhere: some jobs have two attempts, and the second file comes twice."""
+    path, twice = scratch(t.spark), F.col("job_id").cast("long") % 3 == 0
+    attempts = F.explode(F.when(twice, F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).otherwise(F.array(F.lit(1).cast("long")))).alias("attempt")
+    rows = t.segments.select("job_id", "segment_id", "position", attempts).withColumn("segment_id", F.when(F.col("attempt") == 2, F.concat("segment_id", F.lit("-2"))).otherwise(F.col("segment_id")))
+    part = F.pmod(F.xxhash64("segment_id"), F.lit(4))
+    for k, of in enumerate((0, 1, 1, 2, 3)):
+        rows.where(part == of).drop("position").coalesce(1).write.parquet(f"{path}/in/part={k}")
+    streaming.replace_stream(_file_stream(t, f"{path}/in", "job_id string, segment_id string, attempt long"), path, 8)
     return streaming.current_segments(t.spark, path).select("job_id", "segment_id")
 
 

@@ -23,10 +23,10 @@ def load_jdbc(spark: SparkSession, url: str, partitions: dict[str, dict] | None
     return {name: spark.read.format("jdbc").options(url=url, dbtable=name, **options, **(partitions or {}).get(name, {})).load() for name in TABLES}
 
 
-def landed_files(listing: DataFrame, declared: DataFrame, max_gb: int = MAX_GB) -> DataFrame:
+def landed_files(listing: DataFrame, declared: DataFrame, max_gb: float = MAX_GB) -> DataFrame:
     """Landed files (path, length, modificationTime) with declared_bytes (by path) and reject_reason: too large, or not all there."""
-    rows = listing.join(declared, "path", "left")
-    most = F.lit(max_gb).cast("long") * (1 << 30)
+    rows = listing.join(declared.select("path", "declared_bytes"), "path", "left")
+    most = F.lit(int(max_gb * (1 << 30)))
     large = (F.col("length") > most) | (F.coalesce("declared_bytes", F.lit(0)) > most)
     return rows.withColumn("reject_reason", F.when(large, "size").when(F.col("declared_bytes") != F.col("length"), "incomplete"))
 
@@ -140,3 +140,35 @@ def export_json(jobs: DataFrame, segments: DataFrame, path: str) -> None:
 def replace_segments(target: DataFrame, new: DataFrame) -> DataFrame:
     """target with all segments of the jobs in new replaced by new's; doing it again changes nothing."""
     return target.join(new.select("job_id").distinct(), "job_id", "left_anti").select(*target.columns).unionByName(new)
+
+
+def latest_attempts(rows: DataFrame) -> DataFrame:
+    """Of (job_id, attempt, segment_id and more) each job's rows of its latest attempt, a segment once.
+
+    A null attempt comes before all others. A row without segment_id says that its attempt has begun, and counts as one,
+    so that an attempt without segments replaces others too."""
+    order = F.coalesce("attempt", F.lit(-1).cast("long"))
+    last = rows.groupBy("job_id").agg(F.max(order).alias("_last"))
+    return rows.join(last, "job_id").where(order == F.col("_last")).drop("_last").dropDuplicates(["job_id", "segment_id"])
+
+
+def store_segments(new: DataFrame, path: str, buckets: int = 64) -> None:
+    """New segments (job_id, attempt, segment_id and more) into the table at path, which has a folder for each bucket of
+    jobs, by a hash; latest_attempts says what stays.
+
+    Only the buckets of the jobs at hand are read, and written anew; Spark swaps these folders when the job is done, and
+    their old files go. With as many buckets as keep one in a task's reach, a batch costs what its buckets hold. One
+    writer at a time."""
+    spark = new.sparkSession
+    rows = new.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+    rows.where("false").write.mode("ignore").partitionBy("bucket").parquet(path)
+    touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+    if touched:
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+        both = latest_attempts(rows.unionByName(old)).repartition("bucket")
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stored_segments(spark: SparkSession, path: str) -> DataFrame:
+    """The segments at path, without what only says that an attempt has begun."""
+    return spark.read.parquet(path).where("segment_id is not null").drop("bucket")

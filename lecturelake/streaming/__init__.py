@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stitch import EPSILON, MAX_WORDS, MIN_WORDS
 from ..schemas import TERMINAL
+from ..sources import MAX_GB, landed_files, store_segments, stored_segments
 from ..storage import scratch
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table, one file or a folder of files, as a stream of its files."""
@@ -54,6 +57,30 @@ def stream_ingest(arrivals: DataFrame, gate: Callable[[DataFrame], DataFrame], p
     run_batches(arrivals, write, f"{path}/state")
 
 
+def stream_landing(spark: SparkSession, folder: str, archive: str | None = None, files: int = 1000) -> DataFrame:
+    """Files that land under folder, as a stream (path, length, modificationTime); their content is not read.
+
+    A batch takes `files` at most. With an archive, a folder outside the landing one, files are moved there once the
+    batch after theirs is on its way, so that listings stay short; a file is taken once either way."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    stream = stream.option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
+    if archive:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return stream.load(folder).select("path", "length", "modificationTime")
+
+
+def gate_landed(files: DataFrame, declared: DataFrame, probed: Callable[[DataFrame], DataFrame], max_gb: float = MAX_GB) -> DataFrame:
+    """Landed files with declared's columns (path, declared_bytes and what is known of the recording) and reject_reason.
+
+    Size goes first: files that are too large, or not all there, never reach `probed`, which takes the others and gives
+    them back with reject_reason; the columns that it adds are null for those refused. A file that nobody declared is
+    refused as well."""
+    known = files.join(declared.select("path").distinct(), "path", "left_anti").withColumn("reject_reason", F.lit("undeclared"))
+    rows = landed_files(files, declared, max_gb).join(declared.drop("declared_bytes"), "path")
+    refused, fit = rows.where("reject_reason is not null"), rows.where("reject_reason is null").drop("reject_reason")
+    return probed(fit).unionByName(refused, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
+
+
 def stream_latest_status(events: DataFrame) -> DataFrame:
     """The latest status of each job (job_id, seq, status); late events do not set it back. Update mode."""
     return events.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
@@ -65,7 +92,7 @@ def stream_progress(done: DataFrame, delay: str = "1 day") -> DataFrame:
     return once.groupBy("job_id").agg(F.count("*").alias("completed_chunks"))
 
 
-_STITCHED = "job_id string, chunk_index long, clean_text string, removed_words long"
+_STITCHED = "job_id string, chunk_index long, clean_text string, removed_words long, segment_ids array<string>"
 
 
 def _cleaned(previous: str | None, current: str | None, most: int = MAX_WORDS, least: int = MIN_WORDS) -> tuple[str | None, int]:
@@ -79,77 +106,118 @@ def _cleaned(previous: str | None, current: str | None, most: int = MAX_WORDS, l
     return (" ".join(b[size:]) if size else current.strip()), size
 
 
-def _stitch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expected, previous, waiting = state.get if state.exists else (0, "", "{}")
-    held = json.loads(waiting)
-    for batch in batches:
-        held.update({str(i): t for i, t in zip(batch["chunk_index"], batch["text"]) if i >= expected})
-    out = []
-    while str(expected) in held:
-        text = held.pop(str(expected))
-        out.append((key[0], expected, *_cleaned(previous, text)))
-        expected, previous = expected + 1, " ".join((text or "").split()[-MAX_WORDS:])
-    state.update((expected, previous, json.dumps(held)))
-    yield pd.DataFrame(out, columns=["job_id", "chunk_index", "clean_text", "removed_words"])
-
-
-def stream_stitch(chunks: DataFrame) -> DataFrame:
-    """dedup_overlap over a stream of (job_id, chunk_index from 0, text): a job's state is the next index, the last
-    words of the previous raw text and the chunks that came too early, which wait until those before them are there."""
-    return chunks.groupBy("job_id").applyInPandasWithState(_stitch, _STITCHED, "expected long, previous string, waiting string", "append", GroupStateTimeout.NoTimeout)
-
-
-def _above(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expected, last, waiting = state.get if state.exists else (0, -1.0, "{}")
-    held, out = json.loads(waiting), []
-    for batch in batches:
-        for i, ids, ends in zip(batch["chunk_index"], batch["segment_ids"], batch["ends"]):
-            if i >= expected:
-                held[str(i)] = [] if ids is None else [[s, float("nan") if e is None else float(e)] for s, e in zip(ids, ends)]
-    while str(expected) in held:
-        for segment, end in held.pop(str(expected)):
-            if end > last + EPSILON:
-                out.append((key[0], segment))
+class JobState(StatefulProcessor):
+    """A job's place in its chunks: value `place` (next index, last words of the chunk before, last kept end), map `early`
+    of the chunks that came too soon. All goes with the last chunk, with a terminal status, or when the watermark passes
+    the job's last row, and what waits is given up."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "expected long, previous string, last double")
+        self.early = handle.getMapState("early", "chunk_index long", "text string, segment_ids array<string>, ends array<double>, total_chunks long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, out, ended, total, waits, seen = self.place.get() or (0, "", -1.0), [], False, None, self.early.exists(), list(self.handle.listTimers())
+        newest = max(seen, default=0)
+        for frame in rows:
+            for row in frame.sort_values("chunk_index").itertuples(index=False):
+                ended = ended or row.status in TERMINAL
+                newest = max(newest, row.millis)
+                if pd.isna(row.chunk_index) or row.chunk_index < at[0]:
+                    continue  # a status alone, or a chunk that comes again
+                count = None if pd.isna(row.total_chunks) else int(row.total_chunks)
+                held = (row.text, None if row.segment_ids is None else list(row.segment_ids), None if row.ends is None else [None if pd.isna(e) else float(e) for e in row.ends], count)
+                if row.chunk_index > at[0]:
+                    self.early.updateValue((int(row.chunk_index),), held)
+                    waits = True
+                    continue
+                while held is not None:
+                    at, total = self._take(key, at, held, out), held[3] if held[3] is not None else total
+                    held = self.early.getValue((at[0],)) if waits and self.early.containsKey((at[0],)) else None
+                    if held is not None:
+                        self.early.removeKey((at[0],))
+        for timer in seen:
+            self.handle.deleteTimer(timer)
+        if ended or (total is not None and at[0] >= total):
+            self._clear()
+        else:
+            self.place.update(at)
+            self.handle.registerTimer(int(newest))
+        yield pd.DataFrame(out, columns=["job_id", "chunk_index", "clean_text", "removed_words", "segment_ids"])
+
+    @staticmethod
+    def _take(key: tuple, at: tuple, held: tuple, out: list) -> tuple:
+        (index, previous, last), (text, ids, ends, _) = at, held
+        kept = []
+        for segment, end in zip(ids or (), ends or ()):
+            if end is not None and end > last + EPSILON:
+                kept.append(segment)
                 last = end
-        expected += 1
-    state.update((expected, last, json.dumps(held)))
-    yield pd.DataFrame(out, columns=["job_id", "segment_id"])
+        out.append((key[0], index, *_cleaned(previous, text), kept))
+        return index + 1, " ".join((text or "").split()[-MAX_WORDS:]), last
+
+    def _clear(self) -> None:
+        self.place.clear()
+        self.early.clear()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_chunks(chunks: DataFrame, idle: str = "1 day") -> DataFrame:
+    """dedup_overlap and highwater in one pass over a stream of chunks: (job_id, chunk_index, clean_text, removed_words,
+    segment_ids), a row for each chunk in the order of its job, with the segments that end after the last one kept.
+
+    chunks has job_id and chunk_index from 0, and may have text, segment_ids, ends, total_chunks, status and ts, else the
+    time at which a row is read. Chunks that
+    come too early wait; a chunk that comes again changes nothing, unless its job has gone; a row without chunk_index says
+    a status only. A segment without an end is left out. JobState tells what is kept, and until when: a job is given up
+    that is silent until others have rows `idle` later, and a row as late as that is left out. State lies in RocksDB, so that it need not fit in memory."""
+    spark = chunks.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    fields = {"chunk_index": "long", "text": "string", "segment_ids": "array<string>", "ends": "array<double>", "total_chunks": "long", "status": "string"}
+    rows = chunks.select("job_id", *(F.col(c).cast(kind).alias(c) if c in chunks.columns else F.lit(None).cast(kind).alias(c) for c, kind in fields.items()), F.col("ts") if "ts" in chunks.columns else F.current_timestamp().alias("ts"))
+    rows = rows.withColumn("millis", F.unix_millis("ts")).withWatermark("ts", idle)
+    return rows.groupBy("job_id").transformWithStateInPandas(JobState(), _STITCHED, "Append", "EventTime")
+
+
+def stream_stitch(chunks: DataFrame, idle: str = "1 day") -> DataFrame:
+    """stream_chunks' texts: (job_id, chunk_index, clean_text, removed_words)."""
+    return stream_chunks(chunks, idle).select("job_id", "chunk_index", "clean_text", "removed_words")
 
 
-def stream_highwater(chunks: DataFrame) -> DataFrame:
-    """highwater over a stream of (job_id, chunk_index from 0, segment_ids, ends): the segments (job_id, segment_id) that end
-    after the last one kept. A job's state is the next index, the last kept end and the chunks that came too early; a
-    chunk that comes again changes nothing, one without segments counts as come, a segment without an end is left out."""
-    return chunks.groupBy("job_id").applyInPandasWithState(_above, "job_id string, segment_id string", "expected long, last double, waiting string", "append", GroupStateTimeout.NoTimeout)
+def stream_highwater(chunks: DataFrame, idle: str = "1 day") -> DataFrame:
+    """stream_chunks' segments: (job_id, segment_id)."""
+    return stream_chunks(chunks, idle).select("job_id", F.explode("segment_ids").alias("segment_id"))
 
 
-def _uncancelled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (stopped,) = state.get if state.exists else (None,)
-    rows = pd.concat(list(batches)).sort_values(["seq"])
-    cancels = rows.loc[rows["kind"] == "cancel", "seq"]
-    if len(cancels):
-        stopped = int(cancels.min()) if stopped is None else min(stopped, int(cancels.min()))
-    if stopped is not None:
-        state.update((stopped,))
-    keep = rows[(rows["kind"] == "chunk") & ((rows["seq"] < stopped) if stopped is not None else True)]
-    yield keep[["job_id", "seq"]].astype({"job_id": "int64", "seq": "int64"})
+def drop_cancelled(chunks: DataFrame, cancels: DataFrame, within: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """chunks of jobs that were not cancelled before: both streams have job_id and ts.
 
+    A chunk is kept if no cancel of its job lies at its time or up to `within` before it. Both streams may be late by
+    `delay`; a cancel that comes later than that is not seen. A chunk is given once the watermark, which the slower
+    stream sets, has passed it; with it go the chunk's state, and a cancel's `within` later, so that no state is for ever."""
+    c = chunks.withWatermark("ts", delay).alias("c")
+    x = cancels.select(F.col("job_id").alias("_job"), F.col("ts").alias("_ts")).withWatermark("_ts", delay).alias("x")
+    met = F.expr(f"c.job_id = x._job and x._ts <= c.ts and x._ts >= c.ts - interval {within}")
+    return c.join(x, met, "left_outer").where("_job is null").select(*(f"c.{k}" for k in chunks.columns))
 
-def drop_cancelled(events: DataFrame) -> DataFrame:
-    """Of (job_id long, seq long, kind chunk or cancel) the chunks before their job's first cancel; only cancelled jobs have state."""
-    return events.groupBy("job_id").applyInPandasWithState(_uncancelled, "job_id long, seq long", "stopped long", "append", GroupStateTimeout.NoTimeout)
 
+def replace_stream(segments: DataFrame, path: str, buckets: int = 64) -> None:
+    """Segments (job_id, attempt, segment_id and more) into a stored table, batch by batch.
 
-def replace_stream(segments: DataFrame, path: str) -> None:
-    """Segments into a folder per batch, replaced if the batch runs again; current_segments then reads each job's latest batch,
-    so that delivery at least once has the effect of exactly once."""
-    run_batches(segments, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}"), f"{path}/state")
+    A job's rows are replaced by those of a later attempt, never by a later batch, so that an attempt may come in any
+    number of pieces, and a batch that runs again, or rows that come twice, change nothing."""
+    run_batches(segments, lambda batch, number: store_segments(batch, f"{path}/rows", buckets), f"{path}/state")
 
 
 def current_segments(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-    last = rows.groupBy("job_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["job_id", "batch"], "left_semi").drop("batch")
+    """The segments that replace_stream has stored, of each job's latest attempt."""
+    return stored_segments(spark, f"{path}/rows")
 
 
 def _refused(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
