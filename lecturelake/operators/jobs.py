@@ -92,9 +92,13 @@ def metrics_doc(jobs: DataFrame, recordings: DataFrame, batch_size: int = 2, bea
     return jobs.join(recs, "recording_id", "left").select("job_id", doc.alias("metrics"))
 
 
-def apply_reviews(jobs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews (job_id, reviewed_text, approve) applied to jobs that have a transcript; outcome says what became of them."""
-    r = reviews.select("job_id", F.col("reviewed_text").alias("_text"), F.col("approve").alias("_approve"), F.lit(True).alias("_asked"))
+def apply_reviews(jobs: DataFrame, reviews: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Reviews (job_id, reviewed_text, approve) applied to jobs that have a transcript; outcome says what became of them.
+
+    Of several reviews of a job the last one by the order columns counts, as if they came one after the other; without
+    order columns the greatest by text, then approval."""
+    r = latest(reviews, ["job_id"], list(order) or ["reviewed_text", "approve"])
+    r = r.select("job_id", F.col("reviewed_text").alias("_text"), F.col("approve").alias("_approve"), F.lit(True).alias("_asked"))
     rows = jobs.join(r, "job_id", "left")
     ok = F.coalesce(F.col("_asked") & (F.coalesce("transcript_text", F.lit("")) != ""), F.lit(False))
     return rows.withColumns(
@@ -121,9 +125,16 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("r")).select("r.*")
 
 
-def apply_patch(base: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
-    """Partial updates: patches (key, patch map<string,string>) change the fields they hold, also to null; others stay."""
-    rows = base.join(patches.select(key, F.col("patch").alias("_p")), key, "left")
+def apply_patch(base: DataFrame, patches: DataFrame, key: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
+    """Partial updates: patches (key, patch map<string,string>) change the fields they hold, also to null; others stay.
+
+    Several patches of a key apply one after the other by the order columns, so that each field has the value of the last
+    patch that holds it; without order columns, the greatest value, null least. A patch names no fields twice."""
+    each = patches.select(key, *order, F.explode("patch").alias("_field", "_value"))
+    at = F.struct(*order) if order else F.struct("_value")
+    last = each.groupBy(key, "_field").agg(F.max_by(F.struct("_value"), at)["_value"].alias("_value"))
+    one = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_field", "_value"))).alias("_p"))
+    rows = base.join(one, key, "left")
     kinds = {f.name: f.dataType for f in base.schema}
 
     def new(c: str) -> Column:
@@ -133,8 +144,19 @@ def apply_patch(base: DataFrame, patches: DataFrame, key: str = "id") -> DataFra
     return rows.withColumns({c: new(c) for c in base.columns if c != key}).select(*base.columns)
 
 
-def merge_job_state(jobs: DataFrame, updates: DataFrame, key: str = "job_id") -> DataFrame:
-    """Updates (key and some columns, null where not given) over jobs; unknown keys are left out."""
-    changed = [c for c in updates.columns if c != key]
-    u = updates.select(key, *(F.col(c).alias(f"_{c}") for c in changed))
-    return jobs.join(u, key, "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in changed}).select(*jobs.columns)
+def merge_job_state(jobs: DataFrame, updates: DataFrame, key: str = "job_id", order: tuple[str, ...] = (), given: str | None = None) -> DataFrame:
+    """Updates (key and some columns) over jobs; unknown keys are left out.
+
+    An update gives the columns that the array in its column `given` names, null ones too; without such a column, or
+    where it is null, those that are not null. Several updates of a job apply one after the other by the order columns:
+    each column has what the last update that gives it says. Without order columns the greatest value counts, null least."""
+    changed = [c for c in updates.columns if c not in (key, given, *order)]
+
+    def said(c: str) -> Column:
+        there = F.col(c).isNotNull()
+        if given:
+            there = F.when(F.col(given).isNull(), there).otherwise(F.array_contains(given, c))
+        return F.max_by(F.struct(F.col(c).alias("v")), F.when(there, F.struct(*(order or (c,))))).alias(f"_{c}")
+
+    u = updates.groupBy(key).agg(*map(said, changed))
+    return jobs.join(u, key, "left").withColumns({c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)) for c in changed}).select(*jobs.columns)

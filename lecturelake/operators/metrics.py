@@ -26,6 +26,46 @@ def wait_stats(jobs: DataFrame) -> DataFrame:
     )
 
 
+#: Items of a sketch: with up to so many values its quantiles are exact, above that within about 2.3 / SKETCH of the rank.
+SKETCH = 1024
+#: What is sketched: seconds of wait and of run, and the real-time factor.
+MEASURES = ("wait", "run", "rtf")
+
+
+def _measures() -> dict[str, Column]:
+    wait, run = seconds_between("created_at", "started_at"), seconds_between("started_at", "completed_at")
+    return {"wait": wait, "run": run, "rtf": F.when(F.col("clip_seconds") > 0, F.col("processing_seconds") / F.col("clip_seconds"))}
+
+
+def quantile_sketches(jobs: DataFrame, k: int = SKETCH) -> DataFrame:
+    """(day, provider_name, model_name, jobs, wait, run, rtf): KLL sketches of each day's jobs, to be stored.
+
+    A sketch has a bounded size however many jobs it has seen, is combined before the shuffle, and merges with others: weeks and
+    rollups come from stored days by merged_sketches, and need no job again. Nulls are left out; a sketch of none is empty."""
+    sketch = lambda c: F.kll_sketch_agg_double(c.cast("double"), k)
+    return jobs.groupBy(F.to_date("created_at").alias("day"), "provider_name", "model_name").agg(F.count("*").alias("jobs"), *(sketch(c).alias(n) for n, c in _measures().items()))
+
+
+def merged_sketches(sketches: DataFrame, *by: str | Column, rollup: bool = False) -> DataFrame:
+    """Sketches of quantile_sketches merged by other columns, with subtotals (null stands for all) if rollup is set."""
+    groups = sketches.rollup(*by) if rollup else sketches.groupBy(*by)
+    return groups.agg(F.sum("jobs").alias("jobs"), *(F.kll_merge_agg_double(n).alias(n) for n in MEASURES))
+
+
+def sketched_quantiles(sketches: DataFrame, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Sketches as columns: for each measure its number of values and its quantiles (p50 and p95 by default), null without values.
+
+    A quantile q is the least value that q of all values do not exceed."""
+    ranks = quantiles or {"p50": 0.5, "p95": 0.95}
+    out = {}
+    for n in MEASURES:
+        count = F.kll_sketch_get_n_double(n)
+        out[f"{n}_n"] = count
+        for name, q in ranks.items():
+            out[f"{n}_{name}"] = F.when(count > 0, F.kll_sketch_get_quantile_double(n, F.lit(q)))
+    return sketches.select(*(c for c in sketches.columns if c not in MEASURES), *(c.alias(n) for n, c in out.items()))
+
+
 def rtf_distribution(jobs: DataFrame, step: float = 0.1) -> DataFrame:
     """Per day and provider, the jobs in each bin of real-time factors (bin k holds k * step up to the next), with the
     least and greatest factor. Jobs without a clip are left out. Counts of bins, unlike percentiles, combine before the shuffle."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import functions as fn, sources, streaming
 from ..operators import guards, history, jobs as state, metrics, planner, providers, rules, schedules, stitch, views
@@ -235,12 +235,21 @@ def _ingested(t: Inputs) -> DataFrame:
     return guards.ingest_recordings(t.recordings.select("id", "site_id", "classroom_id", "camera_id"), probes, t.classrooms, t.cameras)
 
 
-@query("snk_merge_state", "SELECT job_id, CASE WHEN CAST(job_id AS BIGINT) % 4 = 0 THEN 'MERGING' ELSE status END AS status, CASE WHEN CAST(job_id AS BIGINT) % 4 = 0 AND CAST(job_id AS BIGINT) % 8 <> 0 THEN 9 ELSE priority END AS priority FROM jobs")
+@query("snk_merge_state", """SELECT job_id, CASE WHEN CAST(job_id AS BIGINT) % 4 = 0 THEN 'MERGING' ELSE status END AS status, CASE WHEN CAST(job_id AS BIGINT) % 4 = 0 AND CAST(job_id AS BIGINT) % 8 <> 0 THEN 9 ELSE priority END AS priority,
+ CASE WHEN CAST(job_id AS BIGINT) % 4 <> 0 THEN error_message END AS error_message FROM jobs""")
 def _(t: Inputs) -> DataFrame:
-    j = F.col("job_id").cast("long")
-    updates = t.jobs.where(j % 4 == 0).select("job_id", F.lit("MERGING").alias("status"), F.when(j % 8 != 0, F.lit(9)).alias("priority"))
-    updates = updates.union(updates.select(F.concat(F.lit("x"), "job_id"), "status", "priority"))
-    return state.merge_job_state(t.jobs.select("job_id", "status", "priority"), updates)
+    """Two updates of every fourth job: the second sets the error to null, and says nothing of every other one's priority."""
+    j, names = F.col("job_id").cast("long"), F.array(*map(F.lit, ("status", "priority", "error_message")))
+
+    def update(seq: int, status: str, priority: int, error: str | None, given: Column) -> DataFrame:
+        return t.jobs.where(j % 4 == 0).select(
+            "job_id", F.lit(seq).alias("seq"), F.lit(status).alias("status"), F.when(j % 8 != 0, priority).alias("priority"), F.lit(error).cast("string").alias("error_message"), given.alias("given")
+        )
+
+    first = update(1, "QUEUED", 8, "e", F.lit(None).cast("array<string>"))
+    updates = update(2, "MERGING", 9, None, F.when(j % 8 == 0, F.array_remove(names, "priority")).otherwise(names)).union(first)
+    updates = updates.union(updates.withColumn("job_id", F.concat(F.lit("x"), "job_id")))
+    return state.merge_job_state(t.jobs.select("job_id", "status", "priority", "error_message"), updates, order=("seq",), given="given")
 
 
 @query("sch_add_column", "SELECT job_id, coalesce(course_id, 'none') AS course_id, 'es' AS language FROM jobs")
@@ -314,7 +323,9 @@ def _(t: Inputs) -> DataFrame:
     patch = F.create_map(text("name"), F.concat(F.lit("N"), "id"))
     patch = F.when(i % 6 == 0, F.map_concat(patch, F.create_map(text("classroom_id"), text(None)))).otherwise(patch)
     patch = F.when(i % 9 == 0, F.map_concat(patch, F.create_map(text("active"), text("false")))).otherwise(patch)
-    return state.apply_patch(t.cameras, t.cameras.where(i % 3 == 0).select("id", patch.alias("patch"))).select("id", "name", "classroom_id", "active")
+    patches = t.cameras.where(i % 3 == 0).select("id", patch.alias("patch"), F.lit(2).alias("seq"))
+    before = t.cameras.where(i % 9 == 0).select("id", F.create_map(text("name"), text("older"), text("active"), text("true")).alias("patch"), F.lit(1).alias("seq"))
+    return state.apply_patch(t.cameras, before.union(patches), order=("seq",)).select("id", "name", "classroom_id", "active")
 
 
 def _requests(t: Inputs) -> DataFrame:
@@ -402,8 +413,9 @@ def _(t: Inputs) -> DataFrame:
 
 @query("prj_review", "SELECT job_id, CASE WHEN CAST(job_id AS BIGINT) % 4 = 0 AND transcript_text <> '' THEN 'new' ELSE reviewed_text END AS reviewed_text, CASE WHEN CAST(job_id AS BIGINT) % 4 = 0 AND transcript_text <> '' THEN CASE WHEN CAST(job_id AS BIGINT) % 3 = 0 THEN 'APPROVED' ELSE 'READY_FOR_REVIEW' END ELSE status END AS status, CASE WHEN CAST(job_id AS BIGINT) % 4 = 0 THEN CASE WHEN transcript_text <> '' THEN 'reviewed' ELSE 'no transcript' END END AS outcome FROM jobs")
 def _(t: Inputs) -> DataFrame:
-    reviews = t.jobs.where("cast(job_id as bigint) % 4 = 0").select("job_id", F.lit("new").alias("reviewed_text"), (F.col("job_id").cast("long") % 3 == 0).alias("approve"))
-    return state.apply_reviews(t.jobs, reviews).select("job_id", "reviewed_text", "status", "outcome")
+    reviews = t.jobs.where("cast(job_id as bigint) % 4 = 0").select("job_id", F.lit("new").alias("reviewed_text"), (F.col("job_id").cast("long") % 3 == 0).alias("approve"), F.lit(2).alias("seq"))
+    before = reviews.where("cast(job_id as bigint) % 8 = 0").select("job_id", F.lit("older").alias("reviewed_text"), (~F.col("approve")).alias("approve"), F.lit(1).alias("seq"))
+    return state.apply_reviews(t.jobs, before.union(reviews), ("seq",)).select("job_id", "reviewed_text", "status", "outcome")
 
 
 @query("prj_cancel", f"SELECT job_id, CASE WHEN CAST(job_id AS BIGINT) % 5 = 0 AND status IN {ACTIVE} THEN 'CANCEL_REQUESTED' ELSE status END AS status, cancel_requested OR (CAST(job_id AS BIGINT) % 5 = 0 AND status IN {ACTIVE}) AS cancel_requested, CASE WHEN CAST(job_id AS BIGINT) % 5 = 0 THEN CASE WHEN status IN {ACTIVE} THEN 'cancelling' ELSE 'conflict' END END AS outcome FROM jobs")
@@ -427,23 +439,26 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _interval_sql(days: str, where: str) -> str:
-    at = "date_diff('microsecond', recording_started_at, day::TIMESTAMP + to_seconds({0}))"
+    """Rooms lie in two zones; all recordings are of January, when these are one hour ahead of UTC and five behind."""
+    at = "date_diff('microsecond', local_start, day::TIMESTAMP + to_seconds({0}))"
     second = f"({at} / 1000000.0)"
-    return f""", r AS (SELECT *, {days} AS day FROM recordings), x AS (SELECT r.id AS recording_id, s.id AS schedule_id, day, greatest(0.0, {second.format('start_time')})::DOUBLE AS a, least(duration_seconds, {second.format('end_time')})::DOUBLE AS b FROM r JOIN schedules s ON s.classroom_id = r.classroom_id WHERE s.active {where})
+    return f""", z AS (SELECT *, recording_started_at + CASE WHEN CAST(classroom_id AS INT) % 2 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL (-5) HOUR END AS local_start FROM recordings), r AS (SELECT *, {days} AS day FROM z),
+ x AS (SELECT r.id AS recording_id, s.id AS schedule_id, day, greatest(0.0, {second.format('start_time')})::DOUBLE AS a, least(duration_seconds, {second.format('end_time')})::DOUBLE AS b FROM r JOIN schedules s ON s.classroom_id = r.classroom_id WHERE s.active {where})
  SELECT recording_id, schedule_id, strftime(day, '%Y-%m-%d') AS day, a AS offset_start_seconds, b AS offset_end_seconds FROM x WHERE b > a"""
 
 
 def _proposed(t: Inputs, mode: str) -> DataFrame:
-    out = schedules.propose_intervals(t.recordings, t.schedules, "UTC", mode)
+    zone = F.when(F.col("classroom_id").cast("int") % 2 == 0, "Europe/Madrid").otherwise("America/Bogota")
+    out = schedules.propose_intervals(t.recordings.withColumn("zone", zone), t.schedules, "UTC", mode, "zone")
     return out.select("recording_id", "schedule_id", F.col("day").cast("string").alias("day"), "offset_start_seconds", "offset_end_seconds")
 
 
-@query("jon_schedule_interval", _interval_sql("recording_started_at::DATE", ""))
+@query("jon_schedule_interval", _interval_sql("local_start::DATE", ""))
 def _(t: Inputs) -> DataFrame:
     return _proposed(t, "same_day")
 
 
-@query("jon_schedule_calendar", _interval_sql("unnest(generate_series(recording_started_at::DATE, (recording_started_at + to_seconds(ceil(duration_seconds)::BIGINT))::DATE, INTERVAL 1 DAY))::DATE", "AND day_of_week = isodow(day) - 1 AND (valid_from IS NULL OR day >= valid_from) AND (valid_until IS NULL OR day <= valid_until)"))
+@query("jon_schedule_calendar", _interval_sql("unnest(generate_series(local_start::DATE, (local_start + to_microseconds(ceil(duration_seconds * 1000000)::BIGINT))::DATE, INTERVAL 1 DAY))::DATE", "AND day_of_week = isodow(day) - 1 AND (valid_from IS NULL OR day >= valid_from) AND (valid_until IS NULL OR day <= valid_until)"))
 def _(t: Inputs) -> DataFrame:
     return _proposed(t, "calendar")
 
@@ -569,12 +584,40 @@ def _(t: Inputs) -> DataFrame:
     return metrics.wait_stats(rows).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "provider_name", "jobs", F.round("mean_wait", 4).alias("mean_wait"), "max_wait", F.round("mean_run", 4).alias("mean_run"))
 
 
-@query("agg_wer", "SELECT source, sum((len(string_split(x, ' ')) // 10)::BIGINT)::BIGINT AS edits, sum(len(string_split(x, ' ')))::BIGINT AS reference_words, sum(len(string_split(x, ' ')) // 10)::DOUBLE / sum(len(string_split(x, ' '))) AS wer FROM (SELECT source, %s AS x FROM documents WHERE text <> '') GROUP BY source" % norm("text"))
+def _timed(t: Inputs) -> DataFrame:
+    later = lambda c, s: F.timestamp_add("SECOND", F.floor(s).cast("int"), F.col(c))
+    rows = t.jobs.withColumn("started_at", F.when(F.col("priority") < 8, later("created_at", "prepare_seconds")))
+    return rows.withColumn("completed_at", later("started_at", "processing_seconds"))
+
+
+_MEASURES = ", tm AS (SELECT *, CASE WHEN priority < 8 THEN floor(prepare_seconds) END AS wait, CASE WHEN priority < 8 THEN floor(processing_seconds) END AS run, processing_seconds / clip_seconds AS rtf FROM jobs)"
+_QUANTILES = ", ".join(f"count({n}) AS {n}_n, round(quantile_disc({n}, 0.5), 9)::DOUBLE AS {n}_p50, round(quantile_disc({n}, 0.95), 9)::DOUBLE AS {n}_p95" for n in metrics.MEASURES)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in df.columns if c.endswith(("_p50", "_p95"))})
+
+
+@query("agg_quantiles", f"{_MEASURES} SELECT strftime(created_at, '%Y-%m-%d') AS day, provider_name, model_name, count(*) AS jobs, {_QUANTILES} FROM tm GROUP BY ALL")
+def _(t: Inputs) -> DataFrame:
+    return _rounded(metrics.sketched_quantiles(metrics.quantile_sketches(_timed(t)))).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("agg_quantiles_weekly", f"{_MEASURES}, wk AS (SELECT *, strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week FROM tm) SELECT week, provider_name, count(*) AS jobs, {_QUANTILES} FROM wk GROUP BY week, provider_name")
+def _(t: Inputs) -> DataFrame:
+    """Weeks from stored days: sketches are written, read again and merged. A week's jobs of a provider are fewer than a sketch holds, up to sf0.1."""
+    path = scratch(t.spark)
+    metrics.quantile_sketches(_timed(t)).write.parquet(path)
+    weeks = metrics.merged_sketches(t.spark.read.parquet(path), F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week"), "provider_name")
+    return _rounded(metrics.sketched_quantiles(weeks))
+
+
+@query("agg_wer", "SELECT source, sum(n // 10)::BIGINT AS edits, sum(n)::BIGINT AS reference_words, sum(n // 10)::DOUBLE / nullif(sum(n), 0) AS wer FROM (SELECT source, len(list_filter(string_split(%s, ' '), lambda y: y <> ''))::BIGINT AS n FROM documents) GROUP BY source" % norm("text"))
 def _(t: Inputs) -> DataFrame:
     """Every tenth word goes unheard. Each such word costs one edit and no alignment costs less than the difference in length, so SQL can count them."""
     w = fn.words("text")
     heard = F.array_join(F.filter(w, lambda x, i: (i + 1) % 10 != 0), " ")
-    rows = t.documents.where("text <> ''").select("source", "text", heard.alias("heard"))
+    rows = t.documents.select("source", "text", heard.alias("heard"))
     return metrics.wer(rows, "text", "heard", ["source"]).select("source", "edits", "reference_words", "wer")
 
 

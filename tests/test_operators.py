@@ -321,3 +321,54 @@ def test_files_are_listed_and_references_checked(spark, tmp_path):
     child, parent = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "n int, key string"), spark.createDataFrame([("a",), ("a",)], "id string")
     assert [r.n for r in guards.fk_valid(child, parent, "key").collect()] == [1]
     assert [r.n for r in guards.fk_violations(child, parent, "key").collect()] == [2]
+
+
+def test_offsets_are_elapsed_time(spark):
+    """Slots are wall times: clocks go forward in the night to 2024-03-31 in Madrid and back in that to 2024-10-27."""
+    rows = [
+        (1, "r", "2024-03-30 23:30:00", 50_000.0, "Europe/Madrid"), (2, "r", "2024-10-26 22:30:00", 50_000.0, "Europe/Madrid"), (3, "r", "2024-03-30 23:30:00", 50_000.0, "America/Bogota"),
+        (4, "gap", "2024-03-31 00:30:00", 9_000.0, "Europe/Madrid"), (5, "twice", "2024-10-27 00:50:00", 1_500.0, "Europe/Madrid"), (6, "r", "2024-03-30 23:30:00", None, None),
+    ]
+    recs = spark.createDataFrame(rows, "id int, classroom_id string, at string, duration_seconds double, zone string").withColumn("recording_started_at", F.col("at").cast("timestamp"))
+    slots = [(1, "r", 8), (2, "gap", 2.5), (3, "twice", 2.5)]
+    data = [(i, c, 6, int(h * 3600), int((h + 1) * 3600), None, None, True) for i, c, h in slots]
+    sched = spark.createDataFrame(data, "id int, classroom_id string, day_of_week int, start_time int, end_time int, valid_from date, valid_until date, active boolean")
+
+    def got(mode):
+        out = schedules.propose_intervals(recs, sched, "UTC", mode, "zone").collect()
+        return {r.recording_id: (r.offset_start_seconds, r.offset_end_seconds) for r in out}
+
+    calendar = got("calendar")
+    # 1: from 00:30 to 08:00 an hour is lost. 2: one is gained. 3: no change between 18:30 of the day before and 08:00.
+    # 4: 02:30 is skipped and counts as 03:30, at which the slot ends. 5: from 02:50, the first time, to 02:15, the second
+    assert calendar == {1: (23_400.0, 27_000.0), 2: (30_600.0, 34_200.0), 3: (48_600.0, 50_000.0), 5: (0.0, 1_500.0)}
+
+
+def test_change_sets_apply_one_after_the_other(spark):
+    base = spark.createDataFrame([(1, "t", None, "ERROR", 5), (2, "", None, "ERROR", 5), (3, "t", "old", "ERROR", 5)], "job_id int, transcript_text string, reviewed_text string, status string, priority int")
+    reviews = spark.createDataFrame([(1, "a", True, 1), (1, "b", False, 2), (2, "c", True, 1)], "job_id int, reviewed_text string, approve boolean, seq int")
+    assert sorted((r.job_id, r.reviewed_text, r.status, r.outcome) for r in jobs.apply_reviews(base, reviews, ("seq",)).collect()) == [(1, "b", "READY_FOR_REVIEW", "reviewed"), (2, None, "ERROR", "no transcript"), (3, "old", "ERROR", None)]
+    patches = spark.createDataFrame([(1, {"status": "X", "priority": "1"}, 1), (1, {"status": None}, 2), (3, {"priority": None, "status": "Y"}, 1), (3, {"priority": "7"}, 0)], "job_id int, patch map<string,string>, seq int")
+    assert sorted((r.job_id, r.status, r.priority) for r in jobs.apply_patch(base, patches, "job_id", ("seq",)).collect()) == [(1, None, 1), (2, "ERROR", 5), (3, "Y", None)]
+    updates = spark.createDataFrame([(1, 1, "A", 1, None), (1, 2, "B", None, None), (3, 1, "A", 1, None), (3, 2, None, None, ["status"]), (9, 1, "A", 1, None)], "job_id int, seq int, status string, priority int, given array<string>")
+    merged = jobs.merge_job_state(base, updates, order=("seq",), given="given")
+    assert sorted((r.job_id, r.status, r.priority) for r in merged.collect()) == [(1, "B", 1), (2, "ERROR", 5), (3, None, 1)]
+
+
+def test_sketches_merge(spark):
+    """Days merged agree with one pass where a sketch holds all values, and keep to the rank error where it does not."""
+    rng = random.Random(6)
+    rows = [(f"2024-01-{i % 9 + 1:02d}", "p" if i % 3 else "q", "m", float(int(rng.expovariate(0.01)))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "day string, provider_name string, model_name string, processing_seconds double")
+    df = df.withColumns({"created_at": F.col("day").cast("timestamp"), "started_at": F.lit(None).cast("timestamp"), "completed_at": F.lit(None).cast("timestamp"), "clip_seconds": F.lit(1.0)})
+    for k, error in ((8000, 0.0), (200, 0.03)):
+        merged = metrics.sketched_quantiles(metrics.merged_sketches(metrics.quantile_sketches(df, k), "provider_name", rollup=True), {"p50": 0.5, "p95": 0.95})
+        got = {r.provider_name: r for r in merged.collect()}
+        for name in ("p", "q", None):
+            values = sorted(r[3] for r in rows if name in (None, r[1]))
+            assert got[name].rtf_n == got[name].jobs == len(values) and got[name].wait_p50 is None and got[name].wait_n == 0
+            for q, value in ((0.5, got[name].rtf_p50), (0.95, got[name].rtf_p95)):
+                if not error:
+                    assert value == values[-(-int(q * 100) * len(values) // 100) - 1]
+                below, upto = sum(v < value for v in values) / len(values), sum(v <= value for v in values) / len(values)
+                assert below - error <= q <= upto + error
