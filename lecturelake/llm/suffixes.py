@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
@@ -156,16 +157,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_SHARED, np.concatenate(out_t), np.concatenate(out_h))
 
 
-_PIECES = "h long, s long, doc_id long, most long, tid long, start int, n int, at int, piece binary"
+_PIECES = "h long, s long, doc_id long, more long, nth int, start int, n int, at int, piece binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of LENGTH bytes of texts (doc_id, tid, raw, hs) that have an anchor in hs, as runs of neighbours with
+    """The strings of LENGTH bytes of texts (doc_id, nth, raw, hs) that have an anchor in hs, as runs of neighbours with
     one anchor; s is a digest of a run's bytes, `at` the anchor's place in them. The smallest doc_id of a block that holds
-    a run has the bytes themselves, as piece, and the block's largest such doc_id, as most."""
+    a run has the bytes themselves, as piece, and how far the block's largest such doc_id lies above, as more."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        ids, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ids, nth = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for rows, raws in _blocks(batch, 2):
             t = _Texts(raws)
             text, hashes = t.text_of(t.anchors), t.hashes[t.anchors]
@@ -193,12 +194,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((doc_ids, s, h))
             new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (s[order][1:] != s[order][:-1])])
             first = np.flatnonzero(new)
-            most = doc_ids.copy()
-            most[order[first]] = np.maximum.reduceat(doc_ids[order], first)
+            more = np.zeros(len(order), np.int64)
+            more[order[first]] = np.maximum.reduceat(doc_ids[order], first) - doc_ids[order[first]]
             same = np.ones(len(order), bool)
             same[order[first]] = False
             held = pa.array([None if x else y for y, x in zip(slices, same.tolist())], pa.binary())
-            yield _batch(_PIECES, h, s, doc_ids, most, tids[rows][doc], (start - t.starts[doc]).astype(np.int32), n.astype(np.int32), (t.anchors[anchor] - start).astype(np.int32), held)
+            yield _batch(_PIECES, h, s, doc_ids, more, nth[rows][doc], (start - t.starts[doc]).astype(np.int32), n.astype(np.int32), (t.anchors[anchor] - start).astype(np.int32), held)
 
 
 def refined(bucket: np.ndarray, room: np.ndarray, depth: int, offset: int) -> np.ndarray:
@@ -245,8 +246,8 @@ def suffix_buckets(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarra
     return bucket, ends - sizes
 
 
-#: Rows of buckets: shape holds, a byte each, the first and last start of the strings and where the core begins and ends.
-_ROWS = "key long, h long, s long, doc_id long, most long, shape long, piece binary"
+#: Rows of buckets; h is the anchor where the key is a finer one, else null. shape holds, a byte each, the first and last start of the strings and where the core begins and ends.
+_ROWS = "key long, h long, s long, doc_id long, more long, shape long, piece binary"
 _RUNS = "h long, s long, doc_id long, a int, b int"
 
 
@@ -264,6 +265,10 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])) if len(columns[0]) else np.zeros(0, np.int64)
 
 
+def _anchor(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return pc.coalesce(rows.column(1), rows.column(0)).to_numpy()
+
+
 def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, s, doc_id, a, b): the strings from a to b of a piece, which doc_id has first, that a smaller doc_id has too; a null
     if a larger doc_id has the whole piece. Rows come sorted by (key, doc_id); whole keys are decided together, some BLOCK
@@ -271,7 +276,8 @@ def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     doc_id: these are decided as they come."""
     held, size, last, least = [], 0, None, 0
     for batch in batches:
-        key, h, s, doc, shape = (batch.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
+        key, s, doc, shape = (batch.column(k).to_numpy() for k in (0, 2, 3, 5))
+        h = _anchor(batch)
         final = (shape >> 24) - (shape >> 16 & 255) >= LENGTH
         if final.any():
             own, of = key[final], doc[final]
@@ -299,14 +305,15 @@ def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _decided(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_RUNS of whole keys, the same piece of several blocks taken once, with its smallest doc_id."""
     rows = pa.Table.from_batches(batches).combine_chunks()
-    key, h, s, doc, most, shape = (rows.column(k).to_numpy() for k in range(6))
+    key, s, doc, more, shape = (rows.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
+    h = _anchor(rows)
     order = np.lexsort((doc, s, key))
     first = _edges(key[order], s[order])
     if not len(first):
         return
     once = order[first]
-    more = np.maximum.reduceat(most[order], first) > doc[once]
-    yield _runs(h[once][more], s[once][more], doc[once][more])
+    several = np.maximum.reduceat((doc + more)[order], first) > doc[once]
+    yield _runs(h[once][several], s[once][several], doc[once][several])
     of_key = _edges(key[once])
     count = np.diff(np.concatenate([of_key, [len(once)]]))
     kept = once[np.repeat(count > 1, count)]
@@ -333,14 +340,14 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more to the left share these bytes, the others as much to the right, so that no row makes more than two."""
     for batch in batches:
         out = []
-        for key, h, s, doc_id, most, shape, piece in zip(*(batch.column(k).to_pylist() for k in range(7))):
+        for key, h, s, doc_id, more, shape, piece in zip(*(batch.column(k).to_pylist() for k in range(7))):
             lo, hi, core, end = (shape >> 8 * k & 255 for k in range(4))
             missing = LENGTH - (end - core)
             half = (missing + 1) // 2
             for side, a, b, c, e in (("<", lo, min(hi, core - half), core - half, end), (">", max(lo, core - half + 1), hi, core, end + missing - half + 1)):
                 if a <= b:
                     finer = xxhash.xxh64_intdigest(b"%d%s" % (key, side.encode()) + piece[c:e]) - (1 << 63)
-                    out.append((finer, h, s, doc_id, most, a | b << 8 | c << 16 | e << 24, piece))
+                    out.append((finer, key if h is None else h, s, doc_id, more, a | b << 8 | c << 16 | e << 24, piece))
         kinds = [pa.int64()] * 6 + [pa.binary()]
         yield _batch(_ROWS, *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)))
 
@@ -350,7 +357,7 @@ def earlier_runs(pieces: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     refinement halves what is missing between core and string, after six a bucket holds one string only, which needs no sort."""
     names = [c.split()[0] for c in _ROWS.split(", ")]
     shape = _shape(F.lit(0), F.col("n") - 1, F.col("at"), F.col("at") + ANCHOR).alias("shape")
-    rows = pieces.where("piece is not null").select(F.col("h").alias("key"), "h", "s", "doc_id", "most", shape, "piece")
+    rows = pieces.where("piece is not null").select(F.col("h").alias("key"), F.lit(None).cast("long").alias("h"), "s", "doc_id", "more", shape, "piece")
     core = F.shiftright("shape", 24) - F.shiftright("shape", 16).bitwiseAND(F.lit(255))
     parts, known = [], []
     for _ in range(LENGTH.bit_length()):
@@ -359,7 +366,7 @@ def earlier_runs(pieces: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
             break
         parts.append(rows.join(large, "key", "left_anti"))
         hot = stored(rows.join(large, "key", "left_semi").select(*names))
-        known.append(hot.groupBy("h", "s").agg(F.min("doc_id").alias("doc_id"), F.max("most").alias("most")).where("most > doc_id").select("h", "s", "doc_id", *(F.lit(None).cast("int").alias(c) for c in "ab")))
+        known.append(hot.groupBy(F.coalesce("h", "key").alias("h"), "s").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id") + F.col("more")).alias("most")).where("most > doc_id").select("h", "s", "doc_id", *(F.lit(None).cast("int").alias(c) for c in "ab")))
         rows = stored(hot.mapInArrow(_split, _ROWS))
     out = [*known, *(part.select(*names).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_earlier, _RUNS) for part in (*parts, rows))]
     for more in out[1:]:
@@ -381,15 +388,17 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, most_rows: int = MOST_ROW
     raw = _raw(docs)
     anchors = raw.select("tid", "raw").mapInArrow(_anchors, _ANCHORS)
     dealt = anchors.repartition(F.when(F.col("kind") == SURE, F.col("tid")).otherwise(F.col("h"))).sortWithinPartitions("h", "kind", "tid")
-    texts = dealt.mapInArrow(_shared, _SHARED).groupBy("tid").agg(F.collect_list("h").alias("hs"))
-    pieces = raw.join(texts.join(firsts, "tid"), ["doc_id", "tid"]).select("doc_id", "tid", "raw", "hs").mapInArrow(_pieces, _PIECES)
-    pieces = stored(pieces)
+    # texts of one doc_id are numbered, as a small number takes less room beside every piece than a digest
+    numbered = stored(firsts.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tid"))))
+    texts = dealt.mapInArrow(_shared, _SHARED).groupBy("tid").agg(F.collect_list("h").alias("hs")).join(numbered, "tid")
+    pieces = stored(raw.join(texts, ["doc_id", "tid"]).select("doc_id", "nth", "raw", "hs").mapInArrow(_pieces, _PIECES))
     known = stored(earlier_runs(pieces, most_rows).withColumnRenamed("doc_id", "first"))
-    met = pieces.select("h", "s", "doc_id", "tid", "start", "n").join(known, ["h", "s"])
+    met = pieces.select("h", "s", "doc_id", "nth", "start", "n").join(known, ["h", "s"])
     whole = F.col("a").isNull()
     met = met.where((whole & (F.col("doc_id") > F.col("first"))) | (~whole & (F.col("doc_id") == F.col("first"))))
     begin, end = F.col("start") + F.coalesce("a", F.lit(0)), F.col("start") + F.coalesce("b", F.col("n") - 1) + LENGTH
-    return met.groupBy("doc_id", "tid").agg(F.collect_set(F.struct(begin.alias("start"), end.alias("end"))).alias("spans"))
+    spans = met.groupBy("doc_id", "nth").agg(F.collect_set(F.struct(begin.alias("start"), end.alias("end"))).alias("spans"))
+    return spans.join(numbered, ["doc_id", "nth"]).select("doc_id", "tid", "spans")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
