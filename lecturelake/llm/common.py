@@ -39,8 +39,8 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lecturelake-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, schema: str | None = None) -> DataFrame:
+def stored(df: DataFrame, schema: str | None = None, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: what reads it needs no lineage, so lost executors cost nothing."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**{"compression": codec} if codec else {}).parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)

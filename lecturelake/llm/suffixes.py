@@ -391,7 +391,7 @@ def repeated_spans(docs: DataFrame, firsts: DataFrame, most_rows: int = MOST_ROW
     # texts of one doc_id are numbered, as a small number takes less room beside every piece than a digest
     numbered = stored(firsts.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tid"))))
     texts = dealt.mapInArrow(_shared, _SHARED).groupBy("tid").agg(F.collect_list("h").alias("hs")).join(numbered, "tid")
-    pieces = stored(raw.join(texts, ["doc_id", "tid"]).select("doc_id", "nth", "raw", "hs").mapInArrow(_pieces, _PIECES))
+    pieces = stored(raw.join(texts, ["doc_id", "tid"]).select("doc_id", "nth", "raw", "hs").mapInArrow(_pieces, _PIECES), codec="zstd")
     known = stored(earlier_runs(pieces, most_rows).withColumnRenamed("doc_id", "first"))
     met = pieces.select("h", "s", "doc_id", "nth", "start", "n").join(known, ["h", "s"])
     whole = F.col("a").isNull()
