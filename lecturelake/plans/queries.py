@@ -931,3 +931,28 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     out = streaming.drained(streaming.stream_ops_metrics(_events(t), "40 days"), "update", ["window_start", "event_type"])
     return out.select(F.unix_micros("window_start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("str_job_windows", """, e AS (SELECT provider_name, status, floor(prepare_seconds) AS wait, floor(processing_seconds) AS run, clip_seconds, created_at + to_seconds((floor(prepare_seconds) + floor(processing_seconds))::BIGINT) AS ts FROM jobs)
+ SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP)::BIGINT AS window_start, provider_name, count(*) AS jobs, count(*) FILTER (WHERE status = 'ERROR') AS failures, round(avg(wait), 6) AS mean_wait, round(avg(run), 6) AS mean_run, round(avg(run / clip_seconds), 6) AS mean_rtf FROM e GROUP BY ALL""")
+def _(t: Inputs) -> DataFrame:
+    """Starts and ends as two streams of four files, a file a batch, paired, summed by hour and these by day. Two rows of no
+    job, a year later, move the watermark past the rest; with the second come rows of the first month, which are too late."""
+    path, micros = scratch(t.spark), F.unix_micros("created_at")
+    second = lambda c: F.floor(c).cast("long") * 1_000_000
+    rows = t.jobs.withColumn("started", F.timestamp_micros(micros + second("prepare_seconds"))).withColumn("ended", F.timestamp_micros(F.unix_micros("started") + second("processing_seconds")))
+    edge, first = rows.agg(F.max("ended").alias("ts")), rows.agg(F.timestamp_add("DAY", F.lit(30), F.min("ended"))).first()[0]
+    kinds = {"starts": "job_id string, provider_name string, created_at timestamp, ts timestamp", "ends": "job_id string, status string, clip_seconds double, ts timestamp"}
+    streams = []
+    for name, at in (("starts", "started"), ("ends", "ended")):
+        columns = [c.split()[0] for c in kinds[name].split(", ")]
+        own = rows.withColumn("ts", F.col(at)).select(*columns)
+        _in_files(own, "ts", f"{path}/{name}", 4)
+        for k in (4, 5):
+            last = edge.select(*(F.timestamp_add("DAY", F.lit(365 + k), F.col("ts")).alias(c) if c in ("ts", "created_at") else F.lit("none").alias(c) if c != "clip_seconds" else F.lit(1.0).alias(c) for c in columns))
+            late = own.where(F.col("ts") < F.lit(first)) if k == 5 else own.where("false")
+            last.unionByName(late).coalesce(1).write.parquet(f"{path}/{name}/part={k}")
+        streams.append(_file_stream(t, f"{path}/{name}", kinds[name]))
+    days = streaming.longer_windows(streaming.hourly_runs(streaming.paired_runs(*streams, longest="6 hours", delay="30 days")))
+    out = streaming.run_report(streaming.drained(days)).where("provider_name <> 'none'")
+    return out.withColumns({"window_start": F.unix_micros("window_start"), **{c: F.round(c, 6) for c in ("mean_wait", "mean_run", "mean_rtf")}})

@@ -248,3 +248,38 @@ def stream_ops_metrics(events: DataFrame, delay: str = "1 hour", width: str = "1
     gives a window once the watermark has passed it, update mode as it grows."""
     grouped = events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def paired_runs(starts: DataFrame, ends: DataFrame, longest: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Runs (ts, provider_name, failed, wait, run, rtf) from two streams: starts (job_id, provider_name, created_at, ts) and
+    ends (job_id, status, clip_seconds, ts), where an end lies within `longest` after its job's start; ts is the end's.
+
+    Either stream may be late by `delay`. State goes with the watermark: a start waits for its end as long as one may come."""
+    s = starts.select(F.col("job_id").alias("_job"), "provider_name", "created_at", F.col("ts").alias("_started")).withWatermark("_started", delay)
+    met = F.expr(f"job_id = _job and ts >= _started and ts <= _started + interval {longest}")
+    seconds = lambda late, early: (F.unix_micros(late) - F.unix_micros(early)) / 1e6
+    run = seconds("ts", "_started")
+    return ends.withWatermark("ts", delay).join(s, met).select(
+        "ts", "provider_name", (F.col("status") == "ERROR").alias("failed"), seconds("_started", "created_at").alias("wait"), run.alias("run"), F.when(F.col("clip_seconds") > 0, run / F.col("clip_seconds")).alias("rtf")
+    )
+
+
+_SUMS = ("jobs", "failures", "wait", "run", "rtf", "rtf_jobs")
+
+
+def hourly_runs(runs: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Sums of runs by window w and provider, given once the watermark has passed a window; null providers are one group."""
+    return runs.groupBy(F.window("ts", width).alias("w"), "provider_name").agg(
+        F.count("*").alias("jobs"), F.count_if("failed").alias("failures"), F.sum("wait").alias("wait"), F.sum("run").alias("run"), F.sum("rtf").alias("rtf"), F.count("rtf").alias("rtf_jobs")
+    )
+
+
+def longer_windows(sums: DataFrame, width: str = "1 day") -> DataFrame:
+    """hourly_runs summed up by longer windows, in the same stream: a window counts at its last moment."""
+    return sums.groupBy(F.window(F.window_time("w"), width).alias("w"), "provider_name").agg(*(F.sum(c).alias(c) for c in _SUMS))
+
+
+def run_report(sums: DataFrame) -> DataFrame:
+    """(window_start, provider_name, jobs, failures, mean_wait, mean_run, mean_rtf) of sums by window."""
+    mean = lambda c, n: F.try_divide(c, n)
+    return sums.select(F.col("w.start").alias("window_start"), "provider_name", "jobs", "failures", mean("wait", "jobs").alias("mean_wait"), mean("run", "jobs").alias("mean_run"), mean("rtf", "rtf_jobs").alias("mean_rtf"))

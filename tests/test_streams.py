@@ -83,3 +83,15 @@ def test_landed_files_are_taken_once(spark, tmp_path):
     assert {(k, v) for k, v in seen if k != "2"} == {("a", None), ("b", "size"), ("c", "incomplete"), ("d", "undeclared")}
     assert spark.read.parquet(f"{tmp_path}/out/accepted").count() == 1
     assert len([p for p in (tmp_path / "archive").rglob("*.mp4")]) >= 2
+
+
+def test_windows_of_windows(spark, tmp_path):
+    """Starts and ends paired over batches, an end before its start's batch, one too late, hours summed into days."""
+    start, end = "job_id string, provider_name string, created_at timestamp, ts timestamp", "job_id string, status string, clip_seconds double, ts timestamp"
+    far = 60 * 24 * 9
+    starts = _in_batches(spark, tmp_path / "s", start, [("a", "p", _at(0), _at(1)), ("b", "p", _at(0), _at(2))], [("c", "q", _at(70), _at(70)), ("late", "p", _at(0), _at(3))], [("n", None, _at(far), _at(far))], [("n", None, _at(far), _at(far + 1))])
+    ends = _in_batches(spark, tmp_path / "e", end, [("c", "ERROR", 0.0, _at(80)), ("a", "READY_FOR_REVIEW", 120.0, _at(3))], [("b", "READY_FOR_REVIEW", 60.0, _at(182)), ("x", "ERROR", 1.0, _at(9))], [("n", "ERROR", 1.0, _at(far))], [("n", "ERROR", 1.0, _at(far + 1)), ("late", "ERROR", 1.0, _at(4))])
+    hours = streaming.hourly_runs(streaming.paired_runs(starts, ends, "6 hours", "1 hour"))
+    days = streaming.run_report(streaming.drained(streaming.longer_windows(hours))).collect()
+    got = {(r.window_start.day, r.provider_name): (r.jobs, r.failures, r.mean_wait, r.mean_run, r.mean_rtf) for r in days}
+    assert got == {(1, "p"): (2, 0, 90.0, (120 + 10_800) / 2, (1 + 180) / 2), (1, "q"): (1, 1, 0.0, 600.0, None)}
