@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import normalize_text, normalize_word, strip, words
@@ -14,10 +17,13 @@ def dedup_overlap(chunks: DataFrame, max_words: int = MAX_WORDS, min_words: int
 
     The longest run of max_words to min_words words that ends the previous chunk's raw text and, word by word after
     normalisation, begins this one's is removed. Words are normalised before the window, which keeps that work out of
-    the search for the longest run; only the last max_words of each chunk go through the window.
+    the search for the longest run; of a long chunk only the first and last max_words are, and only the last go through
+    the window.
     """
     order = Window.partitionBy("job_id").orderBy("chunk_index")
-    rows = chunks.withColumn("_w", words("text")).withColumn("_n", F.transform("_w", normalize_word))
+    rows = chunks.withColumn("_w", words("text"))
+    ends = F.concat(F.slice("_w", 1, max_words), F.slice("_w", F.size("_w") - max_words + 1, max_words))
+    rows = rows.withColumn("_n", F.transform(F.when(F.size("_w") > 2 * max_words, ends).otherwise(F.col("_w")), normalize_word))
     rows = rows.withColumn("_tail", F.slice("_n", F.greatest(F.size("_n") - max_words + 1, F.lit(1)), max_words))
     rows = rows.withColumn("_before", F.coalesce(F.lag("_tail").over(order), F.array().cast("array<string>"))).withColumn("_head", F.slice("_n", 1, max_words))
     most = F.least(F.size("_before"), F.size("_head"))
@@ -58,29 +64,38 @@ def namespace_speaker(segments: DataFrame) -> DataFrame:
     return segments.withColumn("speaker_label", F.when(apply, F.format_string("CHUNK_%02d_%s", F.col("chunk_index") + 1, F.col("speaker_label"))).otherwise(F.col("speaker_label")))
 
 
+def _folded(eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the rows, sorted within jobs, that end after the last kept end of their job plus eps; one value is carried."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, last = object(), -1.0
+        for batch in batches:
+            keep = []
+            for one, end in zip(batch.column("job_id").to_pylist(), batch.column("end_seconds").to_pylist()):
+                if one != job:
+                    job, last = one, -1.0
+                keep.append(end is not None and float(end) > last + eps)
+                if keep[-1]:
+                    last = max(last, float(end))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return fold
+
+
 def highwater(segments: DataFrame, order: tuple[str, ...] = ("chunk_index", "position"), eps: float = EPSILON) -> DataFrame:
     """Segments (job_id, end_seconds, order) without those that end by the last kept end plus eps.
 
     The last kept end starts at -1 and moves on kept rows only. Against the running maximum m of all earlier ends, an end
     of m or less is dropped and one above m + eps is kept, whatever happened before; jobs with an end in between, which
-    are few, are folded row by row. Both paths work within a job.
+    are few, pass row by row through a fold, sorted within partitions. Both paths work within a job, and neither gathers one.
     """
-    rows = segments.withColumn("_row", F.struct(*segments.columns))
     before = Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_m", F.coalesce(F.max("end_seconds").over(before), F.lit(-1.0)))
+    rows = segments.withColumn("_m", F.coalesce(F.max("end_seconds").over(before), F.lit(-1.0)))
     between = (F.col("end_seconds") > F.col("_m")) & (F.col("end_seconds") <= F.col("_m") + eps)
-    rows = rows.withColumn("_fold", F.max(between).over(Window.partitionBy("job_id")))
-    sure = rows.where(~F.col("_fold") & (F.col("end_seconds") > F.col("_m") + eps)).select("_row.*")
-    items = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), "end_seconds", "_row")))
-    kind = rows.schema["_row"].dataType.simpleString()
-    keep = lambda acc, x: x["end_seconds"] > acc["last"] + eps
-    step = lambda acc, x: F.struct(
-        F.when(keep(acc, x), F.greatest(acc["last"], x["end_seconds"])).otherwise(acc["last"]).alias("last"),
-        F.when(keep(acc, x), F.concat(acc["rows"], F.array(x["_row"]))).otherwise(acc["rows"]).alias("rows"),
-    )
-    start = F.struct(F.lit(-1.0).alias("last"), F.array().cast(f"array<{kind}>").alias("rows"))
-    folded = rows.where("_fold").groupBy("job_id").agg(items.alias("items")).select(F.aggregate("items", start, step, lambda acc: acc["rows"]).alias("kept"))
-    return sure.union(folded.select(F.explode("kept").alias("r")).select("r.*"))
+    rows = rows.withColumn("_fold", F.coalesce(F.max(between).over(Window.partitionBy("job_id")), F.lit(False)))
+    sure = rows.where(~F.col("_fold") & (F.col("end_seconds") > F.col("_m") + eps)).select(*segments.columns)
+    near = rows.where("_fold").select(*segments.columns).repartition("job_id").sortWithinPartitions("job_id", *order)
+    return sure.union(near.mapInArrow(_folded(eps), segments.schema))
 
 
 def prompts(chunks: DataFrame) -> DataFrame:

@@ -372,3 +372,25 @@ def test_sketches_merge(spark):
                     assert value == values[-(-int(q * 100) * len(values) // 100) - 1]
                 below, upto = sum(v < value for v in values) / len(values), sum(v <= value for v in values) / len(values)
                 assert below - error <= q <= upto + error
+
+
+def test_highwater_of_many_near_ties(spark):
+    """A job of 100,000 ends that creep up by less than the tolerance, and one without, equal to the loop."""
+    ends = [0.02 * i + (0.03 if i % 5 else 0.0) for i in range(100_000)]
+    rows = spark.range(100_000).select(F.lit("j").alias("job_id"), F.col("id").alias("position"), (0.02 * F.col("id") + F.when(F.col("id") % 5 != 0, 0.03).otherwise(0.0)).alias("end_seconds"))
+    rows = rows.union(spark.range(9).select(F.lit("k"), F.col("id"), F.col("id").cast("double")))
+    last, want = -1.0, []
+    for i, e in enumerate(ends):
+        if e > last + stitch.EPSILON:
+            want.append(i)
+            last = e
+    got = stitch.highwater(rows.repartition(5), ("position",)).collect()
+    assert sorted(r.position for r in got if r.job_id == "j") == want and sum(r.job_id == "k" for r in got) == 9
+
+
+def test_long_chunks_compare_their_ends(spark):
+    """Chunks of more words than are compared, at either side of that number, with a run of 40 and one of 41 repeated words."""
+    w = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w[:79]), " ".join(w[39:120]), " ".join(w[79:200]), " ".join(w[160:161] + w[161:300]), " ".join(w[259:400])]
+    got = stitch.dedup_overlap(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "job_id int, chunk_index int, text string")).orderBy("chunk_index").collect()
+    assert [r.removed_words for r in got] == [0, 40, 0, 40, 0]
