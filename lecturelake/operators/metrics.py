@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import seconds_between, words
+from ..functions import normalize_text, seconds_between
 from ..schemas import ACTIVE, TERMINAL
 
 
@@ -102,47 +102,77 @@ def storage_usage(recordings: DataFrame) -> DataFrame:
     return recordings.rollup("site_id", "classroom_id", "camera_id").agg(*sums)
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
+def _within(a: list[str], b: list[str], most: int) -> int:
+    """The distance of two word lists if it is `most` or less, else some number above `most`.
+
+    Only the diagonals at most `most` away from the first are followed. A column of this band is held as two whole
+    numbers, one bit a diagonal: where the distance goes up and where it goes down from the row before. Rows before the
+    first word have no matches and count upwards, so that no edge needs a case of its own. Matches of a word are kept
+    by the row at which the word was last looked at, and moved when it is asked for again."""
+    width, last = 2 * most + 1, len(a) - len(b)
+    every, top, place = (1 << width) - 1, 1 << width - 1, 1 << last + most
+    down = (1 << most + 1) - 1
+    up, distance, matches = every ^ down, abs(last), {}
+
+    def seen(word: str, column: int) -> int:
+        mask, at = matches.get(word, (0, column))
+        return mask >> column - at
+
+    for i, w in enumerate(a[:most]):  # rows 1 to `most` are in the band before the first column
+        matches[w] = (seen(w, 0) | 1 << most + 1 + i, 0)
+    for column, w in enumerate(b, 1):
+        if column + most <= len(a):
+            entering = a[column + most - 1]
+            matches[entering] = (seen(entering, column) | top, column)
+        up, down, same = up >> 1 | top, down >> 1, seen(w, column)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & every
+        distance += not diagonal & place
+        right, left = (down | every & ~(diagonal | up)) << 1 | 1, (up & diagonal) << 1
+        up, down = (left | ~(diagonal | right)) & every, right & diagonal
+    return distance
+
+
+def word_distance(a: list[str], b: list[str], band: int = 32) -> int:
     """Least number of words to put in, take out or replace.
 
-    A column of the distance table is held as two whole numbers, one bit a word of a: where the distance goes up and
-    where it goes down. A word of b then costs a few operations on numbers as long as a."""
-    if not a:
-        return len(b)
-    every, top, where = (1 << len(a)) - 1, 1 << (len(a) - 1), {}
-    for i, w in enumerate(a):
-        where[w] = where.get(w, 0) | 1 << i
-    up, down, distance = every, 0, len(a)
-    for w in b:
-        same = where.get(w, 0)
-        diagonal = (((same & up) + up) ^ up) | same | down
-        right, left = down | (every & ~(diagonal | up)), up & diagonal
-        distance += bool(right & top) - bool(left & top)
-        right, left = (right << 1 | 1) & every, left << 1 & every
-        up, down = left | (every & ~(diagonal | right)), right & diagonal
+    Common beginnings and ends are taken off; then the band is doubled until it holds the distance, so the work is that
+    of the words times the distance, not of the words squared."""
+    k, least = 0, min(len(a), len(b))
+    while k < least and a[k] == b[k]:
+        k += 1
+    e = 0
+    while e < least - k and a[-1 - e] == b[-1 - e]:
+        e += 1
+    a, b = a[k : len(a) - e], b[k : len(b) - e]
+    if not a or not b:
+        return len(a) + len(b)
+    band = max(band, abs(len(a) - len(b)))
+    while (distance := _within(a, b, band)) > band:
+        band *= 2
     return distance
 
 
 @F.pandas_udf(T.LongType())
-def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Word edit distance of two columns of word arrays; common beginnings and ends are taken off first."""
+def _edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([0 if a is None else word_distance(a.split(" ") if a else [], b.split(" ") if b else []) for a, b in zip(reference, hypothesis)], dtype="int64")
+
+
+def word_edits(reference: Column | str, hypothesis: Column | str) -> Column:
+    """Word edit distance of two columns of word arrays, whose words hold no spaces; null if either is null, and a null
+    word is left out. Equal arrays never reach Python; others go there as one string each."""
+    a, b = (F.array_join(F.col(c) if isinstance(c, str) else c, " ") for c in (reference, hypothesis))
+    return text_edits(a, b)
 
-    def edits(a, b) -> int:
-        a, b = list(a), list(b)
-        k = 0
-        while k < min(len(a), len(b)) and a[k] == b[k]:
-            k += 1
-        a, b = a[k:], b[k:]
-        while a and b and a[-1] == b[-1]:
-            a.pop()
-            b.pop()
-        return word_distance(a, b)
 
-    return pd.Series([edits(a, b) for a, b in zip(reference, hypothesis)], dtype="int64")
+def text_edits(reference: Column | str, hypothesis: Column | str) -> Column:
+    """The same of two columns of words between single spaces."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (reference, hypothesis))
+    return F.when(a.isNotNull() & b.isNotNull(), _edits(F.when(a != b, a), F.when(a != b, b)))
 
 
 def wer(df: DataFrame, reference: str, hypothesis: str, by: list[str]) -> DataFrame:
-    """Word error rate per group: all edits over all reference words."""
-    rows = df.select(*by, words(reference).alias("_r"), words(hypothesis).alias("_h"))
-    rows = rows.select(*by, F.size("_r").cast("long").alias("n"), word_edits("_r", "_h").alias("e"))
+    """Word error rate per group: all edits over all reference words. A null text has no words."""
+    rows = df.select(*by, *(normalize_text(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((reference, "_r"), (hypothesis, "_h"))))
+    n = F.when(F.col("_r") == "", 0).otherwise(F.length("_r") - F.length(F.replace("_r", F.lit(" "), F.lit(""))) + 1).cast("long")
+    rows = rows.select(*by, n.alias("n"), text_edits("_r", "_h").alias("e"))
     return rows.groupBy(*by).agg(F.sum("e").alias("edits"), F.sum("n").alias("reference_words")).withColumn("wer", F.try_divide("edits", "reference_words"))

@@ -785,29 +785,62 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _fake(row: dict) -> dict:
-    """A recogniser that gives the chunk's own path back."""
+    """A recogniser that gives the chunk's own path back, and fails where there is none."""
+    if not row["path"]:
+        raise ValueError("empty chunk")
     model = providers.cached_model(lambda *key: "/".join(key), row["model_name"], "cpu", "int8")
     return {"device": "cpu", "compute_type": "int8", "language": row["language"], "language_probability": 1.0, "text": row["path"], "segments": "[]", "provider_model": model}
 
 
-@query("udf_provider", "SELECT job_id, chunk_index, 'fake' AS provider, md5(text) AS text, 'm/cpu/int8' AS provider_model FROM turns")
+@providers.batched
+def _fake_batch(rows: list[dict]) -> list[dict]:
+    return [_fake(r) for r in rows]
+
+
+def _spoken(t: Inputs) -> DataFrame:
+    """Turns as chunks: every seventh conversation's third turn is empty; turns of users go one by one, others by batch."""
+    empty = (F.col("job_id").cast("long") % 7 == 0) & (F.col("chunk_index") == 2)
+    name = F.when(F.col("speaker_label") == "user", "one").otherwise("batch")
+    return t.turns.select(
+        "job_id", "chunk_index", name.alias("provider_name"), F.when(empty, "").otherwise(F.col("text")).alias("path"), F.coalesce("speaker_label", F.lit("none")).alias("model_name"),
+        F.lit("es").alias("language"), F.array().cast("array<string>").alias("vocabulary"), F.lit("").alias("prompt"),
+    )
+
+
+_PROVIDERS = {"one": _fake, "batch": _fake_batch}
+_SPOKEN = """, sp AS (SELECT job_id, chunk_index, coalesce(speaker_label, 'none') AS model, CASE WHEN speaker_label = 'user' THEN 'one' ELSE 'batch' END AS provider,
+ CASE WHEN (job_id::BIGINT % 7 = 0 AND chunk_index = 2) OR text IS NULL OR text = '' THEN NULL ELSE text END AS text FROM turns)"""
+
+
+@query("udf_provider", f"""{_SPOKEN} SELECT job_id, chunk_index, provider, md5(text) AS text, CASE WHEN text IS NOT NULL THEN model || '/cpu/int8' END AS provider_model,
+ CASE WHEN text IS NULL THEN 'ValueError: empty chunk' END AS error FROM sp""")
+def _(t: Inputs) -> DataFrame:
+    """Two providers, one of which takes batches; a chunk that fails is a row with its error, whatever batch it was in."""
+    out = providers.map_chunks(_spoken(t), _PROVIDERS)
+    return out.select("job_id", "chunk_index", "provider", F.md5("text").alias("text"), "provider_model", "error")
+
+
+@query("udf_failed_jobs", f"{_SPOKEN} SELECT job_id, 'ERROR' AS status, 'ValueError: empty chunk' AS error_message, count(*) AS failed_chunks FROM sp WHERE text IS NULL GROUP BY job_id")
 def _(t: Inputs) -> DataFrame:
-    chunks = t.turns.select("job_id", "chunk_index", F.lit("fake").alias("provider_name"), F.col("text").alias("path"), F.lit("m").alias("model_name"), F.lit("es").alias("language"), F.array().cast("array<string>").alias("vocabulary"), F.lit("").alias("prompt"))
-    return providers.map_chunks(chunks, {"fake": _fake}).select("job_id", "chunk_index", "provider", F.md5("text").alias("text"), "provider_model")
+    return providers.failed_jobs(providers.map_chunks(_spoken(t), _PROVIDERS))
 
 
-@query("udf_worker_cache", "SELECT DISTINCT role AS model, role || '/cpu/int8' AS provider_model FROM conversations")
+@query("udf_worker_cache", f"{_SPOKEN} SELECT model, model || '/cpu/int8' AS provider_model, count(*) AS chunks, 1 AS most_loads FROM sp WHERE text IS NOT NULL GROUP BY model")
 def _(t: Inputs) -> DataFrame:
-    chunks = t.turns.select("job_id", "chunk_index", F.lit("fake").alias("provider_name"), F.col("text").alias("path"), F.col("speaker_label").alias("model_name"), F.lit("es").alias("language"), F.array().cast("array<string>").alias("vocabulary"), F.lit("").alias("prompt"))
-    out = providers.map_chunks(chunks, {"fake": _fake})
-    return out.select(F.split("provider_model", "/")[0].alias("model"), "provider_model").distinct()
+    """Chunks by model, with the greatest number of loads of one model in any worker; without the cache that is a worker's chunks of it."""
+    out = providers.map_chunks(_spoken(t), _PROVIDERS).where("error is null")
+    return out.groupBy(F.split("provider_model", "/")[0].alias("model"), "provider_model").agg(F.count("*").alias("chunks"), F.max("model_loads").alias("most_loads"))
 
 
-@query("udf_word_edit", "SELECT doc_id, 3::BIGINT AS edits FROM documents")
+@query("udf_word_edit", rf"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN n // 10 ELSE n END::BIGINT AS edits
+ FROM (SELECT doc_id, len(list_filter(string_split({norm('text')}, ' '), lambda x: x <> ''))::BIGINT AS n FROM documents)""")
 def _(t: Inputs) -> DataFrame:
-    """A text between words that it does not have: as many edits as words."""
-    other = F.concat(F.lit("\u0001a "), F.col("text"), F.lit(" \u0001b \u0001c"))
-    return t.documents.select("doc_id", metrics.word_edits(fn.words("text"), fn.words(other)).alias("edits"))
+    """Texts between three words that they do not have, without every tenth word, and with all words changed: the distances are known."""
+    w, kind = F.col("w"), F.col("doc_id") % 3
+    around = F.concat(F.array(F.lit("\u0001a")), w, F.array(F.lit("\u0001b"), F.lit("\u0001c")))
+    fewer = F.filter(w, lambda x, i: (i + 1) % 10 != 0)
+    other = F.when(kind == 0, around).when(kind == 1, fewer).otherwise(F.transform(w, lambda x: F.concat(F.lit("\u0001"), x)))
+    return t.documents.select("doc_id", fn.words("text").alias("w")).select("doc_id", metrics.word_edits("w", other).alias("edits"))
 
 
 # ---- streams ----

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import final_text, first_header, normalize_text, words_text
 from ..schemas import TABLES, table_schema
@@ -18,9 +18,48 @@ def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(table_schema(name)).parquet(f"{path}/{name}") for name in TABLES}
 
 
-def load_jdbc(spark: SparkSession, url: str, partitions: dict[str, dict] | None = None, **options: str) -> dict[str, DataFrame]:
-    """The same from a database; partitions has partitionColumn, lowerBound, upperBound, numPartitions of large tables."""
-    return {name: spark.read.format("jdbc").options(url=url, dbtable=name, **options, **(partitions or {}).get(name, {})).load() for name in TABLES}
+#: The tables that grow, by the column that a database is asked for in slices.
+SLICED = {"recordings": "created_at", "camera_assignments": "started_at", "transcription_jobs": "created_at", "transcript_segments": "start_seconds"}
+
+
+def _slices(spark: SparkSession, url: str, table: str, column: str, slices: int, options: dict[str, str]) -> dict[str, str]:
+    """Reader options that cut a table into ranges of a column, between its least and greatest value as one query finds
+    them; none if it has no value. Null stands in the first slice."""
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    ends = spark.read.format("jdbc").options(**options, url=url, query=f"SELECT min({name}) AS least, max({name}) AS most FROM {table}").load()
+    if not isinstance(ends.schema[0].dataType, (T.DateType, T.TimestampType)):
+        ends = ends.select(F.floor(F.col(ends.columns[0])), F.ceil(F.col(ends.columns[1])))
+    least, most = ends.select(*(F.col(f"`{c}`").cast("string") for c in ends.columns)).first()
+    return {} if least is None else {"partitionColumn": column, "lowerBound": least, "upperBound": most, "numPartitions": str(slices)}
+
+
+def load_jdbc(spark: SparkSession, url: str, sliced: dict[str, str] | None = None, slices: int = 32, **options: str) -> dict[str, DataFrame]:
+    """The ten tables from a database, with their declared schemas; nested columns stand there as JSON.
+
+    The tables in `sliced` (SLICED unless given; by table, a column of numbers, dates or timestamps) are read in that many
+    queries at once, each a range of equal width; the others in one. Filters and columns asked for reach the database,
+    as its driver gives every column in the declared type and nothing is cast. Slices are taken when
+    this is called: rows that come later are read too, into the first or last."""
+    sliced, out = SLICED if sliced is None else sliced, {}
+    for name in TABLES:
+        cut = _slices(spark, url, name, sliced[name], slices, options) if name in sliced else {}
+        fields = table_schema(name).fields
+        nested = {f.name for f in fields if isinstance(f.dataType, (T.ArrayType, T.StructType))}
+        flat = ", ".join(f"{f.name} {'string' if f.name in nested else f.dataType.simpleString()}" for f in fields)
+        rows = spark.read.format("jdbc").options(**options, url=url, dbtable=name, customSchema=flat, **cut).load()
+        out[name] = rows.select(*(F.from_json(f.name, f.dataType).alias(f.name) if f.name in nested else F.col(f.name) for f in fields))
+    return out
+
+
+def store_jdbc(tables: dict[str, DataFrame], url: str, mode: str = "append", types: dict[str, str] | None = None, **options: str) -> None:
+    """Tables into a database, nested columns as JSON; `types` has column types of tables that are made, by column, where the
+    database's own (such as CLOB) cannot be compared. Each partition is a transaction: a task that is tried again after
+    its commit writes its rows twice, so a table that matters should have a key."""
+    for name, df in tables.items():
+        nested = {f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.StructType))}
+        flat = df.select(*(F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns))
+        made = {"createTableColumnTypes": ", ".join(f"{c} {types[c]}" for c in flat.columns if c in types)} if types and set(types) & set(flat.columns) else {}
+        flat.write.format("jdbc").options(**options, **made, url=url, dbtable=name).mode(mode).save()
 
 
 def landed_files(listing: DataFrame, declared: DataFrame, max_gb: float = MAX_GB) -> DataFrame:

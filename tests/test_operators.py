@@ -394,3 +394,96 @@ def test_long_chunks_compare_their_ends(spark):
     texts = [" ".join(w[:79]), " ".join(w[39:120]), " ".join(w[79:200]), " ".join(w[160:161] + w[161:300]), " ".join(w[259:400])]
     got = stitch.dedup_overlap(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "job_id int, chunk_index int, text string")).orderBy("chunk_index").collect()
     assert [r.removed_words for r in got] == [0, 40, 0, 40, 0]
+
+
+def test_word_distance_equals_a_table_in_any_band():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for k, y in enumerate(b, 1):
+                last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(12)
+    for n in (3, 12, 70) * 40:
+        a, b = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, n))] for _ in range(2))
+        assert {metrics.word_distance(a, b, band) for band in (1, 2, 5, 32)} == {distance(a, b)}
+
+
+def test_word_edits_of_nulls_empty_and_equal_texts(spark):
+    df = spark.createDataFrame([(1, None, ["a"]), (2, [], []), (3, [], ["a", "b"]), (4, ["a"], ["a"]), (5, ["a", "b"], ["b"])], "id int, a array<string>, b array<string>")
+    assert [r.e for r in df.select("id", metrics.word_edits("a", "b").alias("e")).orderBy("id").collect()] == [None, 0, 2, 0, 1]
+    texts = spark.createDataFrame([("x", None, "a"), ("x", "", ""), ("x", " a  b ", "a b"), ("y", None, None)], "g string, r string, h string")
+    assert {r.g: (r.edits, r.reference_words, r.wer) for r in metrics.wer(texts, "r", "h", ["g"]).collect()} == {"x": (1, 2, 0.5), "y": (0, 0, None)}
+
+
+def test_models_load_once_in_a_process():
+    from concurrent.futures import ThreadPoolExecutor
+
+    loads = []
+    load = lambda *key: loads.append(key) or object()
+    with ThreadPoolExecutor(8) as pool:
+        got = set(pool.map(lambda i: providers.cached_model(load, f"once{i % 2}", "cpu", "int8"), range(64)))
+    assert len(got) == len(loads) == 2 and providers.most_loads() == 1
+
+    def fails(*key):
+        raise OSError("no file")
+
+    for _ in range(3):
+        with pytest.raises(OSError):
+            providers.cached_model(fails, "never", "cpu", "int8")
+    assert providers.most_loads() == 3
+    providers._loads.pop(("never", "cpu", "int8"))
+
+
+def test_batches_fail_by_chunk(spark, monkeypatch):
+    sizes = []
+
+    @providers.batched
+    def provider(rows):
+        sizes.append(len(rows))
+        if any(r["path"] == "bad" for r in rows):
+            raise OSError("torn")
+        return [{"text": r["path"].upper()} for r in rows]
+
+    rows = [{"path": "a"}, {"path": "bad"}, {"path": "c"}]
+    assert providers._answers(provider, rows) == [{"text": "A"}, {"error": "OSError: torn"}, {"text": "C"}] and sizes == [3, 1, 1, 1]
+    assert providers._answers(provider, rows[::2]) == [{"text": "A"}, {"text": "C"}] and sizes[4:] == [2]
+    few = providers.batched(lambda rows: [{"text": "x"}] if len(rows) == 1 else [])
+    assert providers._answers(few, rows) == [{"text": "x"}] * 3
+
+    df = spark.createDataFrame([("j", 2, "bad"), ("j", 1, "a"), ("j", 0, "bad"), ("k", 0, "a")], "job_id string, chunk_index int, path string").withColumn("provider_name", F.lit("p"))
+    one = lambda row: {"text": row["path"]} if row["path"] != "bad" else {}["no answer %d" % row["chunk_index"]]
+    out = providers.map_chunks(df, {"p": one})
+    assert [tuple(r) for r in providers.failed_jobs(out).collect()] == [("j", "ERROR", "KeyError: 'no answer 0'", 2)]
+    assert providers.map_chunks(df.limit(0), {"p": one}).count() == 0
+
+    asked, plain = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema, barrier=False, profile=None: asked.append(profile) or plain(self, f, schema))
+    providers.map_chunks(df, {"p": one}, profile="gpu")
+    assert asked == ["gpu"]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
+    url, t = f"jdbc:derby:{tmp_path}/db;create=true", plans.Inputs(spark, str(DATA / "sf0.001"))
+    tables = {}
+    for name, (role, key) in plans.TEN.items():
+        df = getattr(t, role).withColumnRenamed(key, "id")
+        tables[name] = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in sources.table_schema(name)))
+    said = F.from_json(F.lit('{"chunks": 3, "provider": "local"}'), sources.table_schema("transcription_jobs")["metrics"].dataType)
+    tables["transcription_jobs"] = tables["transcription_jobs"].withColumn("metrics", F.when(F.col("priority") > 2, said))
+    tables["camera_assignments"] = tables["camera_assignments"].limit(0)
+    sources.store_jdbc(tables, url, types={"status": "VARCHAR(40)"})
+    read = sources.load_jdbc(spark, url, slices=5)
+    for name, df in tables.items():
+        assert read[name].schema.simpleString() == df.schema.simpleString()
+        assert sorted(map(repr, read[name].collect())) == sorted(map(repr, df.collect())), name
+    jobs_ = read["transcription_jobs"]
+    assert jobs_.rdd.getNumPartitions() == 5 and read["transcript_segments"].rdd.getNumPartitions() == 5
+    assert read["camera_assignments"].rdd.getNumPartitions() == read["sites"].rdd.getNumPartitions() == 1
+    asked = jobs_.where("status = 'ERROR'").select("id")
+    seen = asked._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status,ERROR)" in seen and "transcript_text" not in seen
+    assert asked.count() == tables["transcription_jobs"].where("status = 'ERROR'").count() > 0
