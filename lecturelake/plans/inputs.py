@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import words
+from ..storage import spread
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
@@ -40,7 +41,7 @@ class Inputs:
 
     def chunks(self) -> DataFrame:
         """Documents as overlapping chunks: windows of 50 words, every 45 words."""
-        rows = self.documents.select(F.col("doc_id").alias("job_id"), words("text").alias("w"))
+        rows = spread(self.documents.select("doc_id", "text")).select(F.col("doc_id").alias("job_id"), words("text").alias("w"))
         last = F.greatest(F.lit(0), F.ceil((F.size("w") - 50) / 45)).cast("int")
         # slices are made before the explode, so that no chunk carries its document's words
         pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * 45 + 1, 50), " "))

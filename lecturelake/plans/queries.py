@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import functions as fn, sources, streaming
 from ..operators import guards, history, jobs as state, metrics, planner, providers, rules, schedules, stitch, views
-from ..storage import scratch
+from ..storage import scratch, spread
 from .inputs import Inputs, with_roles
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -617,7 +617,7 @@ def _(t: Inputs) -> DataFrame:
     """Every tenth word goes unheard. Each such word costs one edit and no alignment costs less than the difference in length, so SQL can count them."""
     w = fn.words("text")
     heard = F.array_join(F.filter(w, lambda x, i: (i + 1) % 10 != 0), " ")
-    rows = t.documents.select("source", "text", heard.alias("heard"))
+    rows = spread(t.documents.select("source", "text")).select("source", "text", heard.alias("heard"))
     return metrics.wer(rows, "text", "heard", ["source"]).select("source", "edits", "reference_words", "wer")
 
 
@@ -840,7 +840,7 @@ def _(t: Inputs) -> DataFrame:
     around = F.concat(F.array(F.lit("\u0001a")), w, F.array(F.lit("\u0001b"), F.lit("\u0001c")))
     fewer = F.filter(w, lambda x, i: (i + 1) % 10 != 0)
     other = F.when(kind == 0, around).when(kind == 1, fewer).otherwise(F.transform(w, lambda x: F.concat(F.lit("\u0001"), x)))
-    return t.documents.select("doc_id", fn.words("text").alias("w")).select("doc_id", metrics.word_edits("w", other).alias("edits"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", fn.words("text").alias("w")).select("doc_id", metrics.word_edits("w", other).alias("edits"))
 
 
 # ---- streams ----

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -21,3 +21,12 @@ def scratch(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lecturelake-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan dealt over the cores where its files give fewer parts than there are cores; else as it is.
+
+    Files of one row group are one task, however large; costly work on each row should not wait for it. Large inputs have
+    parts enough, so they are never shuffled for this. Not for what follows a shuffle, whose parts Spark sets as it runs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
