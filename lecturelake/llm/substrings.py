@@ -98,32 +98,37 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Passages that stand in more than one document: doc_id, row, start, end (bytes), n_words, first_doc_id, removed.
-
-    A passage is a run of neighbouring chunks whose digests other documents have too. first_doc_id is the smallest
-    doc_id of those that hold its chunks; removed is false in that document. Repeats within one document alone are
-    left. Digests are combined before the shuffle (least, greatest and smallest doc_id only), so a chunk that a third
-    of all rows share costs a row a task, and the join back can split it. A null or empty text has no chunks. Rows
-    that repeat a doc_id and text are one document; a null doc_id is never the first.
+    """Passages that stand in more than one place: doc_id, row, start, end (bytes), n_words, first_doc_id, removed.
+
+    A passage is a run of neighbouring chunks whose digests stand elsewhere too, in other documents or in the same one.
+    first_doc_id is the smallest doc_id of those that hold its chunks. removed is true where each of these chunks stands
+    in a document with a smaller doc_id, or before in the same text; so one place of every chunk stays. Digests are
+    combined before the shuffle (least and greatest place and smallest doc_id only), so a chunk that a third of all rows
+    share costs a row a task, and the join back can split it. A null or empty text has no chunks. Rows that repeat a
+    doc_id and text are one document; a null doc_id is never the first.
     """
-    every = chunks(docs)
-    seen = every.groupBy("d1", "d2").agg(F.min("row").alias("least"), F.max("row").alias("most"), F.min("doc_id").alias("first_doc_id"))
+    every, place = chunks(docs), F.xxhash64("row", "start")
+    seen = every.groupBy("d1", "d2").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.min("doc_id").alias("first_doc_id"))
     common = stored(seen.where("least < most").select("d1", "d2", "first_doc_id"))  # a plain table: Spark can split a skewed join with it
     shared = every.join(common, ["d1", "d2"])
-    shared = shared.groupBy("doc_id", "row", "start").agg(F.first("end").alias("end"), F.first("words").alias("words"), F.first("first_doc_id").alias("first_doc_id"))
-    order = Window.partitionBy("doc_id", "row").orderBy("start")
-    first = F.col("first_doc_id").eqNullSafe(F.col("doc_id"))
-    new = F.coalesce((F.col("start") != F.lag("end").over(order)) | (first != F.lag(first).over(order)), F.lit(True))
-    runs = shared.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    shared = shared.groupBy("doc_id", "row", "start").agg(*(F.first(c).alias(c) for c in ("end", "words", "first_doc_id", "d1", "d2")))
+    text = Window.partitionBy("doc_id", "row").orderBy("start")
+    sight = F.row_number().over(Window.partitionBy("doc_id", "row", "d1", "d2").orderBy("start"))
+    elsewhere = F.col("first_doc_id").isNotNull() & ~F.col("first_doc_id").eqNullSafe(F.col("doc_id"))
+    new = F.coalesce((F.col("start") != F.lag("end").over(text)) | (F.col("removed") != F.lag("removed").over(text)), F.lit(True))
+    runs = shared.repartition("doc_id", "row").withColumn("removed", elsewhere | (sight > 1)).withColumn("new", new.cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     out = runs.groupBy("doc_id", "row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"),
-        F.max((~F.col("first_doc_id").eqNullSafe(F.col("doc_id"))) & F.col("first_doc_id").isNotNull()).alias("removed"),
-    )
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), F.first("removed").alias("removed")
+    )
     return out.where(F.col("n_words") >= least_words).drop("run")
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with every passage removed from text that stands in a document with a smaller doc_id; columns stay."""
+    """docs without the passages that stand in a document with a smaller doc_id, or before in the same text; columns stay.
+
+    A null or empty text stays as it is, and an empty table is one again. Rows that repeat a doc_id and text lose the
+    same passages each."""
     gone = repeats(docs, least_words).where("removed").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     text, kept = F.coalesce("text", F.lit("")), docs.columns
     wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.cast("binary").alias("b"))

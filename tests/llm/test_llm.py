@@ -443,6 +443,52 @@ def test_repeats(spark, odd, empty):
     assert out.columns == odd.columns and out.count() == odd.count() and substrings.repeats(empty).count() == 0
 
 
+def plain_repeats(data):
+    """Passages by comparing all chunks of all texts, in plain Python."""
+    places, first = {}, {}
+    for i, text in {(i, t or "") for i, t in data}:
+        b, last, seen = text.encode(), 0, {}
+        for end in scalar_chunks(b):
+            chunk = b[last:end]
+            words = sum(b[k] not in b" \t\n\x0b\x0c\r" and (k == 0 or b[k - 1] in b" \t\n\x0b\x0c\r") for k in range(last, end))
+            seen[chunk] = seen.get(chunk, 0) + 1
+            places.setdefault(chunk, []).append((i, text, last, end, words, seen[chunk]))
+            last = end
+    for chunk, found in places.items():
+        first[chunk] = min((p[0] for p in found if p[0] is not None), default=None)
+    shared = sorted(
+        ((p[0] is None, p[0] or 0, p[1], p[2], p[3], p[4], first[c], p[5] > 1 or (first[c] is not None and first[c] != p[0])) for c, found in places.items() if len(found) > 1 for p in found),
+        key=lambda x: x[:4],
+    )
+    runs = []
+    for none, i, text, start, end, words, least, removed in shared:
+        if runs and runs[-1][:3] == [none, i, text] and runs[-1][4] == start and runs[-1][7] == removed:
+            run = runs[-1]
+            run[4], run[5], run[6] = end, run[5] + words, min((x for x in (run[6], least) if x is not None), default=None)
+        else:
+            runs.append([none, i, text, start, end, words, least, removed])
+    return sorted(repr((None if r[0] else r[1], *r[3:])) for r in runs if r[5] >= substrings.LEAST_WORDS)
+
+
+def test_repeats_equal_a_comparison_of_all_chunks(spark, odd):
+    rng = random.Random(21)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passages, lines = [fresh(rng.randint(20, 90)) for _ in range(6)], [fresh(25) for _ in range(3)]
+    data = [(i if i % 9 else None, " ".join(rng.choice([*passages, fresh(30)]) for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    twice = fresh(300)
+    data += [(100, f"{twice} {twice}"), (101, "\n".join(lines * 12)), (102, "palabra " * 400), (103, fresh(400)), (103, twice), (104, None), (105, "")]
+    data += data[3:9]  # repeated rows
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in data], DOCS)
+    got = substrings.repeats(df).collect()
+    assert sorted(repr((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.removed)) for r in got) == plain_repeats(data)
+    own = [r for r in got if r.doc_id == 100]
+    assert sum(r.end - r.start for r in own if r.removed) > len(twice) - 300 and any(not r.removed for r in own)
+    cut = {r.doc_id: r.text for r in substrings.without_repeats(df.where("doc_id in (100, 101)")).collect()}
+    assert len(twice) <= len(cut[100]) < len(twice) + 300 and len(cut[101]) < 3 * len("\n".join(lines)) and all(line[60:-60] in cut[101] for line in lines)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    assert sorted(repr((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.removed)) for r in substrings.repeats(odd).collect()) == plain_repeats([(int(i) if i is not None else None, t) for i, t in rows])
+
+
 def test_sentencepieces_equal_the_library(docs, odd, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     reader = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
