@@ -5,6 +5,10 @@ indexed by a suffix array; every piece is binary-searched for its range of occur
 sorted by position, and are relaxed from left to right. In a BPE model exactly one edge into each position belongs to
 the encoding of what stands before it: the one whose piece may follow the last piece at its start. Relaxation by that
 test in place of a sum of scores gives the model's own result.
+
+A long segment (a text without spaces) is relaxed in overlapping lanes, side by side. A lane begins as if the text did, and
+is right from where it has agreed with the lane before it over as many places as the longest piece has characters, since
+no later place depends on more; a lane that does not agree is relaxed again, place by place, until it does.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 #: Characters indexed at once, bytes of text segmented at once, and segments that a worker remembers.
 BLOCK, GROUP_BYTES, REMEMBERED = 200_000, 3 << 20, 250_000
+#: Characters of a segment from which on it is relaxed in lanes, of a lane, and before a lane for it to fall into step (both as
+#: long as the longest piece or longer); pairs of pieces whose test is remembered for places relaxed alone.
+LONG, LANE, LEAD, PAIRS = 1024, 256, 128, 1_000_000
 
 
 def _merged(symbols: list[str], rank: dict[str, int]) -> Iterator[tuple[str, str]]:
@@ -86,6 +93,7 @@ class Model:
             codes[k, : len(p)] = [self.code[c] for c in p]
         top = np.where(np.arange(codes.shape[1]) < self.lengths[:-1, None], codes, (1 << self.bits) - 1)
         self.least, self.most = self._packed(codes), self._packed(top)
+        self.tested: dict[int, bool] = {}
         table = np.zeros(0x110000, np.int16 if len(letters) < 1 << 15 else np.int32)
         table[[ord(c) for c in letters]] = range(1, len(letters) + 1)
         self.table = table
@@ -183,8 +191,9 @@ class Model:
             at = at[go]
         return out
 
-    def encode_segments(self, segments: list[str]) -> list[bytes]:
-        """The ids of each segment, as bytes of 32-bit integers."""
+    def _lasts(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the segments joined: the last piece of what stands before each place; where segments begin and stop; edges
+        (start, end, piece)."""
         joined = "\0".join(segments) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -213,8 +222,74 @@ class Model:
                 todo = todo[~ok] + 1
                 todo = todo[todo < len(e)]
                 todo = todo[nth[todo] > 0]
+        return last, begins, stops, (start, end, piece)
+
+    def encode_segments(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment, as bytes of 32-bit integers."""
+        last, begins, stops, _ = self._lasts(segments)
         return self._traced(segments, last, begins, stops)
 
+    def encode_long(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment, relaxed in lanes; about BLOCK characters are indexed at once, whatever a segment's length."""
+        lasts = [np.full(len(s) + 1, self.unknown, np.int32) for s in segments]
+        lanes = [(k, a) for k, s in enumerate(segments) for a in range(0, len(s), LANE)]
+        at_once = max(1, BLOCK // (LANE + LEAD))
+        for first in range(0, len(lanes), at_once):
+            some = lanes[first : first + at_once]
+            last, begins, _, edges = self._lasts([segments[k][max(0, a - LEAD) : a + LANE] for k, a in some])
+            by_end = None
+            for (k, a), begin in zip(some, begins.tolist()):
+                whole, zero = lasts[k], begin - max(0, a - LEAD)
+                stop, back = min(a + LANE, len(segments[k])) + 1, a - self.longest + 1
+                if a and not np.array_equal(whole[back : a + 1], last[zero + back : zero + a + 1]):
+                    if by_end is None:
+                        by_end = self._by_end(*edges, len(last))
+                    a = self._in_step(whole, last, zero, a, stop, *by_end)
+                whole[a + 1 : stop] = last[zero + a + 1 : zero + stop]
+        return [self._back(s, x) for s, x in zip(segments, lasts)]
+
+    def _by_end(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges as (start, piece) by end, longest first, and where those of each end begin."""
+        order = np.argsort(end << 6 | (63 - (end - start)))
+        return start[order], piece[order], np.searchsorted(end[order], np.arange(places + 1))
+
+    def _in_step(self, whole: np.ndarray, last: np.ndarray, zero: int, a: int, stop: int, start: np.ndarray, piece: np.ndarray, bounds: np.ndarray) -> int:
+        """Relaxes the places of a lane after a, one by one, until the lane's own have been the same for long enough;
+        returns the place reached."""
+        lo, hi, off, same = bounds[zero + a + 1], bounds[zero + stop], max(0, a - self.longest), 0
+        starts, pieces = (start[lo:hi] - zero - off).tolist(), piece[lo:hi].tolist()
+        cuts, own, done = (bounds[zero + a + 1 : zero + stop + 1] - lo).tolist(), last[zero + a + 1 : zero + stop].tolist(), whole[off : a + 1].tolist()
+        for i, lane in enumerate(own):
+            found = self.unknown
+            for j in range(cuts[i], cuts[i + 1]):
+                if self._tested(done[starts[j]], pieces[j]):
+                    found = pieces[j]
+                    break
+            done.append(found)
+            same = same + 1 if found == lane else 0
+            if same == self.longest:
+                break
+        whole[off : off + len(done)] = done
+        return off + len(done) - 1
+
+    def _tested(self, left: int, right: int) -> bool:
+        """follows for one pair, remembered."""
+        key = left * (self.unknown + 1) + right
+        if key not in self.tested:
+            if len(self.tested) >= PAIRS:
+                self.tested.clear()
+            self.tested[key] = bool(self.follows(np.array([left]), np.array([right]))[0])
+        return self.tested[key]
+
+    def _back(self, segment: str, last: np.ndarray) -> bytes:
+        """The ids along the last pieces from a segment's end to its begin."""
+        pieces, sizes, at, found = last.tolist(), self.lengths.tolist(), len(segment), []
+        while at > 0:
+            found.append(pieces[at])
+            at -= sizes[pieces[at]]
+        ids = self.ids[np.array(found[::-1], np.int64)]
+        return self._with_bytes(segment, ids) if (ids < 0).any() else ids.tobytes()
+
     def _traced(self, segments: list[str], last: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> list[bytes]:
         """Follows the last pieces back from each segment's end."""
         at, alive, found, owner = stops.copy(), np.arange(len(stops)), [], []
@@ -254,10 +329,12 @@ class Model:
     def encode(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
         """The ids of each text, as bytes; known keeps the segments' ids for later calls."""
         cut = [self.segment.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(known))
-        if len(known) + len(new) > REMEMBERED:
+        met = set().union(*cut)
+        long = [s for s in met if len(s) > LONG]  # too long to be remembered
+        met.difference_update(long)
+        if len(known) + len(met.difference(known)) > REMEMBERED:
             known.clear()
-            new = list(set().union(*cut))
+        new = list(met.difference(known))
         block, held = [], 0
         for k, s in enumerate(new):
             block.append(s)
@@ -265,7 +342,8 @@ class Model:
             if held >= BLOCK or k == len(new) - 1:
                 known.update(zip(block, self.encode_segments(block)))
                 block, held = [], 0
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        here = dict(zip(long, self.encode_long(long)))
+        return [b"".join(here[s] if len(s) > LONG else known[s] for s in c) for c in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, the mark of spaces replaced, the space before the text dropped."""

@@ -510,6 +510,26 @@ def test_pieces_in_small_blocks(docs, monkeypatch):
     assert model.encode(texts, {}) == whole
 
 
+def test_pieces_of_unbroken_texts(monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    reader = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    with open(queries.PIECES, "rb") as f:
+        model = sentencepieces.Model(f.read())
+    rng = random.Random(5)
+    kana = [chr(c) for c in range(0x3041, 0x3097)] + [chr(c) for c in range(0x4E00, 0x5200)]
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["x" * 60_000, draw(base64, 60_000), draw(kana, 60_000), draw("0123456789", 20_000), "=" * 5_000, " " * 5_000, draw("ab", 20_000) + " end"]
+    texts += [draw("a=", n) * 700 + draw(["🙂", "é", "\t", "\x00"], 40) * 30 for n in range(1, 12)]
+    assert [np.frombuffer(b, np.int32).tolist() for b in model.encode(texts, {})] == reader.encode(texts)
+    for k, v in {"LONG": 100, "LANE": 70, "LEAD": 64, "BLOCK": 3_000, "PAIRS": 10}.items():  # lanes that seldom fall into step
+        monkeypatch.setattr(sentencepieces, k, v)
+    texts = [t[:4_000] for t in texts] + [draw("ab", 3) * rng.randrange(30, 90) for _ in range(100)]
+    assert model.longest <= 64
+    assert [np.frombuffer(b, np.int32).tolist() for b in model.encode(texts, {})] == reader.encode(texts)
+    assert model.tested
+
+
 def test_pipeline(spark, docs):
     columns, table = docs.columns, docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
