@@ -15,8 +15,8 @@ from .common import scratch
 
 #: Payloads of so many bytes or more are stored once and revisited by their equals.
 LEAST = 1000
-#: Bytes of records in one ARC archive, about; records in one WARC file.
-ARC_BYTES, WARC_RECORDS = 4 << 20, 1000
+#: Bytes of records in one ARC archive, and one record more at most; ARC archives in one WARC file.
+ARC_BYTES, WARC_ARCHIVES = 4 << 20, 16
 #: Duplicate digests up to which their table is broadcast (some 10 MB).
 BROADCAST_HEADS = 100_000
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -140,11 +140,12 @@ def _arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _warcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each ARC archive as one text, which the writer ends as it ends a record."""
     for batch in batches:
         for archive, ids, heads in zip(*batch.columns):
             found = read_arc(archive.as_py())
             values = [to_warc(header, body, i, h) for (header, body), i, h in zip(found, ids.as_py(), heads.as_py(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"value": values}, pa.schema([("value", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"value": [END.join(values)]}, pa.schema([("value", pa.string())]))
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +184,14 @@ def with_heads(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write_pages(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """A WARC file set at path: each page goes through a legacy ARC archive and its conversion.
 
-    Spark's text writer puts the two line ends that close a record after it, so every part file is a WARC file; each
-    is complete or absent if an executor is lost.
+    Spark's text writer puts the two line ends that close a record after each archive's last one, so every part file is a
+    WARC file; each is complete or absent if an executor is lost. A file holds the records of WARC_ARCHIVES archives,
+    64 MB and as many of the largest records on top of that at most, since it is read back in one piece.
     """
     rows = with_heads(pages, least)
     arcs = rows.mapInArrow(_arcs, "archive binary, page_ids array<long>, heads array<long>")
     warcs = arcs.mapInArrow(_warcs, "value string")
-    warcs.write.option("lineSep", END).option("maxRecordsPerFile", WARC_RECORDS).text(path)
+    warcs.write.option("lineSep", END).option("maxRecordsPerFile", WARC_ARCHIVES).text(path)
 
 
 def read_pages(spark, path: str) -> DataFrame:
