@@ -11,8 +11,11 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: All targets together, times all words; and the most of a source or document, times its own words.
 SHARE, MOST = 1.5, 2.0
 SEED = 7
-#: Rows of a source, about, that one sorting task gets, and sources up to which their table is broadcast (some MB).
-BUCKET_ROWS, BROADCAST_SOURCES = 4096, 50_000
+#: Rows of a source, about, that one sorting task gets, and sources up to which their table is broadcast (some
+#: 20 MB, as a row holds up to 62 pairs of doubles).
+BUCKET_ROWS, BROADCAST_SOURCES = 4096, 20_000
+#: Ratio of neighbouring rates as which weights are counted; from 0.05 to 1 there are 62 of them.
+RATIO = 1.05
 
 
 def quality_weight(text: Column) -> Column:
@@ -29,12 +32,13 @@ def sampling_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs as one column `row`, with source, doc_id, size and sampling key beside it."""
+    """docs as one column `row`, with source, doc_id, size, quality weight and sampling key beside it."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    return docs.select(
+    slim = docs.select(
         row, F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"),
-        sampling_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"),
+        quality_weight(F.col("text")).alias("weight"),
     )
+    return slim.withColumn("key", sampling_key(F.col("doc_id"), F.col("weight")))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -72,10 +76,28 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return sources.select("source", "n", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
 
 
+def with_rates(sources: DataFrame, rows: DataFrame) -> DataFrame:
+    """sources with `rates`: an array of (rate, share), the share of a source's rows with weights of about that rate.
+
+    Weights are rounded to powers of RATIO, so the array is short, and counted before the shuffle.
+    """
+    near = F.round(F.log(F.col("weight")) / F.log(F.lit(RATIO))).cast("int")
+    counts = rows.groupBy("source", near.alias("power")).count()
+    pair = F.struct(F.pow(F.lit(RATIO), F.col("power")).alias("rate"), F.col("count").alias("share"))
+    rates = counts.groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list(pair)).alias("rates"))
+    share = F.transform("rates", lambda x: F.struct(x["rate"].alias("rate"), (x["share"] / F.col("n")).alias("share")))
+    return sources.join(rates, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("rates", share)
+
+
 def _bucket() -> Column:
-    """A range of keys, in the order of keys; a source has one for about BUCKET_ROWS of its rows."""
+    """A range of keys, in the order of keys; a source has one for about BUCKET_ROWS of its rows.
+
+    Keys of rate w are below k with probability 1 - exp(-w k); over all rates of a source this gives the share of its
+    rows that is expected below a key, whatever its weights are. It rises with the key, so any rates give right results.
+    """
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
-    return F.least(buckets - 1, F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("long")
+    below = F.aggregate("rates", F.lit(0.0), lambda acc, x: acc + x["share"] * (1 - F.exp(-x["rate"] * F.col("key"))))
+    return F.least(buckets - 1, F.floor(below * buckets)).cast("long")
 
 
 def _beside(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -92,7 +114,7 @@ def plan(rows: DataFrame, **options) -> DataFrame:
 
     Sums of buckets, made before the shuffle, are prefix-summed; no source's documents meet in a task.
     """
-    sources = stored(targets(rows, **options))
+    sources = stored(with_rates(targets(rows, **options), rows))
     buckets = _beside(rows, sources).groupBy("source", _bucket().alias("bucket")).agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = buckets.withColumn("until", F.sum("words").over(run))
@@ -102,7 +124,7 @@ def plan(rows: DataFrame, **options) -> DataFrame:
     ends = ends.select(F.col("source").alias("s"), F.col("bucket").alias("last"), (F.col("budget") - F.col("until") + F.col("words")).alias("left"))
     ends = ends.groupBy("s").agg(F.min(F.struct("last", "left")).alias("end"))
     out = budgets.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    return stored(out.select("source", "n", "source_size", "target", "epochs", F.coalesce("end.last", F.lit(-1)).alias("last"), F.coalesce("end.left", F.lit(0)).alias("left")))
+    return stored(out.select("source", "n", "rates", "source_size", "target", "epochs", F.coalesce("end.last", F.lit(-1)).alias("last"), F.coalesce("end.left", F.lit(0)).alias("left")))
 
 
 def taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -129,15 +151,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     words have target 0. An empty input gives an empty result. Reruns agree: keys depend on doc_id and seed only.
     """
     slim = docs.select("doc_id", "source", "text")
-    rows = stored(measured(slim).select("source", "doc_id", "size", "key"))
+    rows = stored(measured(slim).select("source", "doc_id", "size", "weight", "key"))
     return taken(rows, plan(rows, **options)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: docs' rows, each as many times as the mix takes it; of the row at the end of a source's budget
-    the whole is taken if half of it or more is in the budget. Columns stay as they are."""
+    the whole is taken if half of it or more is in the budget. Columns stay as they are, whatever their names.
+
+    Rows without words (a null text among them) are not taken; null and repeated doc_ids, null sources and an empty table
+    are treated as in mix.
+    """
     rows = measured(docs)
-    slim = stored(rows.select("source", "doc_id", "size", "key"))
+    slim = stored(rows.select("source", "doc_id", "size", "weight", "key"))
     copies = F.floor(F.try_divide("taken", "size") + 0.5).cast("int")
     out = taken(rows, plan(slim, **options)).where("size > 0").withColumn("copies", copies)
     return out.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
