@@ -330,11 +330,12 @@ class Model:
         """The ids of each text, as bytes; known keeps the segments' ids for later calls."""
         cut = [self.segment.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         met = set().union(*cut)
-        long = [s for s in met if len(s) > LONG]  # too long to be remembered
-        met.difference_update(long)
-        if len(known) + len(met.difference(known)) > REMEMBERED:
+        new = met.difference(known)
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
-        new = list(met.difference(known))
+            new = met
+        long = [s for s in new if len(s) > LONG]
+        new.difference_update(long)
         block, held = [], 0
         for k, s in enumerate(new):
             block.append(s)
@@ -342,8 +343,11 @@ class Model:
             if held >= BLOCK or k == len(new) - 1:
                 known.update(zip(block, self.encode_segments(block)))
                 block, held = [], 0
-        here = dict(zip(long, self.encode_long(long)))
-        return [b"".join(here[s] if len(s) > LONG else known[s] for s in c) for c in cut]
+        known.update(zip(long, self.encode_long(long)))
+        encoded = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for s in long:  # too long to be remembered
+            del known[s]
+        return encoded
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: pieces joined, the mark of spaces replaced, the space before the text dropped."""
