@@ -487,3 +487,19 @@ def test_jdbc_round_trip(spark, tmp_path):
     seen = asked._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(status,ERROR)" in seen and "transcript_text" not in seen
     assert asked.count() == tables["transcription_jobs"].where("status = 'ERROR'").count() > 0
+
+
+def test_intervals_of_one_file_are_made_in_many_tasks(spark):
+    """Pairs are far more than recordings or slots: they must not all be made by the task that reads the one file."""
+    recs = spark.range(400).coalesce(1).selectExpr("cast(id as string) id", "cast(id % 5 as string) classroom_id", "timestamp'2024-03-30 20:00:00' + make_interval(0, 0, 0, 0, id % 48) recording_started_at", "cast(id * 300 as double) duration_seconds")
+    slots = spark.range(120).coalesce(1).selectExpr("cast(id as string) id", "cast(id % 5 as string) classroom_id", "cast(id % 7 as int) day_of_week", "cast(id % 20 * 3600 as int) start_time", "cast(id % 20 * 3600 + id * 120 as int) end_time", "date(null) valid_from", "date(null) valid_until", "true active")
+    for mode in ("same_day", "calendar"):
+        rows = schedules.propose_intervals(recs, slots, "Europe/Madrid", mode)
+        assert rows.select(F.spark_partition_id()).distinct().count() >= 4
+        day = F.to_date(F.from_utc_timestamp("recording_started_at", "Europe/Madrid"))
+        last = F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.unix_micros("recording_started_at") + (F.col("duration_seconds") * 1_000_000).cast("long")), "Europe/Madrid"))
+        pairs = recs.withColumn("day", F.explode(F.sequence(day, last if mode == "calendar" else day))).alias("r").join(slots.alias("s"), F.expr("r.classroom_id = s.classroom_id and end_time > start_time"))
+        pairs = pairs.where("day_of_week = weekday(day)") if mode == "calendar" else pairs
+        at = lambda c: (F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.unix_date("day").cast("long") * 86_400_000_000 + F.col(c).cast("long") * 1_000_000), "Europe/Madrid")) - F.unix_micros("recording_started_at")) / 1e6
+        want = pairs.select("r.id", F.col("s.id").alias("slot"), "day", F.greatest(F.lit(0.0), at("start_time")).alias("a"), F.least("duration_seconds", at("end_time")).alias("b")).where("b > a")
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) != []
