@@ -600,16 +600,16 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("agg_quantiles", f"{_MEASURES} SELECT strftime(created_at, '%Y-%m-%d') AS day, provider_name, model_name, count(*) AS jobs, {_QUANTILES} FROM tm GROUP BY ALL")
 def _(t: Inputs) -> DataFrame:
-    return _rounded(metrics.sketched_quantiles(metrics.quantile_sketches(_timed(t)))).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _rounded(metrics.counted_quantiles(metrics.quantile_counts(_timed(t)), "day", "provider_name", "model_name")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("agg_quantiles_weekly", f"{_MEASURES}, wk AS (SELECT *, strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week FROM tm) SELECT week, provider_name, count(*) AS jobs, {_QUANTILES} FROM wk GROUP BY week, provider_name")
 def _(t: Inputs) -> DataFrame:
-    """Weeks from stored days: sketches are written, read again and merged. A week's jobs of a provider are fewer than a sketch holds, up to sf0.1."""
+    """Weeks from stored days: counts of values are written, read again and added up. A sketch, which is exact for 1,024 values at most, would not do."""
     path = scratch(t.spark)
-    metrics.quantile_sketches(_timed(t)).write.parquet(path)
-    weeks = metrics.merged_sketches(t.spark.read.parquet(path), F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week"), "provider_name")
-    return _rounded(metrics.sketched_quantiles(weeks))
+    metrics.quantile_counts(_timed(t)).write.parquet(path)
+    week = F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week")
+    return _rounded(metrics.counted_quantiles(t.spark.read.parquet(path), week, "provider_name"))
 
 
 @query("agg_wer", "SELECT source, sum(n // 10)::BIGINT AS edits, sum(n)::BIGINT AS reference_words, sum(n // 10)::DOUBLE / nullif(sum(n), 0) AS wer FROM (SELECT source, len(list_filter(string_split(%s, ' '), lambda y: y <> ''))::BIGINT AS n FROM documents) GROUP BY source" % norm("text"))

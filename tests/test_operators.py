@@ -503,3 +503,17 @@ def test_intervals_of_one_file_are_made_in_many_tasks(spark):
         at = lambda c: (F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.unix_date("day").cast("long") * 86_400_000_000 + F.col(c).cast("long") * 1_000_000), "Europe/Madrid")) - F.unix_micros("recording_started_at")) / 1e6
         want = pairs.select("r.id", F.col("s.id").alias("slot"), "day", F.greatest(F.lit(0.0), at("start_time")).alias("a"), F.least("duration_seconds", at("end_time")).alias("b")).where("b > a")
         assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_counted_quantiles_are_exact(spark):
+    """More values than a sketch holds: ranks as in a sorted list, from days added up."""
+    rng = random.Random(8)
+    rows = [(f"2024-01-{i % 7 + 1:02d}", "p" if i % 5 else None, "m", float(int(rng.expovariate(0.001))) if i % 9 else None) for i in range(9000)]
+    df = spark.createDataFrame(rows, "day string, provider_name string, model_name string, processing_seconds double")
+    df = df.withColumns({"created_at": F.col("day").cast("timestamp"), "started_at": F.lit(None).cast("timestamp"), "completed_at": F.lit(None).cast("timestamp"), "clip_seconds": F.lit(1.0)})
+    got = {r.provider_name: r for r in metrics.counted_quantiles(metrics.quantile_counts(df), "provider_name").collect()}
+    for provider in ("p", None):
+        values = sorted(v for _, p, _, v in rows if p == provider and v is not None)
+        r = got[provider]
+        assert (r.jobs, r.rtf_n, r.wait_n, r.wait_p50) == (sum(p == provider for _, p, _, _ in rows), len(values), 0, None)
+        assert (r.rtf_p50, r.rtf_p95) == (values[-(-len(values) // 2) - 1], values[-(-len(values) * 95 // 100) - 1])
