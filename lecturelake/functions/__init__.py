@@ -71,7 +71,7 @@ def duration_text(c: Column | str) -> Column:
 
 
 def bytes_text(c: Column | str) -> Column:
-    """Bytes in the largest unit up to TB that gives 1 or more; two decimals from MB up."""
+    """Bytes in the largest unit up to TB that gives 1 or more; two decimals from MB up, halves upwards."""
     value = F.coalesce(_c(c), F.lit(0)).cast("double")
     at = F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.log(F.greatest(value, F.lit(1.0))) / F.log(F.lit(1024.0))).cast("int")))
     scaled = value / F.pow(F.lit(1024.0), at)

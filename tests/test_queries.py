@@ -39,3 +39,13 @@ def test_query_equals_sql(spark, duck, name):
     got = plans.queries()[name](spark, str(FOLDER)).toArrow()
     want = duck.sql(plans.oracle_sql()[name]).to_arrow_table()
     assert rows(got) == rows(want)
+
+
+def test_sizes_that_end_in_a_half_equal_sql(spark, tmp_path):
+    """180.5 KB, 1.125 MB and 1.375 MB: halves go upwards on both sides."""
+    spark.createDataFrame([(1, 1848.32, "1-URGENT"), (2, 11796.48, "2-HIGH"), (3, 14417.92, "x")], "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    c = duckdb.connect()
+    for t in BASE:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'" if t != "orders" else f"CREATE VIEW orders AS SELECT *, 1 AS o_custkey, 'F' AS o_orderstatus, DATE '2024-01-01' AS o_orderdate FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got, want = plans.queries()["fn_numbers"](spark, str(tmp_path)).toArrow(), c.sql(plans.oracle_sql()["fn_numbers"]).to_arrow_table()
+    assert rows(got) == rows(want) and sorted(got.column("size").to_pylist()) == ["1.13 MB", "1.38 MB", "181 KB"]
