@@ -854,15 +854,19 @@ def _events(t: Inputs) -> DataFrame:
  CASE WHEN page_id % 13 = 0 THEN 0 ELSE n END AS duration_seconds, page_id % 11 <> 0 AS has_audio, CASE WHEN page_id % 7 = 0 THEN 20000 WHEN page_id % 5 = 0 THEN n + 1 ELSE n END AS declared FROM p JOIN nation ON n_nationkey = page_id % 25)
  SELECT x.id, CASE WHEN n > 16384 OR declared > 16384 THEN 'size' WHEN declared <> n THEN 'incomplete' ELSE coalesce({_LOCATION}, CASE WHEN x.duration_seconds <= 0 THEN 'duration' WHEN NOT x.has_audio THEN 'audio' END) END AS reject_reason {_PLACES.replace("recordings x", "x")}""")
 def _(t: Inputs) -> DataFrame:
-    """Pages land as files; by declared and real size they are admitted, then probed and placed. Taken files are archived."""
+    """Pages land as files; by declared and real size they are admitted, then probed and placed. Taken files are archived.
+
+    What is known of the pages is stored without their html, which no batch reads again."""
     path, i = scratch(t.spark), F.col("page_id")
-    pages = t.pages.select(i, F.coalesce("html", F.lit("")).alias("html")).join(F.broadcast(t.nation.select("n_nationkey", "n_regionkey")), i % 25 == F.col("n_nationkey"))
+    pages = spread(t.pages.select("page_id", "html")).select(i, F.coalesce("html", F.lit("")).alias("html")).join(F.broadcast(t.nation.select("n_nationkey", "n_regionkey")), i % 25 == F.col("n_nationkey"))
     pages.select("page_id", "html").write.partitionBy("page_id").text(f"{path}/landing")
     size = (F.octet_length("html") + 1).cast("long")  # the sink ends a file with a line end
     known = pages.select(
         i.cast("string").alias("id"), F.when(i % 17 == 0, "0").otherwise(F.col("n_regionkey").cast("string")).alias("site_id"), F.col("n_nationkey").cast("string").alias("classroom_id"), (i % 100 + 1).cast("string").alias("camera_id"),
         F.when(i % 13 == 0, 0).otherwise(size).cast("double").alias("duration_seconds"), (i % 11 != 0).alias("has_audio"), F.when(i % 7 == 0, 20_000).when(i % 5 == 0, size + 1).otherwise(size).cast("long").alias("declared_bytes"),
     )
+    known.write.parquet(f"{path}/known")
+    known = t.spark.read.parquet(f"{path}/known")
     rooms, cameras, most = t.classrooms, t.cameras, 16_384 / (1 << 30)
 
     def gate(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import final_text, first_header, normalize_text, words_text
 from ..schemas import TABLES, table_schema
@@ -62,12 +62,16 @@ def store_jdbc(tables: dict[str, DataFrame], url: str, mode: str = "append", typ
         flat.write.format("jdbc").options(**options, **made, url=url, dbtable=name).mode(mode).save()
 
 
-def landed_files(listing: DataFrame, declared: DataFrame, max_gb: float = MAX_GB) -> DataFrame:
-    """Landed files (path, length, modificationTime) with declared_bytes (by path) and reject_reason: too large, or not all there."""
-    rows = listing.join(declared.select("path", "declared_bytes"), "path", "left")
+def landing_fault(max_gb: float = MAX_GB) -> Column:
+    """What is wrong with a file of length bytes, of which declared_bytes were declared: too large, or not all there; else null."""
     most = F.lit(int(max_gb * (1 << 30)))
     large = (F.col("length") > most) | (F.coalesce("declared_bytes", F.lit(0)) > most)
-    return rows.withColumn("reject_reason", F.when(large, "size").when(F.col("declared_bytes") != F.col("length"), "incomplete"))
+    return F.when(large, "size").when(F.col("declared_bytes") != F.col("length"), "incomplete")
+
+
+def landed_files(listing: DataFrame, declared: DataFrame, max_gb: float = MAX_GB) -> DataFrame:
+    """Landed files (path, length, modificationTime) with declared_bytes (by path) and reject_reason: too large, or not all there."""
+    return listing.join(declared.select("path", "declared_bytes"), "path", "left").withColumn("reject_reason", landing_fault(max_gb))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stitch import EPSILON, MAX_WORDS, MIN_WORDS
 from ..schemas import TERMINAL
-from ..sources import MAX_GB, landed_files, store_segments, stored_segments
+from ..sources import MAX_GB, landing_fault, store_segments, stored_segments
 from ..storage import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,13 +46,15 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
 
 def stream_ingest(arrivals: DataFrame, gate: Callable[[DataFrame], DataFrame], path: str) -> None:
     """Arriving recordings through a gate (ingest_recordings with its tables bound), batch by batch: accepted and rejected
-    rows go to two folders, a batch's folder being replaced if the batch runs again."""
+    rows go to two folders, a batch's folder being replaced if the batch runs again. A batch is read once."""
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         rows = gate(batch).persist()
         rows.where("reject_reason is null").drop("reject_reason").write.mode("overwrite").parquet(f"{path}/accepted/batch={number}")
         rows.where("reject_reason is not null").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
         rows.unpersist()
+        batch.unpersist()
 
     run_batches(arrivals, write, f"{path}/state")
 
@@ -61,12 +63,14 @@ def stream_landing(spark: SparkSession, folder: str, archive: str | None = None,
     """Files that land under folder, as a stream (path, length, modificationTime); their content is not read.
 
     A batch takes `files` at most. With an archive, a folder outside the landing one, files are moved there once the
-    batch after theirs is on its way, so that listings stay short; a file is taken once either way."""
+    batch after theirs is on its way, so that listings stay short; a file is taken once either way. Folders are listed by
+    tasks of many folders each, as a task for each one would take longer than its listing."""
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     stream = stream.option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
     if archive:
         stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return stream.load(folder).select("path", "length", "modificationTime")
+    return stream.load(folder).select("path", "length", "modificationTime").coalesce(spark.sparkContext.defaultParallelism)  # else a task for every few files
 
 
 def gate_landed(files: DataFrame, declared: DataFrame, probed: Callable[[DataFrame], DataFrame], max_gb: float = MAX_GB) -> DataFrame:
@@ -75,10 +79,11 @@ def gate_landed(files: DataFrame, declared: DataFrame, probed: Callable[[DataFra
     Size goes first: files that are too large, or not all there, never reach `probed`, which takes the others and gives
     them back with reject_reason; the columns that it adds are null for those refused. A file that nobody declared is
     refused as well."""
-    known = files.join(declared.select("path").distinct(), "path", "left_anti").withColumn("reject_reason", F.lit("undeclared"))
-    rows = landed_files(files, declared, max_gb).join(declared.drop("declared_bytes"), "path")
+    rows = files.join(declared.withColumn("_declared", F.lit(True)), "path", "left")
+    reason = F.when(F.col("_declared").isNull(), "undeclared").otherwise(landing_fault(max_gb))
+    rows = rows.withColumn("reject_reason", reason).drop("declared_bytes", "_declared")
     refused, fit = rows.where("reject_reason is not null"), rows.where("reject_reason is null").drop("reject_reason")
-    return probed(fit).unionByName(refused, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
+    return probed(fit).unionByName(refused, allowMissingColumns=True)
 
 
 def stream_latest_status(events: DataFrame) -> DataFrame:

@@ -95,3 +95,20 @@ def test_windows_of_windows(spark, tmp_path):
     days = streaming.run_report(streaming.drained(streaming.longer_windows(hours))).collect()
     got = {(r.window_start.day, r.provider_name): (r.jobs, r.failures, r.mean_wait, r.mean_run, r.mean_rtf) for r in days}
     assert got == {(1, "p"): (2, 0, 90.0, (120 + 10_800) / 2, (1 + 180) / 2), (1, "q"): (1, 1, 0.0, 600.0, None)}
+
+
+def test_landed_files_are_taken_by_few_tasks(spark, tmp_path):
+    """Forty files in folders of their own: a batch is read once and by no more tasks than there are cores; nobody's file is refused."""
+    spark.range(40).selectExpr("id as page_id", "repeat('x', cast(id as int)) as text").write.partitionBy("page_id").text(f"file://{tmp_path}/landing")
+    declared = spark.range(39).selectExpr("cast(id as string) id", "id + 1 as declared_bytes")
+    parts = []
+
+    def gate(files):
+        parts.append((files.rdd.getNumPartitions(), files.is_cached))
+        named = files.withColumn("id", F.regexp_extract("path", "page_id=([0-9]+)", 1))
+        return streaming.gate_landed(files, named.join(declared, "id").select("path", "id", "declared_bytes"), lambda fit: fit.withColumn("reject_reason", F.lit(None).cast("string")))
+
+    streaming.stream_ingest(streaming.stream_landing(spark, f"file://{tmp_path}/landing", None, 1_000), gate, f"{tmp_path}/out")
+    assert parts and all(n <= spark.sparkContext.defaultParallelism and cached for n, cached in parts)
+    rejected = spark.read.parquet(f"{tmp_path}/out/rejected").collect()
+    assert spark.read.parquet(f"{tmp_path}/out/accepted").count() == 39 and [(r.reject_reason, r.length) for r in rejected] == [("undeclared", 40)]
