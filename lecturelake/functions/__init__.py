@@ -35,7 +35,7 @@ def normalize_text(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """The words between white space; none for an empty text."""
-    return F.filter(F.split(normalize_text(c), " "), lambda w: w != "")
+    return F.array_remove(F.split(normalize_text(c), " "), "")
 
 
 def normalize_word(w: Column) -> Column:
@@ -43,6 +43,12 @@ def normalize_word(w: Column) -> Column:
     return F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_]", "")
 
 
+def normalize_words(ws: Column | str) -> Column:
+    """normalize_word of each word of an array, whose words hold no spaces and no nulls, in one pass over their text."""
+    text = F.regexp_replace(F.lower(F.array_join(_c(ws), " ")), r"[^\p{L}\p{N}_ ]", "")
+    return F.when(F.size(_c(ws)) > 0, F.split(text, " ")).when(F.size(_c(ws)) == 0, F.array().cast("array<string>"))
+
+
 def fallback(c: Column | str, other: Column | str) -> Column:
     """c unless it is null or an empty text; then other."""
     return F.coalesce(F.nullif(_c(c), F.lit("")), _c(other))

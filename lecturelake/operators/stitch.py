@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import normalize_text, normalize_word, strip, words
+from ..functions import normalize_text, normalize_words, strip, words
 
 MAX_WORDS, MIN_WORDS, EPSILON = 40, 3, 0.05
 
@@ -17,20 +17,21 @@ def dedup_overlap(chunks: DataFrame, max_words: int = MAX_WORDS, min_words: int
 
     The longest run of max_words to min_words words that ends the previous chunk's raw text and, word by word after
     normalisation, begins this one's is removed. Words are normalised before the window, which keeps that work out of
-    the search for the longest run; of a long chunk only the first and last max_words are, and only the last go through
-    the window.
+    the search for the longest run; of a long chunk only the first and last max_words are. The window has each chunk's text
+    and those words, and a length is tried only where the run's first word fits.
     """
     order = Window.partitionBy("job_id").orderBy("chunk_index")
     rows = chunks.withColumn("_w", words("text"))
     ends = F.concat(F.slice("_w", 1, max_words), F.slice("_w", F.size("_w") - max_words + 1, max_words))
-    rows = rows.withColumn("_n", F.transform(F.when(F.size("_w") > 2 * max_words, ends).otherwise(F.col("_w")), normalize_word))
-    rows = rows.withColumn("_tail", F.slice("_n", F.greatest(F.size("_n") - max_words + 1, F.lit(1)), max_words))
-    rows = rows.withColumn("_before", F.coalesce(F.lag("_tail").over(order), F.array().cast("array<string>"))).withColumn("_head", F.slice("_n", 1, max_words))
+    rows = rows.withColumn("_e", F.when(F.size("_w") > 2 * max_words, ends).otherwise(F.col("_w"))).select(*chunks.columns, normalize_words("_e").alias("_n"))
+    rows = rows.withColumn("_p", F.coalesce(F.lag("_n").over(order), F.array().cast("array<string>")))
+    rows = rows.withColumn("_before", F.slice("_p", F.greatest(F.size("_p") - max_words + 1, F.lit(1)), max_words)).withColumn("_head", F.slice("_n", 1, max_words))
     most = F.least(F.size("_before"), F.size("_head"))
-    fits = F.filter(F.sequence(most, F.lit(min_words), F.lit(-1)), lambda k: F.slice("_before", F.size("_before") - k + 1, k) == F.slice("_head", F.lit(1), k))
+    starts = lambda k: F.get("_before", F.size("_before") - k) == F.get("_head", F.lit(0))
+    fits = F.filter(F.sequence(most, F.lit(min_words), F.lit(-1)), lambda k: starts(k) & (F.slice("_before", F.size("_before") - k + 1, k) == F.slice("_head", F.lit(1), k)))
     removed = F.when(most >= min_words, F.coalesce(F.get(fits, 0), F.lit(0))).otherwise(F.lit(0))
     rows = rows.withColumn("removed_words", removed.cast("long"))
-    rest = F.array_join(F.slice("_w", (F.col("removed_words") + 1).cast("int"), F.greatest(F.size("_w"), F.lit(1))), " ")
+    rest = F.array_join(F.slice(words("text"), (F.col("removed_words") + 1).cast("int"), F.greatest(F.length("text"), F.lit(1))), " ")
     clean = F.when(F.col("removed_words") > 0, rest).otherwise(strip("text"))
     return rows.withColumn("clean_text", clean).select(*chunks.columns, "clean_text", "removed_words")
 
