@@ -59,9 +59,10 @@ def plan_chunks(df: DataFrame) -> DataFrame:
 
 
 def manifests(plans: DataFrame, key: str = "job_id") -> DataFrame:
-    """The planned chunks of each job as one array in order, with file names."""
-    one = F.struct(F.col("index").cast("int").alias("index"), "start_seconds", "duration_seconds", chunk_name("index", "provider_name").alias("path"))
-    return plans.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("chunk_manifest"))
+    """The planned chunks of each job as one array in order, with file names, which are made once the chunks are together."""
+    one = F.struct(F.col("index").cast("int").alias("index"), "start_seconds", "duration_seconds", "provider_name")
+    named = lambda x: F.struct(x["index"].alias("index"), x["start_seconds"].alias("start_seconds"), x["duration_seconds"].alias("duration_seconds"), chunk_name(x["index"], x["provider_name"]).alias("path"))
+    return plans.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), named).alias("chunk_manifest"))
 
 
 def explode_manifest(jobs: DataFrame, key: str = "job_id") -> DataFrame:
