@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import final_text, first_header, normalize_text, words_text
 from ..schemas import TABLES, table_schema
@@ -190,9 +190,15 @@ def latest_attempts(rows: DataFrame) -> DataFrame:
 
     A null attempt comes before all others. A row without segment_id says that its attempt has begun, and counts as one,
     so that an attempt without segments replaces others too."""
+    return _latest(rows, ["job_id"])
+
+
+def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """latest_attempts within keys, which hold job_id: one shuffle and one sort, and no more than two rows held at a time."""
     order = F.coalesce("attempt", F.lit(-1).cast("long"))
-    last = rows.groupBy("job_id").agg(F.max(order).alias("_last"))
-    return rows.join(last, "job_id").where(order == F.col("_last")).drop("_last").dropDuplicates(["job_id", "segment_id"])
+    w = Window.partitionBy(*keys).orderBy(order.desc(), "segment_id")
+    again = (F.row_number().over(w) > 1) & F.lag(order).over(w).eqNullSafe(order) & F.lag("segment_id").over(w).eqNullSafe(F.col("segment_id"))
+    return rows.where("job_id is not null").withColumns({"_last": F.first(order).over(w), "_again": again}).where((order == F.col("_last")) & ~F.col("_again")).drop("_last", "_again")
 
 
 def store_segments(new: DataFrame, path: str, buckets: int = 64) -> None:
@@ -200,15 +206,18 @@ def store_segments(new: DataFrame, path: str, buckets: int = 64) -> None:
     jobs, by a hash; latest_attempts says what stays.
 
     Only the buckets of the jobs at hand are read, and written anew; Spark swaps these folders when the job is done, and
-    their old files go. With as many buckets as keep one in a task's reach, a batch costs what its buckets hold. One
-    writer at a time."""
+    their old files go. A batch costs what its buckets hold: their rows are shuffled once, by bucket and a further hash of
+    the job, so that tasks stay small however much a bucket holds. One writer at a time."""
     spark = new.sparkSession
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = new.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
     rows.where("false").write.mode("ignore").partitionBy("bucket").parquet(path)
     touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
     if touched:
         old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
-        both = latest_attempts(rows.unionByName(old)).repartition("bucket")
+        piece = F.pmod(F.xxhash64("job_id", F.lit("piece")), F.lit(pieces)).cast("int")
+        both = rows.unionByName(old).withColumn("piece", piece).repartition("bucket", "piece")
+        both = _latest(both, ["bucket", "piece", "job_id"]).drop("piece")
         both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

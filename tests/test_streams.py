@@ -112,3 +112,22 @@ def test_landed_files_are_taken_by_few_tasks(spark, tmp_path):
     assert parts and all(n <= spark.sparkContext.defaultParallelism and cached for n, cached in parts)
     rejected = spark.read.parquet(f"{tmp_path}/out/rejected").collect()
     assert spark.read.parquet(f"{tmp_path}/out/accepted").count() == 39 and [(r.reject_reason, r.length) for r in rejected] == [("undeclared", 40)]
+
+
+def test_stored_buckets_are_written_by_many_tasks(spark, tmp_path):
+    """One bucket of many jobs: no task has it whole, and what is stored is each job's latest attempt, once."""
+    rows = spark.range(4000).selectExpr("cast(id % 500 as string) job_id", "id % 2 + 1 as attempt", "concat('s', id) as segment_id")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):
+            sources.store_segments(rows, str(tmp_path / "rows"), 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(list((tmp_path / "rows" / "bucket=0").glob("*.parquet"))) > 1
+    got = sorted((r.job_id, r.segment_id) for r in sources.stored_segments(spark, str(tmp_path / "rows")).collect())
+    assert got == sorted((str(i % 500), f"s{i}") for i in range(4000))  # 500 is even, so a job has one attempt here
+    again = spark.createDataFrame([("3", 9, "new"), ("4", 0, "old"), ("5", 9, None)], "job_id string, attempt long, segment_id string")
+    sources.store_segments(again, str(tmp_path / "rows"), 1)
+    got = sorted((r.job_id, r.segment_id) for r in sources.stored_segments(spark, str(tmp_path / "rows")).collect())
+    assert got == sorted([(str(i % 500), f"s{i}") for i in range(4000) if i % 500 not in (3, 5)] + [("3", "new")])
