@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -97,6 +98,8 @@ def stream_progress(done: DataFrame, delay: str = "1 day") -> DataFrame:
     return once.groupBy("job_id").agg(F.count("*").alias("completed_chunks"))
 
 
+#: What words lose to be compared; they hold no spaces themselves. \w is letters, numbers and underscores.
+PLAIN = re.compile(r"[^\w ]+")
 _STITCHED = "job_id string, chunk_index long, clean_text string, removed_words long, segment_ids array<string>"
 
 
@@ -104,10 +107,10 @@ def _cleaned(previous: str | None, current: str | None, most: int = MAX_WORDS, l
     """current without the words that repeat the end of previous, and their number; a null text stays null."""
     if current is None:
         return None, 0
-    plain = lambda ws: ["".join(ch for ch in w.lower() if ch.isalpha() or ch.isnumeric() or ch == "_") for w in ws]
+    plain = lambda ws: PLAIN.sub("", " ".join(ws).lower()).split(" ") if ws else []
     a, b = (previous or "").split(), current.split()
     tail, head = plain(a[-most:]), plain(b[:most])
-    size = next((k for k in range(min(len(tail), len(head)), least - 1, -1) if tail[-k:] == head[:k]), 0)
+    size = next((k for k in range(min(len(tail), len(head)), least - 1, -1) if tail[-k] == head[0] and tail[-k:] == head[:k]), 0)
     return (" ".join(b[size:]) if size else current.strip()), size
 
 
@@ -122,7 +125,9 @@ class JobState(StatefulProcessor):
         self.early = handle.getMapState("early", "chunk_index long", "text string, segment_ids array<string>, ends array<double>, total_chunks long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, out, ended, total, waits, seen = self.place.get() or (0, "", -1.0), [], False, None, self.early.exists(), list(self.handle.listTimers())
+        known, out, ended, total = self.place.get(), [], False, None
+        # a job without a place has no other state; each look at the state is a call to the executor
+        at, waits, seen = (known, self.early.exists(), list(self.handle.listTimers())) if known else ((0, "", -1.0), False, [])
         newest = max(seen, default=0)
         for frame in rows:
             for row in frame.sort_values("chunk_index").itertuples(index=False):
@@ -144,7 +149,8 @@ class JobState(StatefulProcessor):
         for timer in seen:
             self.handle.deleteTimer(timer)
         if ended or (total is not None and at[0] >= total):
-            self._clear()
+            if known or waits:
+                self._clear()
         else:
             self.place.update(at)
             self.handle.registerTimer(int(newest))

@@ -131,3 +131,15 @@ def test_stored_buckets_are_written_by_many_tasks(spark, tmp_path):
     sources.store_segments(again, str(tmp_path / "rows"), 1)
     got = sorted((r.job_id, r.segment_id) for r in sources.stored_segments(spark, str(tmp_path / "rows")).collect())
     assert got == sorted([(str(i % 500), f"s{i}") for i in range(4000) if i % 500 not in (3, 5)] + [("3", "new")])
+
+
+def test_cleaned_compares_words_of_letters_numbers_and_underscores():
+    """Words are normalised together, which no word may notice: dots alone, final sigmas and numbers that are not digits."""
+    before, now = "uno ... ΟΔΟΣ, ½x_ «Ñandú» ́e", "ΟΔΟΣ ½X_! ñandú É y más"
+    one = lambda w: "".join(ch for ch in w.lower() if ch.isalpha() or ch.isnumeric() or ch == "_")
+    assert streaming.PLAIN.sub("", " ".join(before.split()).lower()).split(" ") == [one(w) for w in before.split()]
+    assert streaming._cleaned(before, now) == ("y más", 4) and streaming._cleaned("... ... ...", "- - - x") == ("x", 3)
+    assert streaming._cleaned("", "a b c") == ("a b c", 0) and streaming._cleaned("a b c", "") == ("", 0)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for part in every.split():
+        assert streaming.PLAIN.sub("", part) == "".join(ch for ch in part if ch.isalpha() or ch.isnumeric() or ch == "_")
