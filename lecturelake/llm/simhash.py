@@ -20,11 +20,17 @@ SEED = 42
 MIX = tuple(xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(64))
 #: The wide fingerprint: words of 64 bits, the first 54 in three segments, so that a segment's variants stay selective.
 WIDE_WORD, WIDE_SEGMENT, WIDE_PER_WORD = 64, 18, 3
+#: Bits that go along with a node's keys: the fingerprint's first word, p, and the low half of its second, q. Of texts with
+#: nothing in common one pair in 3,000 is near in these (at similarity 0.8), in a single word one in 120.
+HEAD = 96
 #: A one in each byte of a long.
 BYTE_ONES = np.uint64(0x0101010101010101)
 #: How the work on near-duplicates is dealt: groups of a hot key, candidates of a node in the first pass, nodes of a key whose
 #: pairs are all looked at, and holders of a shingle that counts as rare. None of them decides what is found.
 SALTS, NEAREST, CROWD, RARE = 64, 8, 32, 32
+#: Bins by hash, a bit of each: whether a text has an odd number of shingles there. A bin whose bits differ holds a shingle
+#: that only one of two texts has.
+BINS = 1024
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -221,7 +227,8 @@ def _wide_rows(n: int, words: int, wildcards: int):
 
 
 def _shingle_sets(n: int):
-    """(doc_id, text) to (node, part, shingles): the distinct shingle hashes; part tells texts of one doc_id apart."""
+    """(doc_id, text) to (node, part, shingles, bins): the distinct shingle hashes and the bits of their bins; part tells
+    texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -229,9 +236,12 @@ def _shingle_sets(n: int):
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 sets = [shingle_set(t.as_py(), n, known).view(np.int64) for t in part.column("text")]
+                odd = np.stack([np.bincount(s & BINS - 1, minlength=BINS) & 1 for s in sets]).astype(np.uint8)
+                bits = np.packbits(odd, axis=1).view(np.int64)
+                bins = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
                 parts = pa.array([xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), parts, lists], names=["node", "part", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), parts, lists, bins], names=["node", "part", "shingles", "bins"])
 
     return run
 
@@ -247,11 +257,16 @@ def most_bits(similarity: float, bits: int, lost: float) -> int:
 
 
 def _bits(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    """Differing bits of two heads, whose columns p and q have these prefixes."""
+    return _head_bits(F.col(f"{a}p"), F.col(f"{a}q"), F.col(f"{b}p"), F.col(f"{b}q"))
+
+
+def _head_bits(p: Column, q: Column, other_p: Column, other_q: Column) -> Column:
+    return F.bit_count(p.bitwiseXOR(other_p)) + F.bit_count(q.bitwiseXOR(other_q))
 
 
 def _segment_keys(classes: DataFrame, words: int, wildcards: int) -> DataFrame:
-    """(key, node, p): a key for each one-wildcard variant of each segment; p is the fingerprint's first word."""
+    """(key, node, p, q): a key for each one-wildcard variant of each segment; p and q are the head of the fingerprint."""
     i = F.col("i")
     at = F.expr(f"cast(i div {wildcards} as int)")
     hole = _segment(F.get("holes", at), i % wildcards, 5).cast("int")
@@ -259,14 +274,17 @@ def _segment_keys(classes: DataFrame, words: int, wildcards: int) -> DataFrame:
     blotted = value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), hole)))
     key = ((at * 32 + hole).cast("long") * (1 << WIDE_SEGMENT)).bitwiseOR(blotted)
     every = F.sequence(F.lit(0), F.lit(words * WIDE_PER_WORD * wildcards - 1))
-    return classes.where("prints is not null").withColumn("i", F.explode(every)).select(key.alias("key"), "node", F.get("prints", F.lit(0)).alias("p"))
+    q = F.coalesce(F.get("prints", F.lit(1)).bitwiseAND(F.lit((1 << HEAD - WIDE_WORD) - 1)), F.lit(0))
+    return classes.where("prints is not null").withColumn("i", F.explode(every)).select(key.alias("key"), "node", F.get("prints", F.lit(0)).alias("p"), q.alias("q"))
 
 
 def _shared_keys(classes: DataFrame, words: int, wildcards: int, near: int) -> DataFrame:
-    """(node, p, keys, reps) of every node that may share a key with a near one.
+    """(node, p, q, keys, reps) of every node that may share a key with a near one.
 
-    keys are the node's keys (words * 3 * wildcards at most) that three nodes have, or two near ones; reps are the
-    smallest nodes of these keys with their distance, of those that differ from it in `near` bits of p or fewer. A key
+    keys are the node's keys (words * 3 * wildcards at most) in which another node is near, its head differing in `near` bits
+    or fewer. In a key of up to CROWD + 1 nodes all of them are looked at, so that nodes which meet by chance, as ever
+    more do in a larger table, leave here; keys of more nodes are kept whole. reps are, for these keys, the smallest node
+    that is near, with its distance (of a larger key, its smallest node if that is near). A key
     that one node in 1,000 has, as a sample of the nodes tells, is dealt over SALTS groups with a smallest node each, so that
     no task gets all of a hot key; of these keys there are 1,000 times a node's keys at most, which bounds the
     broadcast. The sample only decides how rows are dealt.
@@ -276,12 +294,19 @@ def _shared_keys(classes: DataFrame, words: int, wildcards: int, near: int) -> D
     least = max(16, sample.select("node").distinct().count() // 1000)
     hot = stored(sample.groupBy("key").count().where(F.col("count") > least).select("key", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.expr(f"cast(pmod(xxhash64(node, 8), {SALTS}) as int)")).otherwise(0)
-    dealt = keys.join(F.broadcast(hot), "key", "left").select("key", "node", "p", F.coalesce("hot", F.lit(False)).alias("hot"), salt.alias("salt"))
-    bucket = Window.partitionBy("key", "salt").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = dealt.select("*", F.first("node").over(bucket).alias("rep"), F.first("p").over(bucket).alias("rep_p"), F.last("p").over(bucket).alias("last_p"), F.count("*").over(bucket).alias("n"))
-    met = met.where((F.col("n") > 2) | F.col("hot") | ((F.col("n") == 2) & (_bits("rep_p", "last_p") <= near)))
-    rep = F.when((F.col("node") != F.col("rep")) & (_bits("p", "rep_p") <= near), F.struct(_bits("p", "rep_p").alias("d"), "rep"))
-    return met.groupBy("node", "p").agg(F.collect_set("key").alias("keys"), F.collect_list(rep).alias("reps"))
+    dealt = keys.join(F.broadcast(hot), "key", "left").select("key", "node", "p", "q", F.coalesce("hot", F.lit(False)).alias("hot"), salt.alias("salt"))
+    bucket = Window.partitionBy("key", "salt").orderBy("node")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = dealt.select("*", *(F.first(c).over(whole).alias(f"rep_{c}") for c in ("node", "p", "q")), F.count("*").over(whole).alias("n")).where("n > 1 or hot")
+    few = ~F.col("hot") & (F.col("n") <= CROWD + 1)
+    around = F.collect_list(F.when(few, F.struct("node", "p", "q"))).over(bucket.rowsBetween(-CROWD, CROWD))
+    others = F.filter("around", lambda x: (x["node"] != F.col("node")) & (_head_bits(x["p"], x["q"], F.col("p"), F.col("q")) <= near))
+    met = met.withColumn("around", around).withColumn("others", F.when(few, others)).where("others is null or size(others) > 0")
+    least = F.array_min(F.transform("others", lambda x: F.struct(x["node"].alias("rep"), _head_bits(x["p"], x["q"], F.col("p"), F.col("q")).alias("d"))))
+    rep = F.coalesce(least, F.when(_bits("", "rep_") <= near, F.struct(F.col("rep_node").alias("rep"), _bits("", "rep_").alias("d"))))
+    met = met.select("key", "node", "p", "q", rep.alias("r"))
+    reps = F.collect_list(F.when(F.col("r.rep") < F.col("node"), F.col("r")))
+    return met.groupBy("node", "p", "q").agg(F.collect_set("key").alias("keys"), reps.alias("reps"))
 
 
 def _closest(shared: DataFrame) -> DataFrame:
@@ -308,9 +333,9 @@ class _Verifier:
         return pairs.join(left, "src").join(right, "dst").select("src", "dst", bits.alias("bits")).where(F.col("bits") <= self.far)
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, part, shingles) of these distinct nodes."""
+        """(node, part, shingles, bins) of these distinct nodes."""
         texts = self.base.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        return stored(texts.mapInArrow(_shingle_sets(self.n), "node long, part long, shingles array<long>"))
+        return stored(texts.mapInArrow(_shingle_sets(self.n), "node long, part long, shingles array<long>, bins array<long>"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that share enough of their shingles."""
@@ -355,10 +380,12 @@ def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near
     all of it: shingles that RARE of these nodes or fewer have are `rare`; a pair that shares a rare one is found by
     it, and any other pair shares at most the `common` shingles of either side, which bounds its similarity. Shingles
     of a node's centre, a member of the largest component that it meets, are `common` without being counted, so a
-    copy spreads only the shingles in which it departs from its group. Pairs of different centres are all possible.
+    copy spreads only the shingles in which it departs from its group. Pairs of different centres may share more than
+    that. Whatever their centres, texts differ in as many shingles as bits of their bins differ, or more, so nodes somewhat
+    less similar than asked to a large group do not make a pair with each of its nodes. Nodes with several texts have no bins.
     """
     comp = comps.select("node", F.col("component").alias("comp"))
-    named = shared.join(comp, "node", "left").select("node", "p", F.coalesce("comp", "node").alias("comp"), F.explode("keys").alias("key"))
+    named = shared.join(comp, "node", "left").select("node", "p", "q", F.coalesce("comp", "node").alias("comp"), F.explode("keys").alias("key"))
     rows = stored(_mixed(stored(named)))
     crowd = rows.where(F.col("n") > CROWD)
     pool = stored(_with_centres(crowd))
@@ -374,13 +401,18 @@ def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near
     common = F.size("shingles") - F.coalesce("rare", F.lit(0))
     sizes = sets.join(own, ["node", "part"], "left").groupBy("node").agg(F.max(common).alias("common"), F.min(F.size("shingles")).alias("size"), F.min(centre).alias("centre"))
     rows = stored(_possible(stored(rows.join(stored(sizes), "node", "left")), verifier.similarity))
-    rows = stored(_mixed(rows))
+    one_text = F.when(F.min("part") == F.max("part"), F.first("bins"))
+    bins = stored(sets.groupBy("node").agg(one_text.alias("bins")))
+    rows = stored(_mixed(rows).join(bins.hint("merge"), "node", "left"))
     a, b = rows.alias("a"), rows.alias("b")
-    common = F.least("a.common", "b.common")
-    possible = common >= verifier.similarity * F.greatest(F.col("a.size") + F.col("b.size") - common, common) - 1e-9
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & (_bits("a.p", "b.p") <= near)
-    possible = F.coalesce((F.col("a.centre") != F.col("b.centre")) | possible, F.lit(True))  # pairs of unknown size are possible
-    by_key = a.join(b, met & possible)
+
+    def enough(shared: Column) -> Column:  # pairs of unknown size are possible
+        return F.coalesce(shared >= verifier.similarity * F.greatest(F.col("a.size") + F.col("b.size") - shared, shared) - 1e-9, F.lit(True))
+
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & (_bits("a.", "b.") <= near)
+    possible = F.coalesce(F.col("a.centre") != F.col("b.centre"), F.lit(True)) | enough(F.least("a.common", "b.common"))
+    differ = sum((F.bit_count(F.get("a.bins", F.lit(k)).bitwiseXOR(F.get("b.bins", F.lit(k)))) for k in range(BINS // 64)), F.lit(0))
+    by_key = a.join(b, met & possible & enough((F.col("a.size") + F.col("b.size") - differ) / 2))
     many = held.where("holders > 1")
     c, d = many.alias("a"), many.alias("b")
     by_rare = c.join(d, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")))
@@ -393,8 +425,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words:
     Near-duplicates share `similarity` or more of their n-word shingles (Jaccard, ASCII case ignored). `words` words
     of 64 bits are the fingerprint, three segments of 18 bits each. With the four wildcards nearest to flipping, of 18,
     two texts at similarity 0.8 share a variant of a segment with probability 0.121 (0.217 with all 18, at 4.5 times the
-    keys), so of one in 60 segments with 0.9996. Candidates must also be near in the fingerprint's first word, which
-    one true pair in 10,000 at the similarity asked is not, and in all its words (one in a million); they are then
+    keys), so of one in 60 segments with 0.9996. Candidates must also be near in the fingerprint's first HEAD bits, which
+    one true pair in 100,000 at the similarity asked is not, and in all its words (one in a million); they are then
     verified on all their shingles.
 
     Texts of equal sets of shingles are one node, so copies cost one node however many. Links are found in two
@@ -407,7 +439,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words:
     other. Rows with a null doc_id are left alone. Rows that repeat a doc_id are one document with several texts.
     Columns other than doc_id and text are ignored. An empty table gives an empty result.
     """
-    near = most_bits(similarity, WIDE_WORD, 1e-4)
+    near = most_bits(similarity, min(HEAD, WIDE_WORD * words), 1e-5)
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shown = stored(base.mapInArrow(_wide_rows(n, words, wildcards), "doc_id long, digest binary, prints array<long>, holes array<long>"))
     classes = shown.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints"), F.first("holes").alias("holes"))

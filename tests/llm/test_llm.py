@@ -180,6 +180,47 @@ def test_near_duplicates_finds_lone_pairs(spark):
     assert kept == {2 * i for i in range(200)}
 
 
+def test_near_duplicates_leaves_chance_meetings(spark):
+    """Nodes that share a key by chance leave with it, also where three or more do; near ones keep the key."""
+    rng = random.Random(12)
+    low = rng.getrandbits(18)  # the first segment, which all have
+    differ = lambda a, b: (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count()
+    words = [[low | rng.getrandbits(45) << 18, rng.getrandbits(32)]]
+    while len(words) < 6:
+        if all(differ(w := [low | rng.getrandbits(45) << 18, rng.getrandbits(32)], x) > 31 for x in words):
+            words.append(w)
+    words.append([words[0][0] ^ 1 << 30, words[0][1]])
+    rows = [(i, w, [5, 7, 9]) for i, w in enumerate(words)]
+    near = simhash.most_bits(0.8, simhash.HEAD, 1e-5)
+    got = simhash._shared_keys(spark.createDataFrame(rows, "node long, prints array<long>, holes array<long>"), 1, 1, near).collect()
+    assert near == 31 and {r.node for r in got} == {0, 6}
+    assert all([x.rep for x in r.reps] == [0] * len(r.keys) for r in got if r.node == 6)
+
+
+def test_near_duplicates_bounds_pairs_by_bins(spark):
+    """Texts a little less similar than asked to every one of a large group do not make a pair with each; those alike do."""
+    rng = random.Random(13)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(154)]
+
+    def edited(places):
+        out = list(base)
+        for k in places:
+            out[k] = f"u{rng.randrange(10**6)}"
+        return out
+
+    group = [edited([rng.randrange(154)]) for _ in range(60)]
+    outer = [edited(rng.sample(range(5, 149, 6), 2 if i < 2 else 3)) for i in range(20)]
+    data = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(group + outer)], "doc_id long, text string")
+    sets = {i: set(hashes(" ".join(t), 5)) for i, t in enumerate(group + outer)}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    trees = spark.createDataFrame([(i, 0) for i in range(1, 60)], "node long, component long")
+    shared = spark.createDataFrame([(i, 0, 0, [1], []) for i in range(80)], "node long, p long, q long, keys array<long>, reps array<struct<rep:long,d:int>>")
+    verifier = simhash._Verifier(data, spark.createDataFrame([], "node long, prints array<long>"), 5, 0.8, 20)
+    got = {tuple(sorted(r)) for r in simhash._pairs_across(shared, trees, verifier, 31).collect()}
+    want = {(a, b) for a in range(60) for b in range(60, 80) if alike(a, b)} | {(a, b) for a in range(60, 80) for b in range(a + 1, 80) if alike(a, b)}
+    assert 100 < len(want) < 400 and want <= got and len(got) <= len(want) + 100
+
+
 @pytest.mark.parametrize("crowd, rare", [(simhash.CROWD, simhash.RARE), (3, 2)])
 def test_near_duplicates_in_crowded_keys(spark, monkeypatch, crowd, rare):
     """Two groups of near copies, texts that only resemble a group, copies of these, and one doc_id with texts of both."""
