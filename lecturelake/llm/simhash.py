@@ -346,52 +346,75 @@ class _Verifier:
         return sized.where(F.col("both") >= self.similarity * (F.col("all") - F.col("both")) - 1e-9).select("src", "dst").distinct()
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows whose keys hold nodes of several components, with n, the nodes of their key."""
-    of_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-    return rows.join(stored(of_key.where("a <> b").select("key", "n")), "key")
+def _several_components(rows: DataFrame) -> DataFrame:
+    """The rows whose keys hold nodes of several components."""
+    of_key = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+    return rows.join(stored(of_key.where("a <> b").select("key")), "key", "left_semi")
 
 
 def _possible(rows: DataFrame, similarity: float) -> DataFrame:
     """The rows without nodes that match none of their key's, where all of these have sizes known from one centre."""
     of_key = stored(rows.groupBy("key").agg(F.min("size").alias("least"), ((F.count("*") == F.count("size")) & (F.min("centre") == F.max("centre"))).alias("known")))
     whole = F.col("size") + F.greatest("least", "common") - F.col("common")
-    return rows.join(of_key, "key").where(~F.col("known") | (F.col("common") >= similarity * whole - 1e-9)).drop("n", "least", "known")
+    return rows.join(of_key, "key").where(~F.col("known") | (F.col("common") >= similarity * whole - 1e-9)).drop("least", "known")
 
 
-def _with_centres(crowd: DataFrame) -> DataFrame:
-    """(node, comp, centre) of every node of these keys: centre names the component with the most nodes in its keys.
+def _named(nodes: DataFrame, *columns: str) -> DataFrame:
+    """(key, node, comp) and these columns: a row for each key of each node."""
+    return nodes.select("node", "comp", *columns, F.explode("keys").alias("key"))
 
-    A component is the smallest of its nodes, so its name is also a node whose shingles can be looked up.
-    """
-    nodes = stored(crowd.select("node", "comp").distinct())
-    held = stored(nodes.groupBy("comp").agg(F.count("*").alias("members")))
-    first = F.max(F.struct("members", (-F.col("comp")).alias("c")))
-    of_key = crowd.select("key", "comp").distinct().join(held, "comp").groupBy("key").agg(first.alias("best"))
-    of_node = crowd.join(stored(of_key), "key").groupBy("node").agg(F.max("best").alias("best"))
-    return nodes.join(stored(of_node), "node").select("node", "comp", (-F.col("best.c")).alias("centre"))
+
+def _enough(shared: Column, similarity: float) -> Column:
+    """Whether sides a and b, of which `shared` shingles or fewer are common to both, may be similar; so are those of unknown size."""
+    either = F.greatest(F.col("a.size") + F.col("b.size") - shared, shared)
+    return F.coalesce(shared >= similarity * either - 1e-9, F.lit(True))
+
+
+def _alike(similarity: float, near: int) -> Column:
+    """Whether sides a and b share a key, are of different components and may be similar by their heads and bins."""
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & (_bits("a.", "b.") <= near)
+    differ = sum((F.bit_count(F.get("a.bins", F.lit(k)).bitwiseXOR(F.get("b.bins", F.lit(k)))) for k in range(BINS // 64)), F.lit(0))
+    return met & _enough((F.col("a.size") + F.col("b.size") - differ) / 2, similarity)
+
+
+def _pairs(a: DataFrame, b: DataFrame, met: Column) -> DataFrame:
+    return a.join(b, met).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
 
 
 def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near: int) -> DataFrame:
     """Pairs (src, dst) of nodes that share a key, are not joined yet and may be near-duplicates.
 
-    Keys of a single component need no more work: copies of a text, however many, leave here. Nodes of keys with more
-    than CROWD nodes are looked at more closely, so that texts which only resemble a large group do not meet
+    Texts differ in as many shingles as bits of their bins differ, or more, so nodes somewhat less similar than asked to a
+    large group do not make a pair with each of its nodes. Nodes with several texts have no bins. In keys of CROWD nodes
+    or fewer that decides. Larger keys of a single component need no more work: copies of a text, however many, leave
+    here. Nodes of the others are looked at more closely, so that texts which only resemble a large group do not meet
     all of it: shingles that RARE of these nodes or fewer have are `rare`; a pair that shares a rare one is found by
     it, and any other pair shares at most the `common` shingles of either side, which bounds its similarity. Shingles
-    of a node's centre, a member of the largest component that it meets, are `common` without being counted, so a
-    copy spreads only the shingles in which it departs from its group. Pairs of different centres may share more than
-    that. Whatever their centres, texts differ in as many shingles as bits of their bins differ, or more, so nodes somewhat
-    less similar than asked to a large group do not make a pair with each of its nodes. Nodes with several texts have no bins.
+    of a node's centre, a member of the largest component that it meets in such keys, are `common` without being counted, so a
+    copy spreads only the shingles in which it departs from its group. (A component is the smallest of its nodes, so its
+    name is also a node whose shingles can be looked up.) Pairs of different centres may share more than that. What is
+    known of a node is put to it once, with its keys as a list, before these become rows.
     """
     comp = comps.select("node", F.col("component").alias("comp"))
-    named = shared.join(comp, "node", "left").select("node", "p", "q", F.coalesce("comp", "node").alias("comp"), F.explode("keys").alias("key"))
-    rows = stored(_mixed(stored(named)))
-    crowd = rows.where(F.col("n") > CROWD)
-    pool = stored(_with_centres(crowd))
-    centre = F.col("centre")
-    sets = verifier.sets(stored(pool.select("node").union(pool.select("centre")).distinct()))
-    centres = stored(sets.groupBy(F.col("node").alias("centre")).agg(F.min_by("shingles", "part").alias("centre_set")))
+    nodes = stored(shared.join(comp, "node", "left").select("node", "p", "q", F.coalesce("comp", "node").alias("comp"), "keys"))
+    members = stored(nodes.groupBy("comp").agg(F.count("*").alias("members")))
+    nodes = stored(nodes.join(members, "comp"))
+    largest = F.max(F.struct("members", (-F.col("comp")).alias("c")))
+    of_key = _named(nodes, "members").groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"), largest.alias("best"))
+    crowded = stored(of_key.where(F.col("n") > CROWD))
+    sets = verifier.sets(stored(nodes.select("node").union(nodes.select("comp")).distinct()))
+    one_text = F.when(F.min("part") == F.max("part"), F.first("bins"))
+    seen = stored(sets.groupBy("node").agg(F.min(F.size("shingles")).alias("size"), one_text.alias("bins")))
+
+    few = _named(nodes, "p", "q").join(crowded.select("key"), "key", "left_anti")
+    few = stored(few.groupBy("node", "comp", "p", "q").agg(F.collect_list("key").alias("keys")).join(seen, "node"))
+    rows = _named(few, "p", "q", "size", "bins")
+    by_small_key = _pairs(rows.alias("a"), rows.alias("b"), _alike(verifier.similarity, near))
+
+    met = _named(nodes, "p", "q").join(stored(crowded.where("a <> b").select("key", "best")), "key")
+    centre = (-F.max("best")["c"]).alias("centre")
+    pool = stored(met.groupBy("node", "comp", "p", "q").agg(F.collect_list("key").alias("keys"), centre))
+    centres = stored(sets.join(stored(pool.select(F.col("centre").alias("node")).distinct()), "node", "left_semi").groupBy(F.col("node").alias("centre")).agg(F.min_by("shingles", "part").alias("centre_set")))
     sets = sets.join(stored(pool.select("node", "centre")), "node")
     own_words = sets.join(centres, "centre").select("node", "part", F.array_except("shingles", "centre_set").alias("own"))
     spread = own_words.select("node", "part", F.explode("own").alias("shingle"))
@@ -399,24 +422,14 @@ def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near
     held = stored(spread.join(rare, "shingle").join(pool.select("node", "comp"), "node"))
     own = held.groupBy("node", "part").agg(F.count("*").alias("rare"))
     common = F.size("shingles") - F.coalesce("rare", F.lit(0))
-    sizes = sets.join(own, ["node", "part"], "left").groupBy("node").agg(F.max(common).alias("common"), F.min(F.size("shingles")).alias("size"), F.min(centre).alias("centre"))
-    rows = stored(_possible(stored(rows.join(stored(sizes), "node", "left")), verifier.similarity))
-    one_text = F.when(F.min("part") == F.max("part"), F.first("bins"))
-    bins = stored(sets.groupBy("node").agg(one_text.alias("bins")))
-    rows = stored(_mixed(rows).join(bins.hint("merge"), "node", "left"))
-    a, b = rows.alias("a"), rows.alias("b")
-
-    def enough(shared: Column) -> Column:  # pairs of unknown size are possible
-        return F.coalesce(shared >= verifier.similarity * F.greatest(F.col("a.size") + F.col("b.size") - shared, shared) - 1e-9, F.lit(True))
-
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & (_bits("a.", "b.") <= near)
-    possible = F.coalesce(F.col("a.centre") != F.col("b.centre"), F.lit(True)) | enough(F.least("a.common", "b.common"))
-    differ = sum((F.bit_count(F.get("a.bins", F.lit(k)).bitwiseXOR(F.get("b.bins", F.lit(k)))) for k in range(BINS // 64)), F.lit(0))
-    by_key = a.join(b, met & possible & enough((F.col("a.size") + F.col("b.size") - differ) / 2))
+    known = sets.join(own, ["node", "part"], "left").groupBy("node").agg(F.max(common).alias("common"))
+    rows = stored(_named(pool.join(seen, "node").join(stored(known), "node"), "p", "q", "centre", "common", "size", "bins"))
+    rows = _several_components(stored(_possible(rows, verifier.similarity)))
+    possible = F.coalesce(F.col("a.centre") != F.col("b.centre"), F.lit(True)) | _enough(F.least("a.common", "b.common"), verifier.similarity)
+    by_key = _pairs(rows.alias("a"), rows.alias("b"), _alike(verifier.similarity, near) & possible)
     many = held.where("holders > 1")
-    c, d = many.alias("a"), many.alias("b")
-    by_rare = c.join(d, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")))
-    return by_key.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).union(by_rare.select("a.node", "b.node")).distinct()
+    by_rare = _pairs(many.alias("a"), many.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")))
+    return by_small_key.union(by_key).union(by_rare).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words: int = 20, wildcards: int = 4) -> DataFrame:

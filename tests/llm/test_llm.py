@@ -221,6 +221,33 @@ def test_near_duplicates_bounds_pairs_by_bins(spark):
     assert 100 < len(want) < 400 and want <= got and len(got) <= len(want) + 100
 
 
+def test_near_duplicates_bounds_pairs_of_small_keys(spark, monkeypatch):
+    """In small keys too, texts a little less similar than asked make no pairs; only rows of crowded keys meet their key's bounds."""
+    rng = random.Random(14)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(154)]
+
+    def edited(places):
+        out = list(base)
+        for k in places:
+            out[k] = f"u{rng.randrange(10**6)}"
+        return out
+
+    texts = [edited([rng.randrange(154)]) for _ in range(40)] + [edited(rng.sample(range(5, 149, 6), 2 if i < 2 else 3)) for i in range(10)]
+    data = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    keys = [[k for k, held in ((1, range(20, 50)), (2, range(43))) if i in held] for i in range(50)]
+    sets = [set(hashes(" ".join(t), 5)) for t in texts]
+    comp = lambda i: 0 if i < 40 else i
+    want = {(a, b) for b in range(50) for a in range(b) if comp(a) != comp(b) and {*keys[a]} & {*keys[b]} and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    trees = spark.createDataFrame([(i, 0) for i in range(1, 40)], "node long, component long")
+    shared = spark.createDataFrame([(i, 0, 0, k, []) for i, k in enumerate(keys)], "node long, p long, q long, keys array<long>, reps array<struct<rep:long,d:int>>")
+    bounded, possible = [], simhash._possible
+    monkeypatch.setattr(simhash, "_possible", lambda rows, similarity: bounded.append(rows.count()) or possible(rows, similarity))
+    verifier = simhash._Verifier(data, spark.createDataFrame([], "node long, prints array<long>"), 5, 0.8, 20)
+    got = {tuple(sorted(r)) for r in simhash._pairs_across(shared, trees, verifier, 31).collect()}
+    assert len(want) > 50 and want <= got and len(got) <= len(want) + 20
+    assert bounded == [43]
+
+
 @pytest.mark.parametrize("crowd, rare", [(simhash.CROWD, simhash.RARE), (3, 2)])
 def test_near_duplicates_in_crowded_keys(spark, monkeypatch, crowd, rare):
     """Two groups of near copies, texts that only resemble a group, copies of these, and one doc_id with texts of both."""
