@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For the same step on bytes; bytes.split() then splits at exactly the characters that WORD leaves out.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -39,6 +41,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lecturelake-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold BATCH_BYTES and one row more at most, unless it has a bound of its own.
+
+    By default they hold 10,000 rows, so that an executor and its workers each keep 10,000 whole texts a task, however
+    long. The setting decides how rows are dealt, never what is found.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, schema: str | None = None, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: what reads it needs no lineage, so lost executors cost nothing."""
     path = scratch(df.sparkSession)

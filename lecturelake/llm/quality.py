@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import bounded_batches
+
 GOOD, BAD, NONE = 2, 0, 1
 LABELLERS = ("symbols", "capitals", "repetition", "bars", "function_words", "sentences")
 # Frequent function words of the languages at hand.
@@ -185,6 +187,7 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def _scorer(docs: DataFrame, sample: int):
     """The fitted scorer as a function of a text column."""
+    bounded_batches(docs.sparkSession)
     _, weights = fit(docs, sample)
 
     def score(texts: pd.Series) -> pd.Series:

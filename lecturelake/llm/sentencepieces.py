@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-Texts fall into segments that no piece crosses. The segments that a worker has not met before are concatenated and
+Texts fall into segments that no piece crosses. The segments that a task has not met before are concatenated and
 indexed by a suffix array; every piece is binary-searched for its range of occurrences; the occurrences are edges,
 sorted by position, and are relaxed from left to right. In a BPE model exactly one edge into each position belongs to
 the encoding of what stands before it: the one whose piece may follow the last piece at its start. Relaxation by that
@@ -22,8 +22,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
+
 SPACE = "▁"
-#: Characters indexed at once, bytes of text segmented at once, and segments that a worker remembers.
+#: Characters indexed at once, bytes of text segmented at once, and segments that a task remembers.
 BLOCK, GROUP_BYTES, REMEMBERED = 200_000, 3 << 20, 250_000
 #: Characters of a segment from which on it is relaxed in lanes, of a lane, and before a lane for it to fall into step (both as
 #: long as the longest piece or longer); pairs of pieces whose test is remembered for places relaxed alone.
@@ -355,14 +357,14 @@ class Model:
         return text[1:] if text[:1] == " " else text
 
 
-_models: dict[bytes, tuple[Model, dict[str, bytes]]] = {}
+_models: dict[bytes, Model] = {}
 
 
-def _model(serialized: bytes) -> tuple[Model, dict[str, bytes]]:
-    """The model and the segments known so far, once for each Python worker."""
+def _model(serialized: bytes) -> Model:
+    """The model, once for each Python worker. Segments are known to a task only: workers go on to other work."""
     key = hashlib.sha256(serialized).digest()
     if key not in _models:
-        _models[key] = Model(serialized), {}
+        _models[key] = Model(serialized)
     return _models[key]
 
 
@@ -386,11 +388,12 @@ def tokens(docs: DataFrame, model_path: str) -> DataFrame:
     gives the text back, but that the mark U+2581 is read as a space. A null text counts as empty and has no ids.
     Null and repeated doc_ids are allowed; other columns are ignored. Each row is done in one task; nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         serialized = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _model(serialized)
+        model, known = _model(serialized), {}
         for batch in batches:
             first = 0
             for group in _groups(batch.column("text")):

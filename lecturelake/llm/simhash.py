@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import LOWER_BYTES, stored
+from .common import LOWER_BYTES, bounded_batches, stored
 from .components import connected_components, forest_roots
 
 SEED = 42
@@ -452,6 +452,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, words:
     other. Rows with a null doc_id are left alone. Rows that repeat a doc_id are one document with several texts.
     Columns other than doc_id and text are ignored. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     near = most_bits(similarity, min(HEAD, WIDE_WORD * words), 1e-5)
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shown = stored(base.mapInArrow(_wide_rows(n, words, wildcards), "doc_id long, digest binary, prints array<long>, holes array<long>"))

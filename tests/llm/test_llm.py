@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lecturelake.llm import components, embeddings, licenses, media, mixing, quality, queries, secrets, sentencepieces, simhash, substrings, warc
+from lecturelake.llm import common, components, embeddings, licenses, media, mixing, quality, queries, secrets, sentencepieces, simhash, substrings, warc
 
 from conftest import DATA
 
@@ -677,3 +677,25 @@ def test_license_text_with_changes(spark):
     df = spark.createDataFrame([(1, "Intro. " + " ".join(changed) + " end"), (2, " ".join(words_[:10]))], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.license_labels(df).collect()}
     assert got == {1: "mit-text", 2: ""}
+
+
+def test_batches_to_python_workers_are_bounded_by_bytes(spark):
+    key, row = "spark.sql.execution.arrow.maxBytesPerBatch", 50_000
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), row // 6).alias("text"), F.lit(None).cast("string").alias("source"), F.lit(row).cast("long").alias("n_chars")).coalesce(1)
+    sizes = lambda: [r.n for r in docs.select("text").mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    steps = (quality.keep_good, simhash.drop_near_duplicates, lambda df: sentencepieces.tokens(df, queries.PIECES))
+    had = spark.conf.get(key, None)
+    for step in steps:
+        spark.conf.unset(key)
+        step(docs.limit(2))
+        assert max(sizes()) <= common.BATCH_BYTES + 2 * row and sum(sizes()) > 400 * (row - 6)
+    spark.conf.set(key, str(10 * row))
+    quality.keep_good(docs.limit(2))
+    assert max(sizes()) <= 12 * row  # a bound of the session's own stays
+    spark.conf.set(key, had) if had else spark.conf.unset(key)
+
+
+def test_workers_keep_the_model_and_no_segments():
+    with open(queries.PIECES, "rb") as f:
+        model = sentencepieces._model(f.read())
+    assert isinstance(model, sentencepieces.Model) and all(isinstance(m, sentencepieces.Model) for m in sentencepieces._models.values())
