@@ -105,7 +105,8 @@ def close_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         & ((here != 0) | (at % 32 == 0))
         & ((at < 32) | (F.bit_count(differ.bitwiseAND(F.lit((1 << 32) - 1))) > 1))
     )
-    return a.join(b, met).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    # sorted and merged: Spark takes the 64 keys of a fingerprint for one and would broadcast them all, up to 64 times its threshold
+    return a.join(b.hint("merge"), met).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
 def simhash_components(docs: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -378,7 +379,8 @@ def _alike(similarity: float, near: int) -> Column:
 
 
 def _pairs(a: DataFrame, b: DataFrame, met: Column) -> DataFrame:
-    return a.join(b, met).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    """Pairs (src, dst) of a's and b's nodes that meet; sorted and merged, as Spark sizes rows by key too low for a broadcast."""
+    return a.join(b.hint("merge"), met).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
 
 
 def _pairs_across(shared: DataFrame, comps: DataFrame, verifier: _Verifier, near: int) -> DataFrame:

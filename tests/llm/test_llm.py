@@ -169,6 +169,16 @@ def test_near_duplicates_count_shingles_once(spark):
     assert kept == {2 * i for i in range(20)}
 
 
+def test_joins_by_exploded_keys_are_not_broadcast(spark):
+    """Spark's own threshold is far above these few rows, whose keys it does not count."""
+    fps = common.stored(spark.range(500).selectExpr("xxhash64(id) as fp"))
+    nodes = common.stored(spark.range(500).selectExpr("id as node", "id as comp", "id as p", "id as q", "id as size", "array_repeat(id, 16) as bins", "array(id % 7, id % 11) as keys"))
+    rows = simhash._named(nodes, "p", "q", "size", "bins")
+    for pairs in (simhash.close_pairs(fps), simhash._pairs(rows.alias("a"), rows.alias("b"), simhash._alike(0.8, 96))):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_finds_lone_pairs(spark):
     """Pairs at 0.80 to 0.85 that no third text joins: the last 17 to 23 of 210 shingles differ."""
     rng = random.Random(6)
