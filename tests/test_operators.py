@@ -531,6 +531,24 @@ def test_intervals_of_one_file_are_made_in_many_tasks(spark):
         assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def _shuffled(spark):
+    """Rows that the session's stages have shuffled so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_intervals_shuffle_no_rows_by_hour(spark):
+    """What is shuffled for a day does not grow with the length of recordings and slots."""
+    slots = spark.sql("select id, concat('c', id % 2) classroom_id, cast(id % 7 as int) day_of_week, 0 start_time, 86000 end_time, date(null) valid_from, date(null) valid_until, true active from range(70)")
+    moved = []
+    for seconds in (60.0, 80_000.0):
+        recs = spark.range(50).selectExpr("id", "concat('c', id % 2) classroom_id", "timestamp'2024-01-01 00:30:00' recording_started_at", f"{seconds}D duration_seconds")
+        before = _shuffled(spark)
+        assert len(schedules.propose_intervals(recs, slots, "UTC", "same_day").collect()) == 50 * 35
+        moved.append(_shuffled(spark) - before)
+    assert moved[0] == moved[1] < 300, moved
+
+
 def test_counted_quantiles_are_exact(spark):
     """More values than a sketch holds: ranks as in a sorted list, from days added up."""
     rng = random.Random(8)
