@@ -549,6 +549,18 @@ def test_intervals_shuffle_no_rows_by_hour(spark):
     assert moved[0] == moved[1] < 300, moved
 
 
+def test_calendar_shuffles_no_rows_by_hour(spark):
+    """Recordings of 22 hours that stay within their day shuffle no more than short ones, and those of two days twice as much at most."""
+    slots = spark.sql("select id, concat('c', id % 2) classroom_id, cast(id % 7 as int) day_of_week, 0 start_time, 86000 end_time, date(null) valid_from, date(null) valid_until, true active from range(70)")
+    moved = []
+    for seconds in (60.0, 80_000.0, 160_000.0):
+        recs = spark.range(50).selectExpr("id", "concat('c', id % 2) classroom_id", "timestamp'2024-01-01 00:30:00' recording_started_at", f"{seconds}D duration_seconds")
+        before = _shuffled(spark)
+        assert len(schedules.propose_intervals(recs, slots, "UTC", "calendar").collect()) == 50 * 5 * (1 + (seconds > 86_400))
+        moved.append(_shuffled(spark) - before)
+    assert moved[0] == moved[1] < moved[2] <= 2 * moved[0], moved
+
+
 def test_counted_quantiles_are_exact(spark):
     """More values than a sketch holds: ranks as in a sorted list, from days added up."""
     rng = random.Random(8)
