@@ -859,8 +859,8 @@ def _(t: Inputs) -> DataFrame:
     What is known of the pages is stored without their html, which no batch reads again."""
     path, i = scratch(t.spark), F.col("page_id")
     pages = spread(t.pages.select("page_id", "html")).select(i, F.coalesce("html", F.lit("")).alias("html")).join(F.broadcast(t.nation.select("n_nationkey", "n_regionkey")), i % 25 == F.col("n_nationkey"))
-    pages.select("page_id", "html").write.partitionBy("page_id").text(f"{path}/landing")
-    size = (F.octet_length("html") + 1).cast("long")  # the sink ends a file with a line end
+    sources.land_texts(pages.select("page_id", "html"), f"{path}/landing")
+    size = (F.octet_length("html") + 1).cast("long")  # a landed file ends with a line end
     known = pages.select(
         i.cast("string").alias("id"), F.when(i % 17 == 0, "0").otherwise(F.col("n_regionkey").cast("string")).alias("site_id"), F.col("n_nationkey").cast("string").alias("classroom_id"), (i % 100 + 1).cast("string").alias("camera_id"),
         F.when(i % 13 == 0, 0).otherwise(size).cast("double").alias("duration_seconds"), (i % 11 != 0).alias("has_audio"), F.when(i % 7 == 0, 20_000).when(i % 5 == 0, size + 1).otherwise(size).cast("long").alias("declared_bytes"),
@@ -871,8 +871,9 @@ def _(t: Inputs) -> DataFrame:
 
     def gate(files: DataFrame) -> DataFrame:
         named = files.withColumn("id", F.regexp_extract("path", "page_id=(-?[0-9]+)", 1))
-        declared = known.select("id", "site_id", "classroom_id", "camera_id", "declared_bytes").join(named.select("id", "path"), "id")
-        probes = known.select("id", "duration_seconds", "has_audio")
+        here = F.broadcast(named.select("id", "path"))  # 1,000 files at most, so what is known is read where it lies
+        declared = F.broadcast(known.join(here, "id").select("id", "site_id", "classroom_id", "camera_id", "declared_bytes", "path"))
+        probes = F.broadcast(known.join(here, "id").select("id", "duration_seconds", "has_audio"))
         return streaming.gate_landed(files, declared, lambda fit: guards.ingest_recordings(fit, probes, rooms, cameras), most)
 
     for _ in range(2):  # a second run finds nothing new

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import final_text, first_header, normalize_text, words_text
@@ -62,6 +69,34 @@ def store_jdbc(tables: dict[str, DataFrame], url: str, mode: str = "append", typ
         flat.write.format("jdbc").options(**options, **made, url=url, dbtable=name).mode(mode).save()
 
 
+def land_texts(texts: DataFrame, folder: str) -> None:
+    """Each row of texts (key, a number, and text; neither null) as a file of its own, folder/<key's name>=<key>/, its text in UTF-8 and a line end.
+
+    Spark's text sink lays out the same, but where Hadoop has no native library it starts two processes for each file of a
+    local or mounted folder, to set permissions. There tasks write the files themselves; a task that runs again puts the same
+    ones in place. Folders of any other scheme are left to the sink."""
+    key, text = texts.columns
+    if urlsplit(folder).scheme not in ("", "file"):
+        texts.write.partitionBy(key).text(folder)
+        return
+    root = unquote(urlsplit(folder).path)
+    os.makedirs(root, exist_ok=True)
+
+    def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                home, name = f"{root}/{key}={k}", f"part-{part:05d}-{seen[k]}.txt"
+                os.makedirs(home, exist_ok=True)
+                with open(f"{home}/.{name}", "wb") as f:
+                    f.write(data.as_py() + b"\n")
+                os.replace(f"{home}/.{name}", f"{home}/{name}")
+                seen[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([seen.total()], pa.int64())], names=["files"])
+
+    texts.select(F.col(key).cast("string"), F.col(text).cast("binary")).mapInArrow(land, "files long").agg(F.sum("files")).collect()
+
+
 def landing_fault(max_gb: float = MAX_GB) -> Column:
     """What is wrong with a file of length bytes, of which declared_bytes were declared: too large, or not all there; else null."""
     most = F.lit(int(max_gb * (1 << 30)))

@@ -70,6 +70,7 @@ def stream_landing(spark: SparkSession, folder: str, archive: str | None = None,
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     stream = stream.option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
     if archive:
+        spark.conf.set("spark.sql.streaming.fileSource.cleaner.numThreads", 8)  # one thread falls behind the batches
         stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return stream.load(folder).select("path", "length", "modificationTime").coalesce(spark.sparkContext.defaultParallelism)  # else a task for every few files
 

@@ -5,7 +5,9 @@ import datetime
 from pyspark.sql import functions as F
 
 from lecturelake import sources, streaming
+from lecturelake.plans import queries as plans
 
+from conftest import DATA
 from test_operators import _in_batches
 
 
@@ -114,6 +116,30 @@ def test_landed_files_are_taken_by_few_tasks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/accepted").count() == 39 and [(r.reject_reason, r.length) for r in rejected] == [("undeclared", 40)]
 
 
+def test_landing_texts_are_files_of_their_own(spark, tmp_path):
+    """By tasks themselves or by the text sink, the files are the same; a key that comes twice loses nothing."""
+    rows = spark.createDataFrame([(1, "a b"), (-2, ""), (3, "é\nü"), (3, "z")], "page_id long, html string").repartition(1)
+    for _ in range(2):  # a task that runs again
+        sources.land_texts(rows, f"file://{tmp_path}/a%20b")
+    got = sorted((p.parent.name, p.read_bytes().decode()) for p in (tmp_path / "a b").rglob("*") if p.is_file())
+    assert got == [("page_id=-2", "\n"), ("page_id=1", "a b\n"), ("page_id=3", "z\n"), ("page_id=3", "é\nü\n")]
+    sources.land_texts(rows.where("page_id < 0 and page_id > 0"), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
+def test_arrivals_shuffle_nothing_for_a_batch(spark):
+    """What is known of the pages is read where it lies: the pages are dealt over the cores, and that is all."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    rows = plans.queries()["str_arrivals"](spark, str(DATA / "sf0.001")).count()
+    assert shuffled() - before <= 2 * rows + 100
+
+
 def test_stored_buckets_are_written_by_many_tasks(spark, tmp_path):
     """One bucket of many jobs: no task has it whole, and what is stored is each job's latest attempt, once."""
     rows = spark.range(4000).selectExpr("cast(id % 500 as string) job_id", "id % 2 + 1 as attempt", "concat('s', id) as segment_id")
